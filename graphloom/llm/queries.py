@@ -84,12 +84,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(docs, 8, "size", ["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import pii
+
+    found = pii.detect_spans(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op7_sharding": op7_sharding,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
