@@ -61,6 +61,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import cotrain
+
+    docs = _table(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, _table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model, keep=["doc_id"])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import decontaminate
 
@@ -103,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
     "op7_sharding": op7_sharding,
     "op9_pii": op9_pii,
