@@ -21,6 +21,7 @@ table does); a block that changes between its two readings is refused.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -39,13 +40,14 @@ from pyspark.sql import functions as F
 from graphloom.llm.store import slices
 
 #: Bytes of text in one block.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" (?:\s|\Z)")
 
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -96,6 +98,17 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
+def _pack_words(words: list[str]) -> bytes:
+    data = [w.encode() for w in words]
+    return zstandard.compress(np.fromiter(map(len, data), np.uint32, len(data)).tobytes() + b"".join(data), 3) + len(data).to_bytes(4, "little")
+
+
+def _unpack_words(packed: bytes) -> list[bytes]:
+    n, data = int.from_bytes(packed[-4:], "little"), zstandard.decompress(packed[:-4])
+    ends = np.cumsum(np.frombuffer(data[: 4 * n], np.uint32)) + 4 * n
+    return [data[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
 def _lists(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
 
@@ -114,26 +127,27 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         for block, _, found, bucket, _, _ in _blocks(batches, path, buckets):
             order = np.argsort(bucket, kind="stable")
             there, sizes = np.unique(bucket, return_counts=True)
-            yield pa.record_batch({"block": pa.array([block] * len(there), pa.int64()), "bucket": pa.array(there, pa.int32()), "words": _lists(pa.array([found[i] for i in order], pa.string()), sizes)})
+            lists = np.split(order, np.cumsum(sizes)[:-1])
+            yield pa.record_batch({
+                "block": pa.array([block] * len(there), pa.int64()),
+                "bucket": pa.array(there, pa.int32()),
+                "words": pa.array([_pack_words([found[i] for i in x]) for x in lists], pa.binary()),
+            })
 
     def encode_bucket(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        lists = table.column("words").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        coded = lists.flatten().dictionary_encode()
-        ids = [e.ids for e in _tokenizer(path).encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        each = np.fromiter(map(len, ids), np.int32, len(ids))
-        at = coded.indices.to_numpy()
-        values, lengths = _gather(flat, each, at), each[at]
-        words_of = pc.list_value_length(lists).to_numpy()
-        ends = np.concatenate([[0], np.cumsum(words_of)])
-        ids_of = np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        lists = [np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)) for found in map(_unpack_words, table.column("words").to_pylist())]
+        distinct, flats, each = list(numbers), [], []
+        for i in range(0, len(distinct), 4096):
+            ids = [e.ids for e in _tokenizer(path).encode_batch([w.decode() for w in distinct[i : i + 4096]], add_special_tokens=False)]
+            each.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            flats.append(np.fromiter((i for x in ids for i in x), np.int32))
+        flat, lengths = np.concatenate(flats), np.concatenate(each)
         return pa.table({
             "block": table.column("block"),
             "bucket": table.column("bucket"),
-            "lengths": pa.array([_pack(lengths[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()),
-            "ids": pa.array([_pack(x) for x in np.split(values, np.cumsum(ids_of)[:-1])], pa.binary()),
+            "lengths": pa.array([_pack(lengths[x]) for x in lists], pa.binary()),
+            "ids": pa.array([_pack(_gather(flat, lengths, x)) for x in lists], pa.binary()),
         })
 
     def places(batches):
@@ -161,7 +175,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         tokens = np.concatenate([[0], np.cumsum(lengths[places_])])[np.concatenate([[0], np.cumsum(counts)])]
         return pa.table({"key": left.column("keys").combine_chunks().flatten(), "ids": _lists(pa.array(_gather(ids, lengths, places_)), np.diff(tokens))})
 
-    coded = rows.select("text").mapInArrow(words, "block long, bucket int, words array<string>").groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, lengths binary, ids binary")
+    coded = rows.select("text").mapInArrow(words, "block long, bucket int, words binary").groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, lengths binary, ids binary")
     placed = rows.mapInArrow(places, f"block long, keys array<{kind}>, counts array<int>, buckets binary, numbers binary")
     return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
