@@ -92,6 +92,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(docs, 8, "size", ["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import line_dedup
+
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"),
+        F.array_join("_gone", ",").alias("gone"),
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import pii
 
@@ -114,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
 }
