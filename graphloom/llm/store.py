@@ -1,35 +1,13 @@
-"""Shared working tables and bounded Arrow slices for the corpus operators."""
+"""Bounded Arrow slices and shared working tables for the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    The plan that made it is cut there: a lost executor costs only the tasks
-    that were running, and several consumers read one and the same result.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from graphloom.plans.shared import cut, shared_dir  # noqa: F401
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
