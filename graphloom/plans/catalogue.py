@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from graphloom.plans import graph_queries, group_queries, text_queries
+
+_ALL = [*graph_queries.CATALOGUE, *group_queries.CATALOGUE, *text_queries.CATALOGUE]
+QUERIES = {q.name: q.run for q in _ALL}
+ORACLE_SQL = {q.name: q.sql for q in _ALL if q.sql}
