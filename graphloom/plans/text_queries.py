@@ -1,2 +1,252 @@
-from graphloom.plans.registry import Catalogue
+"""Queries over names, routes, pages, texts and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.functions import paths, text as T
+from graphloom.operators import search as R
+from graphloom.plans.registry import FUNCTIONS, Catalogue
+from graphloom.plans.shared import cut
+from graphloom.sources import projection as P
+
 CATALOGUE = Catalogue()
+query = CATALOGUE.query
+
+
+# --- routes and pages
+
+_ROUTE = r"lower(CASE WHEN length(r) > 1 THEN rtrim(r, '/') ELSE r END)"
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+(/)', '\1'), '/[0-9]+', '/{id}', 'g'), '<[^>]+>|:[a-zA-Z_][a-zA-Z0-9_]*|\{[^}]+\}', '{*}', 'g')"
+
+
+def _routes(spark, sf_dir):
+    """Numbers in a path stand for parameters."""
+    raw = F.regexp_replace(F.regexp_replace("url", r"^https?://[^/]+(?=/)", ""), r"/[0-9]+", "/{id}")
+    return P.table(spark, sf_dir, "pages").select("page_id", T.normalise_route(raw).alias("route"))
+
+
+@query(f"SELECT page_id, {_ROUTE} AS route FROM (SELECT page_id, {_BARE} AS r FROM pages)")
+def route_normalise(spark, sf_dir):
+    return _routes(spark, sf_dir)
+
+
+@query(f"""WITH n AS (SELECT page_id, {_ROUTE} AS route FROM (SELECT page_id, {_BARE} AS r FROM pages)), h AS (SELECT route, min(page_id) AS handler FROM n GROUP BY route)
+SELECT route, page_id AS caller, handler, 0.85 AS confidence FROM n JOIN h USING (route) WHERE page_id <> handler""")
+def http_route_join(spark, sf_dir):
+    routes = cut(_routes(spark, sf_dir), "routes")
+    handlers = routes.groupBy("route").agg(F.min("page_id").alias("handler"))
+    return routes.join(handlers, "route").where("page_id <> handler").select("route", F.col("page_id").alias("caller"), "handler", F.lit(0.85).alias("confidence"))
+
+
+@query("""SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1, 2""")
+def html_links(spark, sf_dir):
+    return P.table(spark, sf_dir, "pages").select("page_id", F.explode(T.html_links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, len(bodies) AS n, sha256(array_to_string(bodies, '|')) AS digest FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script>', 1) AS bodies FROM pages)""")
+def html_script_bodies(spark, sf_dir):
+    bodies = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1))
+    return P.table(spark, sf_dir, "pages").select("page_id", F.size(bodies).cast("long").alias("n"), F.sha2(F.array_join(bodies, "|"), 256).alias("digest"))
+
+
+_HTML = [
+    "<button onclick=\"save()\">x</button><a onClick='return go(1)'>y</a><script>el.addEventListener('click', open_menu)</script>",
+    '<script src="js/app.js?v=2"></script><script type="module" src="m.js"></script><script src="https://cdn.example.com/x.js"></script><script src="./lib/b.js#x"></script>',
+    "<p>nothing</p>",
+]
+
+
+@query("SELECT * FROM (VALUES (0, 'go,open_menu,save', ''), (1, '', './lib/b.js,js/app.js'), (2, '', '')) AS t(id, handlers, scripts)")
+def html_handlers(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_HTML)), "id int, html string")
+    return rows.select("id", F.array_join(T.html_handlers(F.col("html")), ",").alias("handlers"), F.array_join(T.script_sources(F.col("html")), ",").alias("scripts"))
+
+
+@query("SELECT * FROM (VALUES (0, 'save_all,Store.open'), (1, ''), (2, 'x')) AS t(id, tokens)")
+def backtick_tokens(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "Call `save_all()` and `Store.open`."), (1, "no `1x` token"), (2, "`x`")], "id int, text string")
+    return rows.select("id", F.array_join(T.backtick_tokens(F.col("text")), ",").alias("tokens"))
+
+
+_STATEMENTS = [(0, "INV-3: the table is never empty at start\nALWAYS close the handle before exit."), (1, "This class is NOT thread-safe when shared."), (2, "Must be started before any read of the data"), (3, "plain prose"), (4, "You MUST NOT share cursors between workers.")]
+
+
+@query("""SELECT * FROM (VALUES (0, 'constraint=the table is never empty at start|guarantee=ALWAYS close the handle before exit'), (1, 'thread=NOT thread-safe when shared'),
+(2, 'lifecycle=Must be started before any read of the data'), (3, ''), (4, 'constraint=MUST NOT share cursors between workers')) AS t(id, found)""")
+def invariant_extract(spark, sf_dir):
+    rows = spark.createDataFrame(_STATEMENTS, "id int, text string")
+    return rows.select("id", F.array_join(F.transform(T.invariants(F.col("text")), lambda s: F.concat_ws("=", s["kind"], s["text"])), "|").alias("found"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)session\\.|\\.query\\(|\\.insert\\(|\\.update\\(|\\.delete\\(|\\.execute\\(|\\.commit\\(|\\.fetchall\\(|\\.fetchone\\(|\\.cursor\\(') THEN 'db_operation' END,
+CASE WHEN regexp_matches(text, '(?i)(?:requests|httpx|aiohttp|urllib\\.request|urllib\\.urlopen)\\b') THEN 'http_call' END,
+CASE WHEN regexp_matches(text, 'open\\(|\\.read\\(|\\.write\\(|\\.readlines\\(|pathlib\\.|shutil\\.') THEN 'file_io' END,
+CASE WHEN regexp_matches(text, '\\bawait\\b') THEN 'async_operation' END, CASE WHEN regexp_matches(text, '(?i)websocket|ws_connect|\\.send\\(|\\.recv\\(') THEN 'websocket' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents""")
+def io_tags(spark, sf_dir):
+    return P.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.io_tags(F.col("text")), ",").alias("tags"))
+
+
+_SOURCES = [(0, "cfg['db.url'] + config.get('retries') + os.getenv('HOME')"), (1, "settings [ \"a\" ]; conf.get( 'b' ); cfg['a']"), (2, "dict.get('x')")]
+
+
+@query("SELECT * FROM (VALUES ('HOME', 1, '0'), ('a', 1, '1'), ('b', 1, '1'), ('db.url', 1, '0'), ('retries', 1, '0')) AS t(key, usage_count, files)")
+def config_registry(spark, sf_dir):
+    rows = spark.createDataFrame(_SOURCES, "id int, source string").select("id", F.explode(T.config_keys(F.col("source"))).alias("key"))
+    return rows.groupBy("key").agg(F.count("*").alias("usage_count"), F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), ",").alias("files"))
+
+
+@query("""WITH d AS (SELECT json_extract_string(props, '$.k') AS key, count(*) AS declared FROM events WHERE event_type <> 'purchase' GROUP BY 1),
+r AS (SELECT CAST(doc_id % 37 AS VARCHAR) AS key, count(*) AS reads FROM labels GROUP BY 1)
+SELECT coalesce(d.key, r.key) AS key, coalesce(declared, 0) AS declaration_count, coalesce(reads, 0) AS read_count FROM d FULL JOIN r ON d.key = r.key""")
+def config_flow_outer(spark, sf_dir):
+    declared = P.table(spark, sf_dir, "events").where("event_type <> 'purchase'").groupBy(F.get_json_object("props", "$.k").alias("key")).agg(F.count("*").alias("declaration_count"))
+    reads = P.table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 37).cast("string").alias("key")).agg(F.count("*").alias("read_count"))
+    return declared.join(reads, "key", "full").fillna(0, ["declaration_count", "read_count"])
+
+
+# --- paths
+
+
+@query("""SELECT page_id, CASE WHEN p LIKE '%test_%' OR p LIKE '%_test%' OR contains(p, '.test.') OR contains(p, '.spec.') OR contains(p, 'tests/') OR contains(p, 'test/') OR contains(p, '__tests__') OR contains(p, '/spec/') OR contains(p, '/specs/') THEN 'test'
+  WHEN regexp_matches(p, '(^|/)docs?/') THEN 'docs' WHEN regexp_matches(p, '(^|/)examples?/') THEN 'examples' WHEN regexp_matches(p, '(^|/)(scripts?|diagnostics?|tools?|bin|dev|debug|scratch|migrations?|fixtures?)(/|$)') THEN 'scripts' ELSE 'production' END AS category
+FROM (SELECT page_id, lower(CASE WHEN page_id % 5 = 0 THEN 'src/tests/' WHEN page_id % 5 = 1 THEN 'docs/' WHEN page_id % 5 = 2 THEN 'tools/' WHEN page_id % 5 = 3 THEN 'examples/' ELSE 'src/' END || page_id || '.py') AS p FROM pages)""".replace("p LIKE '%test_%' OR p LIKE '%_test%'", "contains(p, 'test_') OR contains(p, '_test')"))
+def path_classify(spark, sf_dir):
+    top = F.element_at(F.array(*map(F.lit, ("src/tests/", "docs/", "tools/", "examples/", "src/"))), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = P.table(spark, sf_dir, "pages").select("page_id", F.concat(top, F.col("page_id").cast("string"), F.lit(".py")).alias("path"))
+    return rows.select("page_id", paths.classify_path(F.col("path")).alias("category"))
+
+
+_URL_PARTS = "string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/')"
+
+
+def _bare_paths(spark, sf_dir):
+    return P.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"[?#].*$", "").alias("path"))
+
+
+@query(f"SELECT page_id, array_to_string(list_slice(parts, 1, n), '/') AS prefix FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT page_id, {_URL_PARTS} AS parts FROM pages))")
+def path_prefix_explode(spark, sf_dir):
+    return _bare_paths(spark, sf_dir).select("page_id", F.explode(paths.prefixes(F.col("path"))).alias("prefix"))
+
+
+@query(f"""WITH s AS (SELECT page_id, array_to_string(list_slice(parts, n, len(parts)), '/') AS suffix FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT page_id, {_URL_PARTS} AS parts FROM pages)))
+SELECT suffix, min(page_id) AS page_id FROM (SELECT DISTINCT suffix, page_id FROM s) GROUP BY suffix HAVING count(*) = 1""")
+def suffix_unique_join(spark, sf_dir):
+    from graphloom.operators.resolve import unique_suffixes
+
+    return unique_suffixes(_bare_paths(spark, sf_dir), "path", "page_id")
+
+
+@query(f"""WITH p AS (SELECT page_id, n, array_to_string(list_slice(parts, 1, n), '/') AS prefix FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT page_id, {_URL_PARTS} AS parts FROM pages))),
+i AS (SELECT prefix FROM p GROUP BY prefix HAVING count(*) >= 2)
+SELECT page_id, max_by(prefix, n) AS prefix FROM p JOIN i USING (prefix) GROUP BY page_id""")
+def longest_prefix_join(spark, sf_dir):
+    from graphloom.operators.resolve import longest_prefix
+
+    rows = cut(_bare_paths(spark, sf_dir), "paths")
+    index = rows.select(F.explode(paths.prefixes(F.col("path"))).alias("prefix")).groupBy("prefix").count().where("count >= 2").select("prefix")
+    return longest_prefix(rows, "path", index, "prefix").select("page_id", "prefix")
+
+
+# --- names and hashes
+
+
+@query(f"WITH {FUNCTIONS} SELECT 'function:' || file_path || ':' || qualified_name AS id, substr(sha256(name), 1, 16) AS short, sha256(name) AS full_hash, substr(md5(name), 1, 8) AS bucket FROM fn")
+def hash_ids(spark, sf_dir):
+    fn = P.functions(spark, sf_dir)
+    return fn.select(T.node_id("function", F.col("file_path"), F.col("qualified_name")).alias("id"), T.sha(F.col("name"), 16).alias("short"), T.sha(F.col("name")).alias("full_hash"), F.substring(F.md5("name"), 1, 8).alias("bucket"))
+
+
+@query("""SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9_]', '_', 'g') AS node, 'def ' || p_name || '(self, size)' AS signature,
+CASE WHEN contains(lower(p_type), 'db') OR contains(lower(p_type), 'model') THEN 'db_write' WHEN contains(lower(p_type), 'api') THEN 'http_response' ELSE 'return' END AS terminal, CAST(floor(length(p_name) / 4.0) AS BIGINT) AS tokens FROM part""")
+def name_functions(spark, sf_dir):
+    fn = P.functions(spark, sf_dir)
+    return fn.select("id", T.diagram_id(F.lower("name")).alias("node"), T.normalise_signature(F.col("signature")).alias("signature"), T.terminal_type(F.col("module")).alias("terminal"), T.token_estimate(F.col("name")).alias("tokens"))
+
+
+_NAMES = [("handleSubmitOrder", "LiveBroker.handle_submit"), ("on_open", "on_open"), ("HTTPServer", "net.HTTPServer"), ("run_all_flow", "Jobs.run_all_flow")]
+
+
+@query("SELECT * FROM (VALUES ('handleSubmitOrder', 'handle_submit_order', 'live_broker_submitorder_flow'), ('on_open', 'on_open', 'open_flow'), ('HTTPServer', 'http_server', 'net_httpserver_flow'), ('run_all_flow', 'run_all_flow', 'jobs_all_flow')) AS t(name, snake, pathway)")
+def pathway_names(spark, sf_dir):
+    rows = spark.createDataFrame(_NAMES, "name string, qualified string")
+    return rows.select("name", T.camel_to_snake(F.col("name")).alias("snake"), T.pathway_name(F.col("name"), F.col("qualified")).alias("pathway"))
+
+
+@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 2) AS w FROM benchmark),
+e AS (SELECT item_id, w[i] AS word, min(i) AS pos FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) GROUP BY 1, 2)
+SELECT item_id, string_agg(word, ' ' ORDER BY pos) AS tokens FROM e GROUP BY item_id""")
+def query_tokenise(spark, sf_dir):
+    return P.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.tokenise(F.col("text")), " ").alias("tokens"))
+
+
+@query("""SELECT doc_id, count(*) AS tokens, count(DISTINCT t) AS distinct_tokens FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+')) AS t FROM documents) GROUP BY 1""")
+def doc_symbol_tokens(spark, sf_dir):
+    found = P.table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens")).where("tokens > 0")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, unnest(range(1, len(w) + 1)) AS k, w FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations WHERE role = 'user')),
+p AS (SELECT conv_id, turn, unnest(range(1, len(w) + 1)) AS k, w FROM (SELECT conv_id, turn - 1 AS turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations WHERE role = 'assistant'))
+SELECT c.conv_id, c.turn, c.k - 1 AS position, c.w[c.k] AS argument, p.w[p.k] AS parameter FROM c JOIN p ON c.conv_id = p.conv_id AND c.turn = p.turn AND c.k = p.k""")
+def positional_argument_bind(spark, sf_dir):
+    from graphloom.operators.resolve import bind_positions
+
+    talk = P.table(spark, sf_dir, "conversations").withColumn("words", F.split(F.coalesce("text", F.lit("")), " ", -1))
+    arguments = talk.where("role = 'user'").select("conv_id", "turn", F.col("words").alias("argument"))
+    parameters = talk.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("parameter"))
+    return bind_positions(arguments, parameters, ["conv_id", "turn"])
+
+
+# --- search
+
+
+@query("""WITH s AS (SELECT doc_id, lower(text) AS t, source FROM documents), k AS (SELECT doc_id,
+  CASE WHEN contains(t, 'the') THEN 1 + 0.1 * ((length(t) - length(replace(t, 'the', ''))) / 3.0 - 1) ELSE 0 END + CASE WHEN contains(t, 'ing') THEN 1 + 0.1 * ((length(t) - length(replace(t, 'ing', ''))) / 3.0 - 1) ELSE 0 END AS score FROM s)
+SELECT doc_id, round(score, 6) AS score FROM k WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 50""")
+def keyword_score(spark, sf_dir):
+    return R.keyword(P.table(spark, sf_dir, "documents"), "the ing", "source", F.col("text"), "doc_id", 50)
+
+
+_SIM = "greatest(1 - levenshtein('{q}', lower(name)) / greatest(length(name), {n}), 1 - levenshtein('{q}', lower(name)) / greatest(length(name), {n}))"
+
+
+@query(f"WITH {FUNCTIONS}, s AS (SELECT id, round({_SIM.format(q='blue widgit', n=11)}, 6) AS score FROM fn) SELECT id, score FROM s WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 10")
+def fuzzy_search(spark, sf_dir):
+    return R.fuzzy(P.functions(spark, sf_dir), "blue widgit", "name", "qualified_name", "id")
+
+
+_QUERY = [round(((i * 37) % 11 - 5) / 5, 1) for i in range(64)]
+_DOT = f"list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * ({_QUERY}::DOUBLE[])[i]))"
+
+
+@query(f"SELECT vec_id, round({_DOT} / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) * {sum(x * x for x in _QUERY) ** 0.5!r} + 1e-9), 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
+def cosine_search(spark, sf_dir):
+    return R.semantic(P.table(spark, sf_dir, "embeddings"), _QUERY, "embedding", "vec_id")
+
+
+@query(f"""WITH {FUNCTIONS}, kw AS (SELECT id, round(CASE WHEN contains(lower(name), 'red') THEN 1.5 + 0.1 * ((length(name) - length(replace(lower(name), 'red', ''))) / 3.0 - 1) ELSE 0 END, 6) AS score FROM fn WHERE contains(lower(name), 'red') ORDER BY 2 DESC, 1 LIMIT 20),
+fz AS (SELECT id, round({_SIM.format(q='red', n=3)}, 6) AS score FROM fn WHERE {_SIM.format(q='red', n=3)} >= 0.2 ORDER BY 2 DESC, 1 LIMIT 20),
+u AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS w FROM kw UNION ALL SELECT id, 0.8 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM fz)
+SELECT id, round(sum(w), 8) AS score FROM u GROUP BY id ORDER BY 2 DESC, 1 LIMIT 10""")
+def rrf_hybrid(spark, sf_dir):
+    fn = P.functions(spark, sf_dir)
+    lists = {"keyword": R.keyword(fn, "red", "name", F.col("name"), "id", 20), "fuzzy": R.fuzzy(fn, "red", "name", "qualified_name", "id", 20, threshold=0.2)}
+    return R.fuse(lists, "id")
+
+
+@query(f"""WITH {FUNCTIONS} SELECT id, qualified_name, CAST(CASE WHEN qualified_name = 'red' THEN 0 WHEN lower(qualified_name) = 'red' THEN 1 WHEN name = 'red' THEN 2 WHEN lower(name) = 'red' THEN 3 WHEN lower(qualified_name) LIKE 'red%' THEN 4 WHEN lower(name) LIKE 'red%' THEN 5 ELSE 6 END AS INTEGER) AS rank
+FROM fn WHERE contains(lower(name), 'red') OR contains(lower(qualified_name), 'red') ORDER BY rank, length(qualified_name), qualified_name, id LIMIT 10""")
+def match_rank_search(spark, sf_dir):
+    return R.by_name(P.functions(spark, sf_dir), "red")
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN contains(lower(text), 'the ') AND contains(lower(text), 'ing') THEN 0.6 WHEN contains(lower(text), 'the ') OR contains(lower(text), 'ing') THEN 0.4 ELSE 0 END AS score FROM documents) SELECT doc_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0""".replace("'the '", "'the'"))
+def pathway_text_match(spark, sf_dir):
+    return P.table(spark, sf_dir, "documents").select("doc_id", R.match_text("the ing", F.col("source"), F.col("text")).alias("score")).where("score > 0")
+
+
+@query(f"""WITH {FUNCTIONS} SELECT 'exact_name' AS strategy, CASE WHEN count(*) OVER () = 1 THEN 'match' ELSE 'ambiguous' END AS kind, id FROM fn WHERE name = (SELECT min(p_name) FROM part)""".replace("'exact_name'", "'name'"))
+def identifier_cascade(spark, sf_dir):
+    fn = P.functions(spark, sf_dir)
+    return R.resolve(fn, fn.agg(F.min("name")).first()[0])
