@@ -239,3 +239,61 @@ def dot_edges(spark, sf_dir):
     from graphloom.operators.render import dot
 
     return dot(E.top_fan_out(P.calls(spark, sf_dir), 4))
+
+
+# --- inheritance and communities
+
+_EXTENDS = """ext AS (SELECT b AS src, nxt AS dst FROM (SELECT b, lead(b) OVER (ORDER BY b) AS nxt FROM (SELECT DISTINCT p_brand AS b FROM part)) WHERE nxt IS NOT NULL),
+anc AS (SELECT src AS class, dst AS base, 1 AS depth FROM ext UNION ALL SELECT a.src, b.dst, 2 FROM ext a JOIN ext b ON a.dst = b.src UNION ALL SELECT a.src, c.dst, 3 FROM ext a JOIN ext b ON a.dst = b.src JOIN ext c ON b.dst = c.src)"""
+
+
+def _brand_chain(spark, sf_dir):
+    """Each brand extends the next one."""
+    from pyspark.sql import Window
+
+    brands = P.table(spark, sf_dir, "part").select(F.col("p_brand").alias("src")).distinct()  # a few dozen rows
+    return brands.withColumn("dst", F.lead("src").over(Window.orderBy("src"))).where("dst IS NOT NULL")
+
+
+@query(f"WITH {_EXTENDS} SELECT class, base, CAST(min(depth) AS INTEGER) AS depth FROM anc GROUP BY class, base")
+def class_ancestors(spark, sf_dir):
+    from graphloom.operators.heritage import ancestors
+
+    return ancestors(_brand_chain(spark, sf_dir))
+
+
+@query(f"""WITH {_SURE}, {FUNCTIONS}, {_EXTENDS}, up AS (SELECT DISTINCT m.id, b.id AS base_id FROM fn m JOIN anc ON anc.class = m.class_name JOIN fn b ON b.name = m.name AND b.class_name = anc.base)
+SELECT up.id, src AS caller, round(max(confidence) * 0.9, 4) AS confidence FROM up JOIN sure ON dst = base_id GROUP BY up.id, src""")
+def interface_callers(spark, sf_dir):
+    from graphloom.operators import heritage
+
+    return heritage.interface_callers(P.functions(spark, sf_dir).select("id", "name", "class_name"), _brand_chain(spark, sf_dir), _sure(spark, sf_dir))
+
+
+@query(f"""WITH {FUNCTIONS}, {_EXTENDS} SELECT DISTINCT m.id FROM fn m JOIN anc ON anc.class = m.class_name JOIN fn b ON b.name = m.name AND b.class_name = anc.base""")
+def superclass_reachable(spark, sf_dir):
+    from graphloom.operators import heritage
+
+    return heritage.reachable_through_base(P.functions(spark, sf_dir).select("id", "name", "class_name"), _brand_chain(spark, sf_dir))
+
+
+@query()
+def label_propagation(spark, sf_dir):
+    from graphloom.operators import communities
+
+    return communities.label_propagation(_sure(spark, sf_dir))
+
+
+@query()
+def variable_threads(spark, sf_dir):
+    from graphloom.operators import communities
+
+    flows = P.calls(spark, sf_dir).where("confidence >= 1 AND reason = 'direct_call' AND sites >= 2")
+    return communities.threads(flows, P.functions(spark, sf_dir)).select("thread", "name", F.size("members").alias("members"))
+
+
+@query(f"""WITH {CALLS} SELECT 'functions' AS measure, count(*) AS value FROM part UNION ALL SELECT 'calls_' || reason, count(*) FROM calls GROUP BY reason""")
+def health_report(spark, sf_dir):
+    from graphloom.sources import sinks
+
+    return sinks.health(P.calls(spark, sf_dir), P.functions(spark, sf_dir))

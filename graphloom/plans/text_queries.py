@@ -250,3 +250,44 @@ def pathway_text_match(spark, sf_dir):
 def identifier_cascade(spark, sf_dir):
     fn = P.functions(spark, sf_dir)
     return R.resolve(fn, fn.agg(F.min("name")).first()[0])
+
+
+# --- layers
+
+_MODULES = ("sqlalchemy.orm", "flask", "react", "celery.task", "json", "app._private.x", "app.domain.order")
+_DIRECTORIES = ("app/models/", "app/routes/", "web/pages/", "app/services/", "app/utils/", "models/", "app/")
+
+
+def _layered(spark, sf_dir):
+    pick = lambda values, step: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("page_id") / step) % len(values) + 1).cast("int"))
+    pages = P.table(spark, sf_dir, "pages").select("page_id", F.concat(pick(_DIRECTORIES, 1), F.col("page_id").cast("string"), F.lit(".py")).alias("path"), pick(_MODULES, 7).alias("module_path"))
+    imports = pages.select(F.col("path").alias("file_path"), "module_path", F.lit(1).cast("long").alias("line_number"))
+    return pages.select("path").withColumn("is_test", F.lit(False)), imports
+
+
+_LAYERED = (
+    f"l AS (SELECT page_id, ({list(_DIRECTORIES)!r})[page_id % 7 + 1] AS d, ({list(_MODULES)!r})[(page_id // 7) % 7 + 1] AS m FROM pages), "
+    "k AS (SELECT d || page_id || '.py' AS path, m AS module_path, CASE m WHEN 'sqlalchemy.orm' THEN 'persistence' WHEN 'flask' THEN 'api' WHEN 'react' THEN 'ui' WHEN 'celery.task' THEN 'business_logic' END AS by_import, "
+    "CASE d WHEN 'app/models/' THEN 'persistence' WHEN 'app/routes/' THEN 'api' WHEN 'web/pages/' THEN 'ui' WHEN 'app/services/' THEN 'business_logic' WHEN 'app/utils/' THEN 'util' END AS by_path, "
+    "CASE d WHEN 'app/models/' THEN 'model' WHEN 'app/routes/' THEN 'handler' WHEN 'web/pages/' THEN 'page' WHEN 'app/services/' THEN 'service' WHEN 'app/utils/' THEN 'util' ELSE 'unknown' END AS role FROM l)"
+)
+
+
+@query(f"WITH {_LAYERED} SELECT path, coalesce(by_import, by_path, 'unknown') AS layer, role FROM k")
+def layer_classification(spark, sf_dir):
+    from graphloom.operators import layers
+
+    return layers.classify(*_layered(spark, sf_dir)).select("path", "layer", "role")
+
+
+@query(f"""WITH {_LAYERED}, f AS (SELECT *, coalesce(by_path, 'unknown') AS layer FROM k)
+SELECT 'ui_to_db_shortcut' AS kind, 'high' AS severity, path, module_path FROM f WHERE layer = 'ui' AND by_import = 'persistence'
+UNION ALL SELECT 'api_to_db_shortcut', 'high', path, module_path FROM f WHERE layer = 'api' AND by_import = 'persistence'
+UNION ALL SELECT 'ui_domain_bypass', 'low', path, module_path FROM f WHERE layer = 'ui' AND module_path = 'app.domain.order'
+UNION ALL SELECT 'private_surface_bypass', 'medium', path, module_path FROM f WHERE module_path = 'app._private.x'""")
+def boundary_findings(spark, sf_dir):
+    from graphloom.operators import layers
+
+    files, imports = _layered(spark, sf_dir)
+    by_path = files.withColumn("layer", F.coalesce(layers.layer_of_path(F.col("path")), F.lit("unknown")))
+    return layers.boundary_findings(by_path, imports)
