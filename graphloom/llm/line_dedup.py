@@ -16,7 +16,7 @@ Defined results: a line counts if it holds a non-blank character and at least
 code points are compared exactly only; a null text stays null; a text that
 loses all its lines becomes empty; rows equal in key and text are one document
 and get equal results; an empty table gives an empty result; other columns are
-carried along unchanged, whatever their names.
+carried along unchanged; names that start with an underscore are the operator's own.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from graphloom.llm.store import cut
 THRESHOLD, LEAST, NEAR_LEAST = 2, 20, 60
 #: Lines that are looked up before their keys are dealt out: the most frequent ones, so many at most.
 HEAVY = 1000
-#: Letters whose counts are compared, four bits each.
-_LETTERS = "enaitrso"
+#: Letters whose counts are compared, four bits each; segments of a pair of lines that are compared before the distance.
+_LETTERS, _PARTS = "enat", 8
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
 _FILTER_WORDS = 1 << 16
 
@@ -60,9 +60,8 @@ def _line_hash(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _segment(length: Column, threshold: int, i: int) -> tuple[Column, Column]:
-    """First place (from 1) and length of segment ``i`` (from 0) of a line: even, the longer ones last."""
-    n = threshold + 1
+def _segment(length: Column, n: int, i: int) -> tuple[Column, Column]:
+    """First place (from 1) and length of segment ``i`` (from 0) of ``n``: even, the longer ones last."""
     base = F.floor(length / n).cast("int")
     short = F.lit(n) - (length - base * n)  # segments of the shorter length
     return (base * i + F.greatest(F.lit(0), F.lit(i) - short) + 1).cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
@@ -84,69 +83,79 @@ def _letters_differ(a: Column, b: Column) -> Column:
     return reduce(add, [one(i) for i in range(len(_LETTERS))])
 
 
-def _index_keys(line: Column, threshold: int) -> list[Column]:
-    n = F.length(line)
-    out = []
-    for i in range(threshold + 1):
-        start, size = _segment(n, threshold, i)
-        out.append(F.xxhash64(n, F.lit(i), F.substr(line, start, size)))
-    return out
+def _key(units: Column, length: Column, i: int, start: Column, size: Column) -> Column:
+    """The key of segment ``i`` of lines of ``length``; ``units`` has four bytes a code point, so a slice is found at once."""
+    return F.xxhash64(length, F.lit(i), F.substr(units, 4 * start - 3, 4 * size))
+
 
+def _index_keys(units: Column, n: Column, threshold: int) -> list[Column]:
+    return [_key(units, n, i, *_segment(n, threshold + 1, i)) for i in range(threshold + 1)]
 
-def _probe_keys(line: Column, threshold: int) -> list[Column]:
+
+def _probe_keys(units: Column, n: Column, threshold: int) -> list[Column]:
     """The substrings that can meet a segment of a line as long or up to ``threshold`` shorter (multi-match-aware selection)."""
-    n = F.length(line)
     out = []
     for less in range(threshold + 1):
         for i in range(threshold + 1):
-            start, size = _segment(n - less, threshold, i)
+            start, size = _segment(n - less, threshold + 1, i)
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                out.append(F.xxhash64(n - less, F.lit(i), F.substr(line, start + shift, size)))
+                out.append(_key(units, n - less, i, start + shift, size))
     return out
 
 
-def edit_distance(a: Column, b: Column, threshold: int) -> Column:
-    """Levenshtein distance if it is at most ``threshold``, else something larger.
+def _parts_meet(a: Column, b: Column, threshold: int) -> Column:
+    """Whether enough of many segments of ``a`` stand in ``b`` near their places: an edit spoils one of them at most."""
+    n = F.length(a)
+    found = []
+    for i in range(_PARTS):
+        start, size = _segment(n, _PARTS, i)
+        found.append(F.contains(F.substr(b, F.greatest(start - threshold, F.lit(1)), size + 2 * threshold), F.substr(a, start, size)).cast("int"))
+    return reduce(add, found) >= _PARTS - threshold
+
+
+def codes(line: Column) -> Column:
+    """The characters of a line as numbers."""
+    return F.transform(F.split(line, ""), lambda c: F.ascii(c))
+
+
+def edit_distance(long: Column, short: Column, threshold: int) -> Column:
+    """Levenshtein distance of two arrays of codes, ``long`` not the shorter, if it is at most ``threshold``; else something larger.
+
+    Both hold more than ``threshold`` codes.
 
     Bit-parallel over a diagonal band of 2 * threshold + 1 cells: one word of vertical
     differences moves down the diagonal with each character of the shorter text.
     """
-    long = F.when(F.length(a) >= F.length(b), a).otherwise(b)
-    short = F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    m, n, w = F.length(long), F.length(short), 2 * threshold + 1
-    mask = (1 << w) - 1
-    rows, cols = F.split(long, ""), F.split(short, "")
-    bit = lambda word, k: F.shiftright(word, k).bitwiseAND(F.lit(1))
+    m, n, w = F.size(long), F.size(short), 2 * threshold + 1
+    mask = F.lit((1 << w) - 1)
 
     def step(acc: Column, j: Column) -> Column:
         # j from 0; bit i of a word stands for row j - threshold + i, rows counted from 0
-        here = F.get(acc["cols"], j)
-        match = reduce(lambda x, y: x.bitwiseOR(y), [F.when((j - threshold + i >= 0) & (F.get(acc["rows"], F.greatest(j - threshold + i, F.lit(0))) == here), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(w)])
+        here = F.get(short, j)
+        match = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.get(long, j + (i - threshold)) == here, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(w)])
         vp, vn = acc["vp"], acc["vn"]
-        d0 = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(F.lit(mask))
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(F.lit(mask))
-        return F.struct(d0.alias("d0"), hp.alias("hp"), d0.bitwiseAND(vp).alias("hn"))
+        d0 = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(mask)
+        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(mask)
+        # positive once the band's lower edge has left the last row
+        past = F.greatest(F.lit(0), j - (m - 1 - threshold))
+        return F.struct(d0.alias("d0"), hp.alias("hp"), d0.bitwiseAND(vp).alias("hn"), past.alias("past"), acc["d"].alias("d"))
 
     def walk(acc: Column, j: Column) -> Column:
-        return F.aggregate(F.array(step(acc, j)), acc, lambda old, s: advance(old, s, j))
+        return F.element_at(F.transform(F.array(step(acc, j)), advance), 1)
 
-    def advance(acc: Column, s: Column, j: Column) -> Column:
-        past = j - (acc["m"] - 1 - threshold)  # positive once the band's lower edge has left the last row
-        k = F.greatest(F.lit(0), F.lit(w - 1) - past)
-        moved = F.when(past <= 0, 1 - bit(s["d0"], w - 1)).otherwise(_bit_at(s["hp"], k) - _bit_at(s["hn"], k))
+    def advance(s: Column) -> Column:
+        k = F.lit(w - 1) - s["past"]
+        moved = F.when(s["past"] == 0, 1 - F.shiftright(s["d0"], w - 1)).otherwise(_bit_at(s["hp"], k) - _bit_at(s["hn"], k))
         down = F.shiftright(s["d0"], 1)
         return F.struct(
-            acc["rows"].alias("rows"),
-            acc["cols"].alias("cols"),
-            acc["m"].alias("m"),
-            s["hn"].bitwiseOR(F.bitwise_not(down.bitwiseOR(s["hp"])).bitwiseAND(F.lit(mask))).alias("vp"),
+            s["hn"].bitwiseOR(F.bitwise_not(down.bitwiseOR(s["hp"])).bitwiseAND(mask)).alias("vp"),
             down.bitwiseAND(s["hp"]).alias("vn"),
-            (acc["d"] + moved).alias("d"),
+            (s["d"] + moved).alias("d"),
         )
 
-    start = F.struct(rows.alias("rows"), cols.alias("cols"), m.alias("m"), F.lit(mask & ~((1 << threshold) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(threshold).alias("d"))
+    start = F.struct(F.lit(((1 << w) - 1) & ~((1 << threshold) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(threshold).alias("d"))
     walked = F.aggregate(F.sequence(F.lit(0), n - 1), start, walk, lambda acc: acc["d"])
-    return F.when(m - n > threshold, m - n).when(m <= threshold, F.levenshtein(a, b)).when(n == 0, m).otherwise(walked)
+    return F.when(m - n > threshold, m - n).otherwise(walked)
 
 
 def _bit_at(word: Column, k: Column) -> Column:
@@ -155,16 +164,16 @@ def _bit_at(word: Column, k: Column) -> Column:
 
 def _filter(df: DataFrame, h: str) -> DataFrame:
     """A membership filter of bounded size: (word, bits)."""
-    word = F.col(h).bitwiseAND(F.lit(_FILTER_WORDS - 1)).alias("word")
+    word = F.col(h).bitwiseAND(F.lit(_FILTER_WORDS - 1)).alias("_word")
     flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.col(h), 32).bitwiseAND(F.lit(63)).cast("int"))
-    return df.groupBy(word).agg(F.bit_or(flag).alias("bits"))
+    return df.groupBy(word).agg(F.bit_or(flag).alias("_bits"))
 
 
 def _maybe(df: DataFrame, h: str, members: DataFrame) -> DataFrame:
     """The rows of ``df`` that the filter lets through: all members, few others."""
-    hit = F.call_function("shiftright", F.col("bits"), F.shiftright(F.col(h), 32).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    hit = F.call_function("shiftright", F.col("_bits"), F.shiftright(F.col(h), 32).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
     # at most _FILTER_WORDS rows of two numbers
-    return df.join(F.broadcast(members), F.col(h).bitwiseAND(F.lit(_FILTER_WORDS - 1)) == F.col("word")).where(hit).drop("word", "bits")
+    return df.join(F.broadcast(members), F.col(h).bitwiseAND(F.lit(_FILTER_WORDS - 1)) == F.col("_word")).where(hit).drop("_word", "_bits")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str, threshold: int, near_least: int) -> DataFrame:
@@ -176,7 +185,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str, threshol
     spread = lines.join(few, ["h", "h2"], "left_anti").unionByName(lines.join(few, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")))
 
     def keys(of) -> DataFrame:
-        rows = spread.select("h", _letter_counts(F.col("line")).alias("letters"), F.explode(F.array(*of(F.col("line"), threshold))).alias("k"))
+        units = spread.select("h", _letter_counts(F.col("line")).alias("letters"), F.encode("line", "UTF-32").alias("units"))
+        sized = units.select("h", "letters", "units", (F.octet_length("units") / 4).cast("int").alias("n"))
+        rows = sized.select("h", "letters", F.explode(F.array(*of(F.col("units"), F.col("n"), threshold))).alias("k"))
         return rows.repartition("k").dropDuplicates(["k", "h", "letters"])
 
     index, probe = keys(_index_keys).alias("x"), keys(_probe_keys).alias("y")
@@ -188,15 +199,20 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str, threshol
     texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     texts = cut(texts, "near-line-texts")
     order = firsts.join(members, "h", "left_semi").groupBy("h").agg(F.min("first").alias("first"))
-    told = cut(texts.join(order, "h"), "near-line-order")
-    named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in ("h", "line", "first")))
+    told = cut(texts.join(order, "h").select("h", "line", "first", codes(F.col("line")).alias("codes")), "near-line-order")
+    named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in told.columns))
     both = pairs.join(named("a"), F.col("a") == F.col("a_h")).join(named("b"), F.col("b") == F.col("b_h"))
+    met = cut(both.where(_parts_meet(F.col("a_line"), F.col("b_line"), threshold)).select("a", "b", "a_first", "b_first", "a_codes", "b_codes").repartition(F.col("a"), F.col("b")), "near-line-met")
+    turned = F.size("a_codes") >= F.size("b_codes")
+    sorted_ = met.select("a", "b", "a_first", "b_first", F.when(turned, F.col("a_codes")).otherwise(F.col("b_codes")).alias("long"), F.when(turned, F.col("b_codes")).otherwise(F.col("a_codes")).alias("short"))
     later = F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
-    return both.where(edit_distance(F.col("a_line"), F.col("b_line"), threshold) <= threshold).select(later.alias("h")).distinct()
+    return sorted_.where(edit_distance(F.col("long"), F.col("short"), threshold) <= threshold).select(later.alias("h")).distinct()
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, near_least: int = NEAR_LEAST) -> DataFrame:
     """(r1, r2, gone): for each document that loses lines, their sorted numbers from 0."""
+    if near_least <= _PARTS * (threshold + 1) or threshold < 1:
+        raise ValueError("lines that are compared nearly need more code points for this threshold")
     seen = _named(docs, key, text).where(_counts(F.col("line"), least)).select("d", "r1", "r2", "line_no", *_line_hash(F.col("line")))
     seen = cut(seen, "lines")
     firsts = cut(seen.groupBy("h", "h2").agg(F.min(F.struct("d", "r1", "r2", "line_no")).alias("first"), F.count("*").alias("n")), "first-lines")
@@ -211,14 +227,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
 
     Documents that certainly lose nothing, by a filter of fixed size, pass by without a shuffle.
     """
-    dropped = cut(dropped_lines(docs, key, text, **options), "dropped-lines")
+    lost = cut(dropped_lines(docs, key, text, **options), "dropped-lines")
+    dropped = lost.select(*(F.col(c).alias(f"_lost_{c}") for c in lost.columns))
     names = [F.col(c) for c in docs.columns]
     marked = docs.select(*names, *(c.alias(f"_{n}") for c, n in zip(_row_hash(key, text), ("r1", "r2"))))
-    members = F.broadcast(_filter(dropped, "r1"))  # _FILTER_WORDS rows at most
-    bit = F.call_function("shiftright", F.col("bits"), F.shiftright(F.col("_r1"), 32).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    tested = marked.join(members, F.col("_r1").bitwiseAND(F.lit(_FILTER_WORDS - 1)) == F.col("word"), "left").withColumn("_in", F.coalesce(bit == 1, F.lit(False)))
+    members = F.broadcast(_filter(lost, "r1"))  # _FILTER_WORDS rows at most
+    bit = F.call_function("shiftright", F.col("_bits"), F.shiftright(F.col("_r1"), 32).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    tested = marked.join(members, F.col("_r1").bitwiseAND(F.lit(_FILTER_WORDS - 1)) == F.col("_word"), "left").withColumn("_in", F.coalesce(bit == 1, F.lit(False)))
     untouched = tested.where(~F.col("_in")).select(*docs.columns, F.lit(None).cast("array<int>").alias("_gone"))
-    joined = tested.where("_in").join(dropped, (F.col("_r1") == F.col("r1")) & (F.col("_r2") == F.col("r2")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    rest = joined.select(*(F.when(F.col("gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns), F.col("gone").alias("_gone"))
+    joined = tested.where("_in").join(dropped, (F.col("_r1") == F.col("_lost_r1")) & (F.col("_r2") == F.col("_lost_r2")), "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_lost_gone"), i)), "\n")
+    rest = joined.select(*(F.when(F.col("_lost_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns), F.col("_lost_gone").alias("_gone"))
     return untouched.unionByName(rest)
