@@ -24,7 +24,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.store import cut
@@ -33,8 +33,8 @@ from graphloom.llm.store import cut
 THRESHOLD, LEAST, NEAR_LEAST = 2, 20, 60
 #: Lines that are looked up before their keys are dealt out: the most frequent ones, so many at most.
 HEAVY = 1000
-#: Letters whose counts are compared, four bits each; segments of a pair of lines that are compared before the distance.
-_LETTERS, _PARTS = "enat", 8
+#: Letters whose counts are compared, four bits each, 16 to a word; segments of a pair of lines that are compared before the distance.
+_LETTERS, _PARTS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE"), 8
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
 _FILTER_WORDS = 1 << 16
 
@@ -67,9 +67,9 @@ def _segment(length: Column, n: int, i: int) -> tuple[Column, Column]:
     return (base * i + F.greatest(F.lit(0), F.lit(i) - short) + 1).cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
 
 
-def _letter_counts(line: Column) -> Column:
+def _letter_counts(line: Column, letters: str) -> Column:
     """Counts of some letters modulo 16, packed."""
-    parts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(_LETTERS)]
+    parts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
@@ -80,7 +80,7 @@ def _letters_differ(a: Column, b: Column) -> Column:
         d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15)))
         return F.least(d, 16 - d)
 
-    return reduce(add, [one(i) for i in range(len(_LETTERS))])
+    return reduce(add, [one(i) for i in range(16)])
 
 
 def _key(units: Column, length: Column, i: int, start: Column, size: Column) -> Column:
@@ -118,6 +118,28 @@ def codes(line: Column) -> Column:
     return F.transform(F.split(line, ""), lambda c: F.ascii(c))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many codes two arrays share from the front."""
+    n = F.least(F.size(a), F.size(b))
+    differs = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x != y)
+    at = F.array_position(differs, True).cast("int")
+    return F.when(at > 0, at - 1).otherwise(n)
+
+
+def trimmed(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
+    """``pairs`` with the arrays ``a`` and ``b`` cut to where they differ and a little of what they share around it.
+
+    That leaves their distance as it is; ``threshold`` + 1 shared codes stay on either side.
+    """
+    keep = threshold + 1
+    front = pairs.withColumn("_front", F.greatest(_common(F.col(a), F.col(b)) - keep, F.lit(0)))
+    rest = lambda c: F.slice(F.col(c), F.col("_front") + 1, F.size(c))
+    left = front.withColumns({a: rest(a), b: rest(b)})
+    back = left.withColumn("_back", F.greatest(_common(F.reverse(a), F.reverse(b)) - keep, F.lit(0)))
+    part = lambda c: F.slice(F.col(c), F.lit(1), F.greatest(F.size(c) - F.col("_back"), F.lit(0)))
+    return back.withColumns({a: part(a), b: part(b)}).drop("_front", "_back")
+
+
 def edit_distance(long: Column, short: Column, threshold: int) -> Column:
     """Levenshtein distance of two arrays of codes, ``long`` not the shorter, if it is at most ``threshold``; else something larger.
 
@@ -184,29 +206,38 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str, threshol
     few = F.broadcast(heavy)  # HEAVY rows at most
     spread = lines.join(few, ["h", "h2"], "left_anti").unionByName(lines.join(few, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")))
 
-    def keys(of) -> DataFrame:
-        units = spread.select("h", _letter_counts(F.col("line")).alias("letters"), F.encode("line", "UTF-32").alias("units"))
-        sized = units.select("h", "letters", "units", (F.octet_length("units") / 4).cast("int").alias("n"))
-        rows = sized.select("h", "letters", F.explode(F.array(*of(F.col("units"), F.col("n"), threshold))).alias("k"))
-        return rows.repartition("k").dropDuplicates(["k", "h", "letters"])
-
-    index, probe = keys(_index_keys).alias("x"), keys(_probe_keys).alias("y")
-    near = _letters_differ(F.col("x.letters"), F.col("y.letters")) <= 2 * threshold
-    met = index.join(probe, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & near)
-    pairs = cut(met.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct(), "near-line-pairs")
+    units = spread.select("h", F.encode("line", "UTF-32").alias("units"))
+    sized = units.select("h", "units", (F.octet_length("units") / 4).cast("int").alias("n"))
+    flag = lambda columns, kind: [F.struct(c.alias("k"), F.lit(kind).alias("probe")) for c in columns]
+    keys = sized.select("h", F.inline(F.array(*flag(_index_keys(F.col("units"), F.col("n"), threshold), False), *flag(_probe_keys(F.col("units"), F.col("n"), threshold), True))))
+    # a key tells something only where an index entry meets a probe of another line: few of all keys
+    one = Window.partitionBy("k")
+    meets = (F.min("h").over(one) != F.max("h").over(one)) & (F.min("probe").over(one) != F.max("probe").over(one))
+    met = cut(keys.withColumn("meets", meets).where("meets").select("k", "h", "probe").distinct(), "near-line-keys")
 
-    members = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    members = met.select("h").distinct()
     texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    texts = cut(texts, "near-line-texts")
     order = firsts.join(members, "h", "left_semi").groupBy("h").agg(F.min("first").alias("first"))
-    told = cut(texts.join(order, "h").select("h", "line", "first", codes(F.col("line")).alias("codes")), "near-line-order")
-    named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in told.columns))
+    told = cut(texts.join(order, "h").select("h", "line", "first", *(_letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(_LETTERS))), "near-line-texts")
+
+    counted = met.join(told.select("h", "l0", "l1"), "h")
+    x, y = counted.where("NOT probe").alias("x"), counted.where("probe").alias("y")
+    near = _letters_differ(F.col("x.l0"), F.col("y.l0")) + _letters_differ(F.col("x.l1"), F.col("y.l1")) <= 2 * threshold
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & near)
+    pairs = cut(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct(), "near-line-pairs")
+
+    named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in ("h", "line", "first")))
     both = pairs.join(named("a"), F.col("a") == F.col("a_h")).join(named("b"), F.col("b") == F.col("b_h"))
-    met = cut(both.where(_parts_meet(F.col("a_line"), F.col("b_line"), threshold)).select("a", "b", "a_first", "b_first", "a_codes", "b_codes").repartition(F.col("a"), F.col("b")), "near-line-met")
-    turned = F.size("a_codes") >= F.size("b_codes")
-    sorted_ = met.select("a", "b", "a_first", "b_first", F.when(turned, F.col("a_codes")).otherwise(F.col("b_codes")).alias("long"), F.when(turned, F.col("b_codes")).otherwise(F.col("a_codes")).alias("short"))
+    turned = F.length("a_line") >= F.length("b_line")
     later = F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
-    return sorted_.where(edit_distance(F.col("long"), F.col("short"), threshold) <= threshold).select(later.alias("h")).distinct()
+    likely = both.where(_parts_meet(F.col("a_line"), F.col("b_line"), threshold)).select(
+        later.alias("h"), F.when(turned, F.col("a_line")).otherwise(F.col("b_line")).alias("long"), F.when(turned, F.col("b_line")).otherwise(F.col("a_line")).alias("short")
+    )
+    # the distance is the costly part: it is spread over all tasks, however few bytes the pairs have
+    coded = likely.repartition("h", F.xxhash64("long", "short")).withColumns({c: codes(F.col(c)) for c in ("long", "short")})
+    # written before the test, as a filter would be pushed below the arrays and compute them anew at each use
+    ready = cut(trimmed(coded, "long", "short", threshold), "near-line-likely")
+    return ready.where(edit_distance(F.col("long"), F.col("short"), threshold) <= threshold).select("h").distinct()
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, near_least: int = NEAR_LEAST) -> DataFrame:
