@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import slices
+from graphloom.llm.store import hash_sample, slices
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -269,7 +269,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | No
     The classifier's sample are the ``sample`` pages whose hash is smallest; every page is extracted.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
-    chosen = pages.select(F.col(html).alias("h")).where(F.length("h").between(1, 200_000)).orderBy(F.xxhash64("h"), "h").limit(sample)
+    chosen = hash_sample(pages.select(F.col(html).cast("string").alias("h")).where(F.length("h").between(1, 200_000)), "h", sample)
     weights = fit([r[0] for r in chosen.collect()])
 
     def run(batches):
