@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import slices
+from graphloom.llm.store import hash_sample, slices
 
 #: Rows of the training sample, rounds of exchange, pseudo-labels that a view may give in one.
 LABELLED, POOL, ROUNDS, GIVES = 6000, 3000, 3, 300
@@ -221,8 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
     """Collects the features of the bounded sample and co-trains on them."""
     good = F.when(F.max(F.coalesce(F.col("toxic"), F.lit(0))) > 0, 0.0).otherwise(F.min("quality").cast("double"))
     marked = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(good.alias("_y"))
-    first = lambda df, n: df.orderBy(F.xxhash64("_k"), "_k").limit(n)
-    chosen = first(marked, labelled).unionByName(first(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(None).cast("double").alias("_y")), pool))
+    chosen = hash_sample(marked, "_k", labelled).unionByName(hash_sample(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(None).cast("double").alias("_y")), "_k", pool))
     # at most labelled + pool rows, whatever the size of the corpus; a document in both counts as labelled
     ids = chosen.groupBy("_k").agg(F.max("_y").alias("_y"))
     rows = docs.join(F.broadcast(ids), F.col(key) == F.col("_k")).select("_k", "_y", *_inputs(docs))
