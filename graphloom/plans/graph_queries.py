@@ -215,6 +215,12 @@ def components(spark, sf_dir):
     return connected_components(few)
 
 
+@query()
+def components_whole(spark, sf_dir):
+    """Of the whole merged call graph; the SQL of ``components`` takes repeated sure calls only."""
+    return connected_components(P.calls(spark, sf_dir))
+
+
 @query("""WITH steps AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars, count(*) OVER (PARTITION BY conv_id) AS n,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN k = 1 OR k = n THEN 0 ELSE 1 END, chars DESC, turn) AS r FROM steps)
@@ -288,8 +294,7 @@ def label_propagation(spark, sf_dir):
 def variable_threads(spark, sf_dir):
     from graphloom.operators import communities
 
-    flows = P.calls(spark, sf_dir).where("confidence >= 1 AND reason = 'direct_call' AND sites >= 2")
-    return communities.threads(flows, P.functions(spark, sf_dir)).select("thread", "name", F.size("members").alias("members"))
+    return communities.threads(P.calls(spark, sf_dir), P.functions(spark, sf_dir)).select("thread", "name", F.size("members").alias("members"))
 
 
 @query(f"""WITH {CALLS} SELECT 'functions' AS measure, count(*) AS value FROM part UNION ALL SELECT 'calls_' || reason, count(*) FROM calls GROUP BY reason""")
