@@ -7,7 +7,8 @@ is within ``threshold`` edits of it. For the second, each distinct line is cut
 into threshold + 1 segments, one of which any line that near must hold
 unchanged: the segments are indexed by line length, place and content, the
 substrings of each line that can meet them are probed, letter counts thin out
-what meets by chance, and a banded bit-parallel edit distance decides.
+what meets by chance, and a banded bit-parallel edit distance decides. Where the
+threshold grows with the length (``by_length``), the smallest gram stands for a segment.
 
 Order is that of the key, then of the text's hash, then of the line number.
 
@@ -38,6 +39,19 @@ _LETTERS, _PARTS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE"), 8
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
 _FILTER_WORDS = 1 << 16
 
+#: What the corpus takes: thresholds that grow with the line. The arguments' defaults are the fixed threshold.
+WHOLE = {"by_length": True, "least": 20, "near_least": 60}
+#: Classes of the longer line for thresholds by length: first length, code points of a segment that are looked at, of a gram.
+#: Each of the ``allowed`` + 1 segments of a line of the class has so many code points at least.
+_CLASSES = ((10, 5, 5), (20, 6, 6), (36, 12, 12), (60, 15, 12), (180, 18, 12))
+#: Bits that a gram's place takes beside its hash.
+_PLACE = 24
+
+
+def allowed(n: Column) -> Column:
+    """Edits between near lines if the longer has ``n`` code points: a twentieth of them, and two, or a tenth, if that is less."""
+    return F.greatest(F.least(F.lit(2), F.floor(n / 10)), F.floor(n / 20)).cast("int")
+
 
 def _named(df: DataFrame, key: str, text: str) -> DataFrame:
     """(d, r1, r2, line_no, line): the counted lines of ``df`` with their document's place in the order."""
@@ -240,15 +254,86 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str, threshol
     return ready.where(edit_distance(F.col("long"), F.col("short"), threshold) <= threshold).select("h").distinct()
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, near_least: int = NEAR_LEAST) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _gram(units: Column, kind: int, q: int, at: Column) -> Column:
+    """The hash of the ``q`` code points from ``at``, and in its low bits ``at``: of equal grams the first is the smallest."""
+    h = F.xxhash64(F.lit(kind), F.substr(units, 4 * at - 3, F.lit(4 * q)))
+    return F.shiftleft(F.shiftright(h, _PLACE), _PLACE).bitwiseOR(at.cast("long").bitwiseAND(F.lit((1 << _PLACE) - 1)))
+
+
+def _index_grams(units: Column, n: Column, kind: int) -> Column:
+    """Of each of ``allowed`` + 1 even segments the smallest gram of its first code points."""
+    _, s, q = _CLASSES[kind]
+    parts = allowed(n) + 1
+    base = F.floor(n / parts).cast("int")
+    start = lambda i: base * i + F.greatest(F.lit(0), i - (parts - (n - base * parts))) + 1
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.array_min(F.transform(F.sequence(start(i), start(i) + (s - q)), lambda j: _gram(units, kind, q, j))))
+
+
+def _probe_grams(units: Column, n: Column, kind: int) -> Column:
+    """The smallest grams of all windows as wide as what is looked at of a segment: an unspoiled one is among them."""
+    _, s, q = _CLASSES[kind]
+    grams = F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda j: _gram(units, kind, q, j))
+    if s == q:
+        return grams
+    return _let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i: F.array_min(F.slice(g, i, F.lit(s - q + 1))))))
+
+
+def near_by_length(docs: DataFrame, firsts: DataFrame, key: str, text: str, near_least: int) -> DataFrame:
+    """(h): the lines that an earlier line is near to, by thresholds that grow with the length; see ``near_lines``.
+
+    The longer line of a near pair has an unspoiled segment, which stands in the other line at most
+    ``allowed`` places away; so does its smallest gram, and that is the smallest gram of a window there.
+    """
+    lines = _named(docs, key, text).where(_counts(F.col("line"), near_least)).select("line", *_line_hash(F.col("line")))
+    heavy = F.broadcast(firsts.where("n > 1").orderBy(F.desc("n"), "h", "h2").limit(HEAVY).select("h", "h2"))  # HEAVY rows at most
+    spread = lines.join(heavy, ["h", "h2"], "left_anti").unionByName(lines.join(heavy, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")))
+    once = spread.groupBy("h").agg(F.first("line").alias("line")).join(firsts.groupBy("h").agg(F.min("first").alias("first")), "h")
+    told = cut(once.select("h", "line", "first", F.length("line").alias("n"), _letter_counts(F.col("line"), _LETTERS[0]).alias("l0")), "near-line-texts")
+
+    def keyed(p: str, grams) -> DataFrame:
+        found = told.select("h", "n", "l0", F.explode(_let(F.encode("line", "UTF-32"), grams)).alias("gram"))
+        place = F.col("gram").bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
+        return found.select(F.shiftright("gram", _PLACE).alias("k"), F.col("h").alias(f"{p}_h"), F.col("n").alias(f"{p}_n"), F.col("l0").alias(f"{p}_l0"), place.alias(f"{p}_at"))
+
+    n, none = F.col("n"), F.array().cast("array<bigint>")
+    ends = [c[0] for c in _CLASSES[1:]] + [1 << 31]
+    inside = [(n >= first) & (n < end) for (first, *_), end in zip(_CLASSES, ends)]
+    # the other line may be shorter than its class by what is allowed there
+    meets = [(n >= first - max(min(2, first // 10), first // 20)) & (n < end) for (first, *_), end in zip(_CLASSES, ends)]
+    kinds = range(len(_CLASSES))
+    index = keyed("x", lambda u: F.concat(*(F.when(inside[i], _index_grams(u, n, i)).otherwise(none) for i in kinds)))
+    probes = keyed("y", lambda u: F.concat(*(F.when(meets[i], _probe_grams(u, n, i)).otherwise(none) for i in kinds)))
+    most = allowed(F.col("x_n"))
+    close = (F.col("x_n") >= F.col("y_n")) & (F.col("x_n") - F.col("y_n") <= most) & (F.pmod(F.col("x_at") - F.col("y_at") + most, F.lit(1 << _PLACE)) <= 2 * most)
+    pairs = index.join(probes, "k").where((F.col("x_h") != F.col("y_h")) & close & (_letters_differ(F.col("x_l0"), F.col("y_l0")) <= 2 * most))
+    pairs = cut(pairs.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b")).distinct(), "near-line-pairs")
+
+    named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in ("h", "line", "first", "n")))
+    both = pairs.join(named("a"), F.col("a") == F.col("a_h")).join(named("b"), F.col("b") == F.col("b_h"))
+    later = F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
+    # the distance is the costly part: it is spread over all tasks, however few bytes the pairs have
+    likely = both.select(later.alias("h"), "a_line", "b_line", allowed(F.greatest("a_n", "b_n")).alias("most")).repartition("h", F.xxhash64("a_line", "b_line"))
+    # the built-in distance is -1 where it is larger than the threshold
+    return likely.where(F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), F.col("most")) >= 0).select("h").distinct()
+
+
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, near_least: int = NEAR_LEAST, by_length: bool = False) -> DataFrame:
     """(r1, r2, gone): for each document that loses lines, their sorted numbers from 0."""
-    if near_least <= _PARTS * (threshold + 1) or threshold < 1:
+    if by_length and near_least < _CLASSES[0][0]:
+        raise ValueError("shorter lines are allowed no edit")
+    if not by_length and (near_least <= _PARTS * (threshold + 1) or threshold < 1):
         raise ValueError("lines that are compared nearly need more code points for this threshold")
     seen = _named(docs, key, text).where(_counts(F.col("line"), least)).select("d", "r1", "r2", "line_no", *_line_hash(F.col("line")))
     seen = cut(seen, "lines")
     firsts = cut(seen.groupBy("h", "h2").agg(F.min(F.struct("d", "r1", "r2", "line_no")).alias("first"), F.count("*").alias("n")), "first-lines")
     again = seen.join(firsts.where("n > 1"), ["h", "h2"]).where(~F.struct("d", "r1", "r2", "line_no").eqNullSafe(F.col("first"))).select("r1", "r2", "line_no")
-    near = cut(near_lines(docs, firsts, key, text, threshold, near_least), "near-lines")
+    found = near_by_length(docs, firsts, key, text, near_least) if by_length else near_lines(docs, firsts, key, text, threshold, near_least)
+    near = cut(found, "near-lines")
     close = seen.join(near, "h", "left_semi").select("r1", "r2", "line_no")
     return again.unionByName(close).groupBy("r1", "r2").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 

@@ -101,7 +101,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import line_dedup
 
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), **line_dedup.WHOLE)
     return out.select(
         "doc_id",
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"),
