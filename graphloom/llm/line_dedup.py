@@ -39,8 +39,8 @@ _LETTERS, _PARTS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE"), 8
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
 _FILTER_WORDS = 1 << 16
 
-#: What the corpus takes: thresholds that grow with the line. The arguments' defaults are the fixed threshold.
-WHOLE = {"by_length": True, "least": 20, "near_least": 60}
+#: What the corpus takes: every non-blank line, thresholds that grow with the line. The arguments' defaults are the fixed threshold.
+WHOLE = {"by_length": True, "least": 1, "near_least": 10}
 #: Classes of the longer line for thresholds by length: first length, code points of a segment that are looked at, of a gram.
 #: Each of the ``allowed`` + 1 segments of a line of the class has so many code points at least.
 _CLASSES = ((10, 5, 5), (20, 6, 6), (36, 12, 12), (60, 15, 12), (180, 18, 12))

@@ -54,6 +54,12 @@ def test_thresholds_grow_with_the_line(spark):
     assert any(len(x) > 150 for x in near)
 
 
+def test_short_lines_count(spark):
+    docs = made([3, 5, 9, 10, 12, 19, 20, 23, 35, 36, 40, 58, 61] * 2) + [(900, "Les.\n\nLes.\n \nThe."), (901, "The.\nLes.")]
+    near = agrees(spark, docs)
+    assert any(10 <= len(x) < 20 for x in near) and any(20 <= len(x) < 60 for x in near)
+
+
 def test_query_takes_out_a_line_with_one_word_changed(spark, tmp_path):
     line = " ".join(f"word{i} stands here" for i in range(12))
     docs = [(1, line), (2, line.replace("word7", "another"))]
