@@ -89,7 +89,7 @@ _DIGITS = {
 _AT, _DOT = r"(?:at|ät|arroba|arobase|klammeraffe|@)", r"(?:dot|punkt|punto|point|\.)"
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _NAME = r"(?<![^\W_])(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?![^\W_])"
-#: Four spelled digits at least stand in a row; a lone number word is prose.
+#: Four digits at least stand in a row, one of them spelled; a lone number word is prose.
 _SPELLED = re.compile(rf"(?:{_NAME}|[0-9])(?:[\s,-]{{1,3}}(?:{_NAME}|[0-9])|[0-9]){{3,}}", re.I)
 _ONE_NAME = re.compile(_NAME, re.I)
 _ATS = re.compile(rf"\s{{0,3}}{_OPEN}{_AT}{_CLOSE}\s{{0,3}}", re.I)
@@ -99,7 +99,7 @@ _SAID = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>\s+{_A
 _SAID_DOT = re.compile(rf"\s+{_DOT}\s+|\s\.\s?|\.\s", re.I)
 _SAID_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:\s+{_DOT}\s+[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _PLUS = re.compile(r"(?<![^\W_])(?:plus|más|mas)\s+(?=[0-9])", re.I)
-_DOT_WORD = re.compile(_DOT.replace(r"|\.", ""), re.I)
+_WORD = re.compile(r"[^\W_]+")
 _BRACKETED = re.compile(rf"{_OPEN}(?:{_AT}|{_DOT}){_CLOSE}", re.I)
 
 
@@ -146,8 +146,6 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     for m in _SPELLED.finditer(text):
         at = m.start()
         names = list(_ONE_NAME.finditer(text, m.start(), m.end()))
-        if len(names) < 4:
-            continue
         for n in names:
             edits.append((n.start() if n.start() == at or not text[at : n.start()].strip(" \t\n,-") == "" else at, n.end(), _DIGITS[n[0].lower()]))
             at = n.end()
@@ -180,19 +178,22 @@ def _touched(text: str) -> bool:
         return True
     if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True
-    return bool((_DOT_WORD.search(text) and (_SAID.search(text) or _SAID_IP.search(text))) or _names_in_row(text) and _spelled(text))
+    if _DIGIT.search(text) and (_SAID_IP.search(text) or _PLUS.search(text)):
+        return True
+    return bool(_SAID.search(text) or _names_in_row(text) and _spelled(text))
 
 
 def _names_in_row(text: str) -> bool:
-    """Whether four words that name digits, or digits, can stand in a row; plain word tests, as most texts hold none."""
-    words = text.lower().replace(",", " ").replace("-", " ").split()
-    if len(_DIGITS.keys() & set(words)) == 0:
+    """Whether a word that names a digit stands beside another or beside a number, as in all rows; plain word tests, as most texts hold none."""
+    words = _WORD.findall(text.lower())
+    if _DIGITS.keys().isdisjoint(words):
         return False
-    row = 0
+    before, named = "", False
     for w in words:
-        row = row + 1 if w in _DIGITS or w[:1].isdigit() or w.strip(".;:!?()\"'") in _DIGITS else 0
-        if row >= 2:
+        name = w in _DIGITS
+        if name and (named or _DIGIT.search(before)) or named and _DIGIT.search(w):
             return True
+        before, named = w, name
     return False
 
 
