@@ -39,3 +39,34 @@ def test_components_of_all_calls(spark, calls):
     assert {r.id: r.component for r in catalogue.QUERIES["components_whole"](spark, SF).collect()} == want
     sizes = collections.Counter(want.values())
     assert {r.thread: r.members for r in catalogue.QUERIES["variable_threads"](spark, SF).collect()} == sizes
+
+
+@pytest.fixture(scope="module")
+def functions():
+    """Test flag, line count, name, class, module and file of each function."""
+    rows = duckdb.execute(f"SELECT p_partkey, p_size, p_name, p_brand, lower(p_type) FROM '{SF}/part.parquet'").fetchall()
+    return {k: (size <= 10, size, name, brand, kind, f"{kind}/{brand}") for k, size, name, brand, kind in rows}
+
+
+def test_all_callers_count(spark, calls, functions):
+    callers = collections.defaultdict(list)
+    for src, dst, _, reason in calls:
+        callers[dst].append((src, reason))
+    got = {r.id: r for r in catalogue.QUERIES["dead_tiers_whole"](spark, SF).collect()}
+    assert got.keys() == functions.keys()
+    for i, r in got.items():
+        sure = [s for s, reason in callers[i] if reason != "fuzzy"]
+        test = sum(functions[s][0] for s in sure)
+        script = sum(not functions[s][0] and functions[s][1] > 45 for s in sure)
+        assert (r.total, r.fuzzy, r.test, r.script, r.prod) == (len(callers[i]), len(callers[i]) - len(sure), test, script, len(sure) - test - script)
+        assert ("definitely" in r.tier) <= (not callers[i])
+    tested = {dst for src, dst, *_ in calls if functions[src][0]}
+    for query, at in (("test_coverage_map_whole", 4), ("any_call_coverage_map_whole", 5)):
+        own = [(f[at], i in tested) for i, f in functions.items() if not f[0]]
+        want = {k: (n, sum(t for by, t in own if by == k)) for k, n in collections.Counter(by for by, _ in own).items()}
+        assert {r[0]: (r.total, r.tested) for r in catalogue.QUERIES[query](spark, SF).collect()} == want
+    best = {}
+    for i, (is_test, _, name, brand, _, path) in sorted(functions.items()):
+        score = (-5 if is_test else 1) + 1 + 3 * bool(callers[i]) + 2 * (brand.lower() == name.lower())
+        best[name] = min(best.get(name, (9, "", 0)), (-score, path, i))
+    assert {r.name: (-r.score, r.id) for r in catalogue.QUERIES["duplicate_canonical_whole"](spark, SF).collect()} == {n: (s, i) for n, (s, _, i) in best.items()}
