@@ -19,6 +19,8 @@ query = CATALOGUE.query
 
 #: Nodes from which traversals start, confidence of the edges that they follow.
 ROOT, SURE = 1, 0.95
+#: Confidence of the edges that the survey's depth queries and communities follow, for the queries without SQL.
+DEEP, LINKED = 0.8, 0.5
 
 
 def _sure(spark: SparkSession, sf_dir: str, least: float = SURE) -> DataFrame:
@@ -136,15 +138,35 @@ def dependents_by_depth(spark, sf_dir):
     return V.reach(_sure(spark, sf_dir), _one(spark), 3, forward=False)
 
 
+@query()
+def dependents_by_depth_whole(spark, sf_dir):
+    """At the survey's floor; the SQL of ``dependents_by_depth`` has a higher one, as that of the queries below."""
+    return V.reach(_sure(spark, sf_dir, DEEP), _one(spark), 3, forward=False)
+
+
 @query(f"WITH {_SURE}, {_hops('src', 'dst', 3)} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
 def dependencies_by_depth(spark, sf_dir):
     return V.reach(_sure(spark, sf_dir), _one(spark), 3)
 
 
+@query()
+def dependencies_by_depth_whole(spark, sf_dir):
+    return V.reach(_sure(spark, sf_dir, DEEP), _one(spark), 3)
+
+
 @query(f"""WITH {_SURE}, {_hops('dst', 'src', 3)}, named AS (SELECT hop, file_path FROM hops JOIN fn USING (id) WHERE hop > 0), {FUNCTIONS}
 SELECT CAST(hop AS INTEGER) AS hop, count(*) AS functions, count(DISTINCT file_path) AS files FROM named GROUP BY hop""".replace(f", named AS (SELECT hop, file_path FROM hops JOIN fn USING (id) WHERE hop > 0), {FUNCTIONS}", f", {FUNCTIONS}, named AS (SELECT hop, file_path FROM hops JOIN fn USING (id) WHERE hop > 0)"))
 def impact_by_file(spark, sf_dir):
-    hit = V.reach(_sure(spark, sf_dir), _one(spark), 3, forward=False).where("hop > 0").join(P.functions(spark, sf_dir), "id")
+    return _impact_by_file(spark, sf_dir, SURE)
+
+
+@query()
+def impact_by_file_whole(spark, sf_dir):
+    return _impact_by_file(spark, sf_dir, DEEP)
+
+
+def _impact_by_file(spark, sf_dir, least):
+    hit = V.reach(_sure(spark, sf_dir, least), _one(spark), 3, forward=False).where("hop > 0").join(P.functions(spark, sf_dir), "id")
     return hit.groupBy("hop").agg(F.count("*").alias("functions"), F.count_distinct("file_path").alias("files"))
 
 
@@ -167,8 +189,17 @@ def _impact_sql(hops: int) -> str:
 
 @query(_impact_sql(4))
 def diff_impact(spark, sf_dir):
+    return _diff_impact(spark, sf_dir, SURE, 4)
+
+
+@query()
+def diff_impact_whole(spark, sf_dir):
+    return _diff_impact(spark, sf_dir, 0, 5)
+
+
+def _diff_impact(spark, sf_dir, least, hops):
     seeds = _one(spark).select("id", (0.01 + F.col("id") / 1000000.0).alias("score"))
-    return V.spread(_sure(spark, sf_dir), seeds, 4).select("id", "hop", F.round("score", 8).alias("score"))
+    return V.spread(_sure(spark, sf_dir, least), seeds, hops).select("id", "hop", F.round("score", 8).alias("score"))
 
 
 _TOP4 = f"{CALLS}, top4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM calls) WHERE k <= 4)"
@@ -271,9 +302,18 @@ def class_ancestors(spark, sf_dir):
 @query(f"""WITH {_SURE}, {FUNCTIONS}, {_EXTENDS}, up AS (SELECT DISTINCT m.id, b.id AS base_id FROM fn m JOIN anc ON anc.class = m.class_name JOIN fn b ON b.name = m.name AND b.class_name = anc.base)
 SELECT up.id, src AS caller, round(max(confidence) * 0.9, 4) AS confidence FROM up JOIN sure ON dst = base_id GROUP BY up.id, src""")
 def interface_callers(spark, sf_dir):
+    return _interface_callers(spark, sf_dir, SURE)
+
+
+@query()
+def interface_callers_whole(spark, sf_dir):
+    return _interface_callers(spark, sf_dir, 0)
+
+
+def _interface_callers(spark, sf_dir, least):
     from graphloom.operators import heritage
 
-    return heritage.interface_callers(P.functions(spark, sf_dir).select("id", "name", "class_name"), _brand_chain(spark, sf_dir), _sure(spark, sf_dir))
+    return heritage.interface_callers(P.functions(spark, sf_dir).select("id", "name", "class_name"), _brand_chain(spark, sf_dir), _sure(spark, sf_dir, least))
 
 
 @query(f"""WITH {FUNCTIONS}, {_EXTENDS} SELECT DISTINCT m.id FROM fn m JOIN anc ON anc.class = m.class_name JOIN fn b ON b.name = m.name AND b.class_name = anc.base""")
@@ -287,7 +327,7 @@ def superclass_reachable(spark, sf_dir):
 def label_propagation(spark, sf_dir):
     from graphloom.operators import communities
 
-    return communities.label_propagation(_sure(spark, sf_dir))
+    return communities.label_propagation(_sure(spark, sf_dir, LINKED), LINKED)
 
 
 @query()

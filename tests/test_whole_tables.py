@@ -70,3 +70,48 @@ def test_all_callers_count(spark, calls, functions):
         score = (-5 if is_test else 1) + 1 + 3 * bool(callers[i]) + 2 * (brand.lower() == name.lower())
         best[name] = min(best.get(name, (9, "", 0)), (-score, path, i))
     assert {r.name: (-r.score, r.id) for r in catalogue.QUERIES["duplicate_canonical_whole"](spark, SF).collect()} == {n: (s, i) for n, (s, _, i) in best.items()}
+
+
+def test_traversals_at_the_floors_of_the_survey(spark, calls, functions):
+    def walk(edges, hops):
+        """Hop and score of each node that ``edges`` lead to from node 1."""
+        found = {1: (0, 0.01 + 1 / 1000000)}
+        last = dict(found)
+        for hop in range(1, hops + 1):
+            fresh = {}
+            for a, b, c in edges:
+                if a in last and b not in found:
+                    fresh[b] = max(fresh.get(b, (hop, 0)), (hop, last[a][1] * 0.7 * c))
+            found |= fresh
+            last = fresh
+        return found
+
+    run = lambda name: catalogue.QUERIES[name](spark, SF).collect()
+    back, ahead = ([(r[a], r[b], r[2]) for r in calls] for a, b in ((1, 0), (0, 1)))
+    deep = walk([e for e in back if e[2] >= 0.8], 3)
+    assert {r.id: r.hop for r in run("dependents_by_depth_whole")} == {i: h for i, (h, _) in deep.items()}
+    assert {r.id: r.hop for r in run("dependencies_by_depth_whole")} == {i: h for i, (h, _) in walk([e for e in ahead if e[2] >= 0.8], 3).items()}
+    by_hop = collections.defaultdict(list)
+    for i, (h, _) in deep.items():
+        by_hop[h].append(functions[i][5])
+    assert {r.hop: (r.functions, r.files) for r in run("impact_by_file_whole")} == {h: (len(p), len(set(p))) for h, p in by_hop.items() if h}
+    got = {r.id: (r.hop, r.score) for r in run("diff_impact_whole")}
+    want = walk(back, 5)
+    assert got.keys() == want.keys() and all(got[i][0] == h and abs(got[i][1] - s) < 1e-7 for i, (h, s) in want.items())
+    linked = {x for a, b, c, _ in calls if c >= 0.5 for x in (a, b)}
+    assert {r.id for r in run("label_propagation")} == linked
+    brands = sorted({f[3] for f in functions.values()})
+    above = {b: brands[k + 1 : k + 4] for k, b in enumerate(brands)}
+    bases = collections.defaultdict(list)
+    for i, f in functions.items():
+        bases[f[2], f[3]].append(i)
+    into = collections.defaultdict(list)
+    for a, b, c, _ in calls:
+        into[b].append((a, c))
+    want = {}
+    for i, f in functions.items():
+        for brand in above[f[3]]:
+            for base in bases[f[2], brand]:
+                for a, c in into[base]:
+                    want[i, a] = max(want.get((i, a), 0), round(c * 0.9, 4))
+    assert {(r.id, r.caller): r.confidence for r in run("interface_callers_whole")} == want
