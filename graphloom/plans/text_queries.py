@@ -76,7 +76,17 @@ _STATEMENTS = [(0, "INV-3: the table is never empty at start\nALWAYS close the h
 (2, 'lifecycle=Must be started before any read of the data'), (3, ''), (4, 'constraint=MUST NOT share cursors between workers')) AS t(id, found)""")
 def invariant_extract(spark, sf_dir):
     rows = spark.createDataFrame(_STATEMENTS, "id int, text string")
-    return rows.select("id", F.array_join(F.transform(T.invariants(F.col("text")), lambda s: F.concat_ws("=", s["kind"], s["text"])), "|").alias("found"))
+    return rows.select("id", _invariants(F.col("text")).alias("found"))
+
+
+def _invariants(text):
+    return F.array_join(F.transform(T.invariants(text), lambda s: F.concat_ws("=", s["kind"], s["text"])), "|")
+
+
+@query()
+def invariant_extract_whole(spark, sf_dir):
+    """Over all documents; the SQL of ``invariant_extract`` has literal rows."""
+    return P.table(spark, sf_dir, "documents").select("doc_id", _invariants(F.coalesce("text", F.lit(""))).alias("found"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)session\\.|\\.query\\(|\\.insert\\(|\\.update\\(|\\.delete\\(|\\.execute\\(|\\.commit\\(|\\.fetchall\\(|\\.fetchone\\(|\\.cursor\\(') THEN 'db_operation' END,
@@ -96,6 +106,14 @@ def config_registry(spark, sf_dir):
     return rows.groupBy("key").agg(F.count("*").alias("usage_count"), F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), ",").alias("files"))
 
 
+@query()
+def config_registry_whole(spark, sf_dir):
+    """The keys of all events' properties and those that all documents read, with the number of rows; the SQL of ``config_registry`` has literal rows."""
+    used = lambda name, keys: P.table(spark, sf_dir, name).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).select("key", F.lit(name).alias("source"), "n")
+    rows = used("events", F.json_object_keys("props")).unionByName(used("documents", T.config_keys(F.col("text"))))
+    return rows.groupBy("key").agg(F.sum("n").alias("usage_count"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("files"))
+
+
 @query("""WITH d AS (SELECT json_extract_string(props, '$.k') AS key, count(*) AS declared FROM events WHERE event_type <> 'purchase' GROUP BY 1),
 r AS (SELECT CAST(doc_id % 37 AS VARCHAR) AS key, count(*) AS reads FROM labels GROUP BY 1)
 SELECT coalesce(d.key, r.key) AS key, coalesce(declared, 0) AS declaration_count, coalesce(reads, 0) AS read_count FROM d FULL JOIN r ON d.key = r.key""")

@@ -115,3 +115,14 @@ def test_traversals_at_the_floors_of_the_survey(spark, calls, functions):
                 for a, c in into[base]:
                     want[i, a] = max(want.get((i, a), 0), round(c * 0.9, 4))
     assert {(r.id, r.caller): r.confidence for r in run("interface_callers_whole")} == want
+
+
+def test_texts_and_events_are_read(spark, tmp_path):
+    docs = [(1, "cfg['db.url'] and config.get('k')\nYou MUST NOT share cursors between workers."), (2, "cfg['db.url']"), (3, None), (4, "plain prose")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([('{"k": 1, "m": 2}',), ('{"k": 3}',), (None,), ("broken",)], "props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.key: (r.usage_count, r.files) for r in catalogue.QUERIES["config_registry_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"db.url": (2, "documents"), "k": (3, "documents,events"), "m": (1, "events")}
+    found = {r.doc_id: r.found for r in catalogue.QUERIES["invariant_extract_whole"](spark, str(tmp_path)).collect()}
+    assert found == {1: "constraint=MUST NOT share cursors between workers", 2: "", 3: "", 4: ""}
+    assert catalogue.QUERIES["invariant_extract_whole"](spark, SF).count() == duckdb.execute(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchone()[0]
