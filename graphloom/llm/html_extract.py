@@ -266,7 +266,7 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
     """The columns ``keep`` of ``pages`` with ``text``, the main text, and ``n_chars``, its code points.
 
-    The classifier's sample are the ``sample`` pages whose hash is smallest; every page is extracted.
+    The classifier's sample are the ``sample`` pages of at most 200,000 characters whose hash is smallest; every page is extracted.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
     chosen = hash_sample(pages.select(F.col(html).cast("string").alias("h")).where(F.length("h").between(1, 200_000)), "h", sample)

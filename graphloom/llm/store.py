@@ -33,11 +33,14 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The ``rows`` rows of ``df`` whose hash of ``key`` is smallest, equal keys taken once.
 
     All but about four times as many are left out where they are read, by the size of their hash,
-    so what a task sends on does not grow with the number of tasks.
+    so what a task sends on does not grow with the number of tasks. Where keys repeat so often that
+    fewer are left, the cutoff is widened until there are enough or it lets all through.
     """
     names = [c for c in df.columns if c != key]
     h = F.shiftrightunsigned(F.xxhash64(key), 1)
-    total = df.count()
-    near = df if total <= 4 * rows else df.where(h < int(4 * rows / total * (1 << 63)))
+    share = 4 * rows / max(df.count(), 1)
+    while share < 1 and df.where(h < int(share * (1 << 63))).select(key).distinct().limit(rows).count() < rows:
+        share *= 4
+    near = df if share >= 1 else df.where(h < int(share * (1 << 63)))
     once = near.groupBy(key).agg(*(F.first(c).alias(c) for c in names)) if names else near.distinct()
     return once.orderBy(h, key).limit(rows)
