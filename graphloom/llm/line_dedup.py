@@ -3,21 +3,28 @@
 Everything here is DataFrame functions; nothing runs in Python.
 
 A line goes if an equal line stands earlier in the corpus, or if an earlier line
-is within ``threshold`` edits of it. For the second, each distinct line is cut
-into threshold + 1 segments, one of which any line that near must hold
-unchanged: the segments are indexed by line length, place and content, the
-substrings of each line that can meet them are probed, letter counts thin out
-what meets by chance, and a banded bit-parallel edit distance decides. Where the
-threshold grows with the length (``by_length``), the smallest gram stands for a segment.
+is near it: within ``allowed`` edits of code points, a number that grows with the
+square root of the longer line's length. The longer line of a pair is cut into
+that many segments and one more, so one of them stands unspoiled in the other
+line. Segments are indexed by class of length, number and content; the
+substrings of each line that can meet them are probed; letter counts thin out
+what meets by chance; a banded bit-parallel edit distance decides.
+
+The segments of the front half are placed from the line's start and those of the
+back half from its end, all of one length in a class. There is an unspoiled
+segment with as many edits before it as segments and no more edits after it than
+segments, so a front one is off by its number at most and a back one by that
+counted from the end. This makes the substrings that are probed few (half the
+square of the edits) and the same for all lengths of a class.
 
 Order is that of the key, then of the text's hash, then of the line number.
 
-Defined results: a line counts if it holds a non-blank character and at least
-``least`` code points, others always stay; lines of fewer than ``near_least``
-code points are compared exactly only; a null text stays null; a text that
-loses all its lines becomes empty; rows equal in key and text are one document
-and get equal results; an empty table gives an empty result; other columns are
-carried along unchanged; names that start with an underscore are the operator's own.
+Defined results: a line counts if it holds a non-blank character, others always
+stay; lines of fewer than 10 code points are allowed no edit, so only equal ones
+go; a null text stays null; a text that loses all its lines becomes empty; rows
+equal in key and text are one document and get equal results; an empty table
+gives an empty result; other columns are carried along unchanged, whatever their
+names but for ``_gone``, which is replaced.
 """
 
 from __future__ import annotations
@@ -30,27 +37,28 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.store import cut
 
-#: Edits between near lines, code points of a line that counts, and of one that is compared nearly.
-THRESHOLD, LEAST, NEAR_LEAST = 2, 20, 60
 #: Lines that are looked up before their keys are dealt out: the most frequent ones, so many at most.
 HEAVY = 1000
-#: Letters whose counts are compared, four bits each, 16 to a word; segments of a pair of lines that are compared before the distance.
-_LETTERS, _PARTS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE"), 8
+#: Letters whose counts are compared, four bits each, 16 to a word.
+_LETTERS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE")
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
 _FILTER_WORDS = 1 << 16
+#: The most edits between near lines: a band of twice as many cells and one has to fit into a word.
+_MOST = 30
 
-#: What the corpus takes: every non-blank line, thresholds that grow with the line. The arguments' defaults are the fixed threshold.
-WHOLE = {"by_length": True, "least": 1, "near_least": 10}
-#: Classes of the longer line for thresholds by length: first length, code points of a segment that are looked at, of a gram.
-#: Each of the ``allowed`` + 1 segments of a line of the class has so many code points at least.
-_CLASSES = ((10, 5, 5), (20, 6, 6), (36, 12, 12), (60, 15, 12), (180, 18, 12))
-#: Bits that a gram's place takes beside its hash.
-_PLACE = 24
+
+def edits(n: int) -> int:
+    """Edits between near lines if the longer has ``n`` code points: a quarter of the square root, but two from 20 and one from 10."""
+    return 0 if n < 10 else 1 if n < 20 else max(2, min(_MOST, int(n**0.5 / 4)))
 
 
 def allowed(n: Column) -> Column:
-    """Edits between near lines if the longer has ``n`` code points: a twentieth of them, and two, or a tenth, if that is less."""
-    return F.greatest(F.least(F.lit(2), F.floor(n / 10)), F.floor(n / 20)).cast("int")
+    """``edits`` of a column."""
+    return F.when(n < 10, 0).when(n < 20, 1).otherwise(F.greatest(F.lit(2), F.least(F.lit(_MOST), F.floor(F.sqrt(n) / 4)))).cast("int")
+
+
+#: First length of each class; all lines of a class are allowed the same edits.
+_CLASSES = (10, 20, 30, 42, *((4 * t) ** 2 for t in range(2, _MOST + 1)))
 
 
 def _named(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,19 +74,13 @@ def _row_hash(key: str, text: str) -> list[Column]:
     return [F.xxhash64(key, text).alias("r1"), F.xxhash64(F.lit("row"), key, text).alias("r2")]
 
 
-def _counts(line: Column, least: int) -> Column:
-    return (F.length(line) >= least) & line.rlike(r"\S")
+def _counts(line: Column) -> Column:
+    return line.rlike(r"\S")
 
 
 def _line_hash(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), line).alias("h2")]
-
-
-def _segment(length: Column, n: int, i: int) -> tuple[Column, Column]:
-    """First place (from 1) and length of segment ``i`` (from 0) of ``n``: even, the longer ones last."""
-    base = F.floor(length / n).cast("int")
-    short = F.lit(n) - (length - base * n)  # segments of the shorter length
-    return (base * i + F.greatest(F.lit(0), F.lit(i) - short) + 1).cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+    """Two hashes of a line; the first is even, its last bit is free for a mark."""
+    return [F.xxhash64(line).bitwiseAND(F.lit(-2)).alias("h"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
 def _letter_counts(line: Column, letters: str) -> Column:
@@ -97,36 +99,6 @@ def _letters_differ(a: Column, b: Column) -> Column:
     return reduce(add, [one(i) for i in range(16)])
 
 
-def _key(units: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    """The key of segment ``i`` of lines of ``length``; ``units`` has four bytes a code point, so a slice is found at once."""
-    return F.xxhash64(length, F.lit(i), F.substr(units, 4 * start - 3, 4 * size))
-
-
-def _index_keys(units: Column, n: Column, threshold: int) -> list[Column]:
-    return [_key(units, n, i, *_segment(n, threshold + 1, i)) for i in range(threshold + 1)]
-
-
-def _probe_keys(units: Column, n: Column, threshold: int) -> list[Column]:
-    """The substrings that can meet a segment of a line as long or up to ``threshold`` shorter (multi-match-aware selection)."""
-    out = []
-    for less in range(threshold + 1):
-        for i in range(threshold + 1):
-            start, size = _segment(n - less, threshold + 1, i)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                out.append(_key(units, n - less, i, start + shift, size))
-    return out
-
-
-def _parts_meet(a: Column, b: Column, threshold: int) -> Column:
-    """Whether enough of many segments of ``a`` stand in ``b`` near their places: an edit spoils one of them at most."""
-    n = F.length(a)
-    found = []
-    for i in range(_PARTS):
-        start, size = _segment(n, _PARTS, i)
-        found.append(F.contains(F.substr(b, F.greatest(start - threshold, F.lit(1)), size + 2 * threshold), F.substr(a, start, size)).cast("int"))
-    return reduce(add, found) >= _PARTS - threshold
-
-
 def codes(line: Column) -> Column:
     """The characters of a line as numbers."""
     return F.transform(F.split(line, ""), lambda c: F.ascii(c))
@@ -140,118 +112,91 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(n)
 
 
-def trimmed(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
+def trimmed(pairs: DataFrame, a: str, b: str, most: Column) -> DataFrame:
     """``pairs`` with the arrays ``a`` and ``b`` cut to where they differ and a little of what they share around it.
 
-    That leaves their distance as it is; ``threshold`` + 1 shared codes stay on either side.
+    That leaves their distance as it is; ``most`` + 1 shared codes stay on either side.
     """
-    keep = threshold + 1
-    front = pairs.withColumn("_front", F.greatest(_common(F.col(a), F.col(b)) - keep, F.lit(0)))
+    front = pairs.withColumn("_front", F.greatest(_common(F.col(a), F.col(b)) - most - 1, F.lit(0)))
     rest = lambda c: F.slice(F.col(c), F.col("_front") + 1, F.size(c))
     left = front.withColumns({a: rest(a), b: rest(b)})
-    back = left.withColumn("_back", F.greatest(_common(F.reverse(a), F.reverse(b)) - keep, F.lit(0)))
+    back = left.withColumn("_back", F.greatest(_common(F.reverse(a), F.reverse(b)) - most - 1, F.lit(0)))
     part = lambda c: F.slice(F.col(c), F.lit(1), F.greatest(F.size(c) - F.col("_back"), F.lit(0)))
     return back.withColumns({a: part(a), b: part(b)}).drop("_front", "_back")
 
 
-def edit_distance(long: Column, short: Column, threshold: int) -> Column:
-    """Levenshtein distance of two arrays of codes, ``long`` not the shorter, if it is at most ``threshold``; else something larger.
+def edit_distance(long: Column, short: Column, most: Column) -> Column:
+    """Levenshtein distance of two arrays of codes, ``long`` not the shorter, if it is at most ``most``; else something larger.
 
-    Both hold more than ``threshold`` codes.
+    Both hold more than ``most`` codes, and ``most`` is from 1 to 30.
 
-    Bit-parallel over a diagonal band of 2 * threshold + 1 cells: one word of vertical
+    Bit-parallel over a diagonal band of 2 * most + 1 cells: one word of vertical
     differences moves down the diagonal with each character of the shorter text.
     """
-    m, n, w = F.size(long), F.size(short), 2 * threshold + 1
-    mask = F.lit((1 << w) - 1)
+    m, n, w = F.size(long), F.size(short), 2 * most + 1
+    one = F.lit(1).cast("long")
+    up = lambda x, k: F.call_function("shiftleft", x, k.cast("int"))
+    mask = up(one, w) - 1
 
     def step(acc: Column, j: Column) -> Column:
-        # j from 0; bit i of a word stands for row j - threshold + i, rows counted from 0
-        here = F.get(short, j)
-        match = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.get(long, j + (i - threshold)) == here, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(w)])
-        vp, vn = acc["vp"], acc["vn"]
-        d0 = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(mask)
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(mask)
+        # j from 0; bit i of a word stands for row j - most + i, rows counted from 0
+        here, first = F.get(short, j), F.greatest(j - most, F.lit(0))
+        band = F.slice(long, first + 1, F.least(j + most + 1, m) - first)
+        match = F.aggregate(band, F.struct(F.lit(0).cast("long").alias("bits"), up(one, first - (j - most)).alias("bit")), lambda a, c: F.struct(F.when(c == here, a["bits"].bitwiseOR(a["bit"])).otherwise(a["bits"]).alias("bits"), F.shiftleft(a["bit"], 1).alias("bit")), lambda a: a["bits"])
+        return F.struct(match.alias("match"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["d"].alias("d"), j.alias("j"))
+
+    def across(s: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
+        d0 = (s["match"].bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(s["match"]).bitwiseOR(vn).bitwiseAND(mask)
         # positive once the band's lower edge has left the last row
-        past = F.greatest(F.lit(0), j - (m - 1 - threshold))
-        return F.struct(d0.alias("d0"), hp.alias("hp"), d0.bitwiseAND(vp).alias("hn"), past.alias("past"), acc["d"].alias("d"))
-
-    def walk(acc: Column, j: Column) -> Column:
-        return F.element_at(F.transform(F.array(step(acc, j)), advance), 1)
-
-    def advance(s: Column) -> Column:
-        k = F.lit(w - 1) - s["past"]
-        moved = F.when(s["past"] == 0, 1 - F.shiftright(s["d0"], w - 1)).otherwise(_bit_at(s["hp"], k) - _bit_at(s["hn"], k))
-        down = F.shiftright(s["d0"], 1)
+        past = F.greatest(F.lit(0), s["j"] - (m - 1 - most))
+        return F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), past.alias("past"), s["d"].alias("d"))
+
+    def down(s: Column) -> Column:
+        hp = s["vn"].bitwiseOR(F.bitwise_not(s["d0"].bitwiseOR(s["vp"]))).bitwiseAND(mask)
+        hn = s["d0"].bitwiseAND(s["vp"])
+        k = w - 1 - s["past"]
+        moved = F.when(s["past"] == 0, 1 - _bit_at(s["d0"], w - 1)).otherwise(_bit_at(hp, k) - _bit_at(hn, k))
+        below = F.shiftright(s["d0"], 1)
         return F.struct(
-            s["hn"].bitwiseOR(F.bitwise_not(down.bitwiseOR(s["hp"])).bitwiseAND(mask)).alias("vp"),
-            down.bitwiseAND(s["hp"]).alias("vn"),
+            hn.bitwiseOR(F.bitwise_not(below.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
+            below.bitwiseAND(hp).alias("vn"),
             (s["d"] + moved).alias("d"),
         )
 
-    start = F.struct(F.lit(((1 << w) - 1) & ~((1 << threshold) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(threshold).alias("d"))
-    walked = F.aggregate(F.sequence(F.lit(0), n - 1), start, walk, lambda acc: acc["d"])
-    return F.when(m - n > threshold, m - n).otherwise(walked)
+    start = F.struct((mask - (up(one, most) - 1)).alias("vp"), F.lit(0).cast("long").alias("vn"), most.cast("long").alias("d"))
+    walked = F.aggregate(F.sequence(F.lit(0), n - 1), start, lambda acc, j: _let(_let(step(acc, j), across), down), lambda acc: acc["d"])
+    return F.when(m - n > most, (m - n).cast("long")).otherwise(walked)
 
 
-def _bit_at(word: Column, k: Column) -> Column:
-    return F.call_function("shiftright", word, k.cast("int")).bitwiseAND(F.lit(1))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _filter(df: DataFrame, h: str) -> DataFrame:
-    """A membership filter of bounded size: (word, bits)."""
-    word = F.col(h).bitwiseAND(F.lit(_FILTER_WORDS - 1)).alias("_word")
-    flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.col(h), 32).bitwiseAND(F.lit(63)).cast("int"))
-    return df.groupBy(word).agg(F.bit_or(flag).alias("_bits"))
+def _bit_at(word: Column, k: Column) -> Column:
+    return F.call_function("shiftright", word, k.cast("int")).bitwiseAND(F.lit(1))
 
 
-def _maybe(df: DataFrame, h: str, members: DataFrame) -> DataFrame:
-    """The rows of ``df`` that the filter lets through: all members, few others."""
-    hit = F.call_function("shiftright", F.col("_bits"), F.shiftright(F.col(h), 32).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    # at most _FILTER_WORDS rows of two numbers
-    return df.join(F.broadcast(members), F.col(h).bitwiseAND(F.lit(_FILTER_WORDS - 1)) == F.col("_word")).where(hit).drop("_word", "_bits")
+def _place(h: Column) -> tuple[Column, Column]:
+    """Word and bit of a hash in the membership filter; its last bit says nothing."""
+    return F.shiftright(h, 1).bitwiseAND(F.lit(_FILTER_WORDS - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str, threshold: int, near_least: int) -> DataFrame:
-    """(h): the lines that an earlier line is near to. ``firsts`` has (h, h2, first, n) of each distinct line."""
-    lines = _named(docs, key, text).where(_counts(F.col("line"), near_least)).select("line", *_line_hash(F.col("line")))
-    # the most frequent lines are dealt out once each, after a combine on the map side
-    heavy = firsts.where("n > 1").orderBy(F.desc("n"), "h", "h2").limit(HEAVY).select("h", "h2")
-    few = F.broadcast(heavy)  # HEAVY rows at most
-    spread = lines.join(few, ["h", "h2"], "left_anti").unionByName(lines.join(few, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")))
+def _filter(df: DataFrame, h: str) -> DataFrame:
+    """A membership filter of bounded size: (_word, _bits)."""
+    word, bit = _place(F.col(h))
+    return df.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
 
-    units = spread.select("h", F.encode("line", "UTF-32").alias("units"))
-    sized = units.select("h", "units", (F.octet_length("units") / 4).cast("int").alias("n"))
-    flag = lambda columns, kind: [F.struct(c.alias("k"), F.lit(kind).alias("probe")) for c in columns]
-    keys = sized.select("h", F.inline(F.array(*flag(_index_keys(F.col("units"), F.col("n"), threshold), False), *flag(_probe_keys(F.col("units"), F.col("n"), threshold), True))))
-    # a key tells something only where an index entry meets a probe of another line: few of all keys
-    one = Window.partitionBy("k")
-    meets = (F.min("h").over(one) != F.max("h").over(one)) & (F.min("probe").over(one) != F.max("probe").over(one))
-    met = cut(keys.withColumn("meets", meets).where("meets").select("k", "h", "probe").distinct(), "near-line-keys")
 
-    members = met.select("h").distinct()
-    texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    order = firsts.join(members, "h", "left_semi").groupBy("h").agg(F.min("first").alias("first"))
-    told = cut(texts.join(order, "h").select("h", "line", "first", *(_letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(_LETTERS))), "near-line-texts")
+def _hit(h: Column) -> Column:
+    return _bit_at(F.col("_bits"), _place(h)[1]) == 1
 
-    counted = met.join(told.select("h", "l0", "l1"), "h")
-    x, y = counted.where("NOT probe").alias("x"), counted.where("probe").alias("y")
-    near = _letters_differ(F.col("x.l0"), F.col("y.l0")) + _letters_differ(F.col("x.l1"), F.col("y.l1")) <= 2 * threshold
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & near)
-    pairs = cut(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct(), "near-line-pairs")
 
-    named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in ("h", "line", "first")))
-    both = pairs.join(named("a"), F.col("a") == F.col("a_h")).join(named("b"), F.col("b") == F.col("b_h"))
-    turned = F.length("a_line") >= F.length("b_line")
-    later = F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
-    likely = both.where(_parts_meet(F.col("a_line"), F.col("b_line"), threshold)).select(
-        later.alias("h"), F.when(turned, F.col("a_line")).otherwise(F.col("b_line")).alias("long"), F.when(turned, F.col("b_line")).otherwise(F.col("a_line")).alias("short")
-    )
-    # the distance is the costly part: it is spread over all tasks, however few bytes the pairs have
-    coded = likely.repartition("h", F.xxhash64("long", "short")).withColumns({c: codes(F.col(c)) for c in ("long", "short")})
-    # written before the test, as a filter would be pushed below the arrays and compute them anew at each use
-    ready = cut(trimmed(coded, "long", "short", threshold), "near-line-likely")
-    return ready.where(edit_distance(F.col("long"), F.col("short"), threshold) <= threshold).select("h").distinct()
+def _maybe(df: DataFrame, h: str, members: DataFrame) -> DataFrame:
+    """The rows of ``df`` that the filter lets through: all members, few others."""
+    # at most _FILTER_WORDS rows of two numbers
+    return df.join(F.broadcast(members), _place(F.col(h))[0] == F.col("_word")).where(_hit(F.col(h))).drop("_word", "_bits")
 
 
 def _let(value: Column, body) -> Column:
@@ -259,99 +204,93 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _gram(units: Column, kind: int, q: int, at: Column) -> Column:
-    """The hash of the ``q`` code points from ``at``, and in its low bits ``at``: of equal grams the first is the smallest."""
-    h = F.xxhash64(F.lit(kind), F.substr(units, 4 * at - 3, F.lit(4 * q)))
-    return F.shiftleft(F.shiftright(h, _PLACE), _PLACE).bitwiseOR(at.cast("long").bitwiseAND(F.lit((1 << _PLACE) - 1)))
-
-
-def _index_grams(units: Column, n: Column, kind: int) -> Column:
-    """Of each of ``allowed`` + 1 even segments the smallest gram of its first code points."""
-    _, s, q = _CLASSES[kind]
-    parts = allowed(n) + 1
-    base = F.floor(n / parts).cast("int")
-    start = lambda i: base * i + F.greatest(F.lit(0), i - (parts - (n - base * parts))) + 1
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.array_min(F.transform(F.sequence(start(i), start(i) + (s - q)), lambda j: _gram(units, kind, q, j))))
-
-
-def _probe_grams(units: Column, n: Column, kind: int) -> Column:
-    """The smallest grams of all windows as wide as what is looked at of a segment: an unspoiled one is among them."""
-    _, s, q = _CLASSES[kind]
-    grams = F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda j: _gram(units, kind, q, j))
-    if s == q:
-        return grams
-    return _let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i: F.array_min(F.slice(g, i, F.lit(s - q + 1))))))
+def _bit_at(word: Column, k: Column) -> Column:
+    return F.call_function("shiftright", word, k.cast("int")).bitwiseAND(F.lit(1))
 
 
-def near_by_length(docs: DataFrame, firsts: DataFrame, key: str, text: str, near_least: int) -> DataFrame:
-    """(h): the lines that an earlier line is near to, by thresholds that grow with the length; see ``near_lines``.
+def _keys(lines: DataFrame) -> DataFrame:
+    """(k, g): for each line ``units`` (four bytes a code point) of hash ``h`` its index entries and its probes; ``g`` is the hash, its last bit set for a probe.
 
-    The longer line of a near pair has an unspoiled segment, which stands in the other line at most
-    ``allowed`` places away; so does its smallest gram, and that is the smallest gram of a window there.
+    A line is indexed in its own class and probes that one and, where a longer line of the next could be near, that too.
     """
-    lines = _named(docs, key, text).where(_counts(F.col("line"), near_least)).select("line", *_line_hash(F.col("line")))
+    n = F.col("n")
+    firsts = F.array(*map(F.lit, _CLASSES))
+    most = F.array(*(F.lit(edits(c)) for c in _CLASSES))
+    own = reduce(add, [(n >= c).cast("int") for c in _CLASSES]) - 1
+    classed = lines.withColumn("own", own).withColumn("next", (F.get(firsts, F.col("own") + 1) - F.get(most, F.col("own") + 1) <= n))
+    each = classed.select("h", "units", "n", "own", F.explode(F.sequence("own", F.col("own") + F.coalesce(F.col("next").cast("int"), F.lit(0)))).alias("c"))
+    sized = each.select("h", "units", "n", "own", "c", F.get(most, F.col("c")).alias("t"), F.get(firsts, F.col("c")).alias("first"))
+    cut_ = sized.select("h", "units", "n", "own", "c", "t", F.floor(F.col("first") / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
+    # a segment of the front half may be off by its number, one of the back half by that from the end; one step further stands for the index entry
+    reach = F.least(F.col("i"), F.col("t") - F.col("i"))
+    moved = cut_.select("h", "units", "n", "c", "t", "size", "i", reach.alias("reach"), F.explode(F.sequence(-reach, reach + (F.col("c") == F.col("own")).cast("int"))).alias("s"))
+    probe = F.col("s") <= F.col("reach")
+    place = F.when(F.col("i") <= F.floor(F.col("t") / 2), F.col("i") * F.col("size")).otherwise(n - (F.col("t") + 1 - F.col("i")) * F.col("size")) + F.when(probe, F.col("s")).otherwise(0)
+    placed = moved.select("h", "units", "n", "c", "i", "size", probe.alias("probe"), place.cast("int").alias("at")).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
+    key = F.xxhash64(F.col("c") * 64 + F.col("i"), F.substr("units", 4 * F.col("at") + 1, 4 * F.col("size")))
+    return placed.select(key.alias("k"), (F.col("h") + F.col("probe").cast("long")).alias("g"))
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
+    """(h): the lines that an earlier line is near to. ``firsts`` has (h, h2, first, n) of each distinct line."""
+    lines = _named(docs, key, text).where(_counts(F.col("line")) & (F.length("line") >= _CLASSES[0])).select("line", *_line_hash(F.col("line")))
+    # the most frequent lines are dealt out once each, after a combine on the map side
     heavy = F.broadcast(firsts.where("n > 1").orderBy(F.desc("n"), "h", "h2").limit(HEAVY).select("h", "h2"))  # HEAVY rows at most
     spread = lines.join(heavy, ["h", "h2"], "left_anti").unionByName(lines.join(heavy, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")))
-    once = spread.groupBy("h").agg(F.first("line").alias("line")).join(firsts.groupBy("h").agg(F.min("first").alias("first")), "h")
-    told = cut(once.select("h", "line", "first", F.length("line").alias("n"), _letter_counts(F.col("line"), _LETTERS[0]).alias("l0")), "near-line-texts")
-
-    def keyed(p: str, grams) -> DataFrame:
-        found = told.select("h", "n", "l0", F.explode(_let(F.encode("line", "UTF-32"), grams)).alias("gram"))
-        place = F.col("gram").bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
-        return found.select(F.shiftright("gram", _PLACE).alias("k"), F.col("h").alias(f"{p}_h"), F.col("n").alias(f"{p}_n"), F.col("l0").alias(f"{p}_l0"), place.alias(f"{p}_at"))
-
-    n, none = F.col("n"), F.array().cast("array<bigint>")
-    ends = [c[0] for c in _CLASSES[1:]] + [1 << 31]
-    inside = [(n >= first) & (n < end) for (first, *_), end in zip(_CLASSES, ends)]
-    # the other line may be shorter than its class by what is allowed there
-    meets = [(n >= first - max(min(2, first // 10), first // 20)) & (n < end) for (first, *_), end in zip(_CLASSES, ends)]
-    kinds = range(len(_CLASSES))
-    index = keyed("x", lambda u: F.concat(*(F.when(inside[i], _index_grams(u, n, i)).otherwise(none) for i in kinds)))
-    probes = keyed("y", lambda u: F.concat(*(F.when(meets[i], _probe_grams(u, n, i)).otherwise(none) for i in kinds)))
-    most = allowed(F.col("x_n"))
-    close = (F.col("x_n") >= F.col("y_n")) & (F.col("x_n") - F.col("y_n") <= most) & (F.pmod(F.col("x_at") - F.col("y_at") + most, F.lit(1 << _PLACE)) <= 2 * most)
-    pairs = index.join(probes, "k").where((F.col("x_h") != F.col("y_h")) & close & (_letters_differ(F.col("x_l0"), F.col("y_l0")) <= 2 * most))
-    pairs = cut(pairs.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b")).distinct(), "near-line-pairs")
+    units = spread.select("h", F.encode("line", "UTF-32").alias("units"))
+    keys = _keys(units.select("h", "units", (F.octet_length("units") / 4).cast("int").alias("n")))
+    # a key tells something only where an index entry meets a probe of another line: few of all keys
+    one = Window.partitionBy("k")
+    line, mark = F.col("g").bitwiseAND(F.lit(-2)), F.col("g").bitwiseAND(F.lit(1))
+    meets = (F.min(line).over(one) != F.max(line).over(one)) & (F.min(mark).over(one) != F.max(mark).over(one))
+    met = cut(keys.withColumn("meets", meets).where("meets").select("k", line.alias("h"), (mark == 1).alias("probe")).distinct(), "near-line-keys")
+
+    members = met.select("h").distinct()
+    texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    order = firsts.join(members, "h", "left_semi").groupBy("h").agg(F.min("first").alias("first"))
+    told = cut(texts.join(order, "h").select("h", "line", "first", F.length("line").alias("n"), *(_letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(_LETTERS))), "near-line-texts")
+
+    counted = met.join(told.select("h", "n", "l0", "l1"), "h")
+    x, y = counted.where("NOT probe").alias("x"), counted.where("probe").alias("y")
+    most = allowed(F.col("x.n"))
+    close = (F.col("x.n") >= F.col("y.n")) & (F.col("x.n") - F.col("y.n") <= most) & (_letters_differ(F.col("x.l0"), F.col("y.l0")) + _letters_differ(F.col("x.l1"), F.col("y.l1")) <= 2 * most)
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & close)
+    pairs = cut(pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "near-line-pairs")
 
     named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in ("h", "line", "first", "n")))
     both = pairs.join(named("a"), F.col("a") == F.col("a_h")).join(named("b"), F.col("b") == F.col("b_h"))
     later = F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
     # the distance is the costly part: it is spread over all tasks, however few bytes the pairs have
-    likely = both.select(later.alias("h"), "a_line", "b_line", allowed(F.greatest("a_n", "b_n")).alias("most")).repartition("h", F.xxhash64("a_line", "b_line"))
-    # the built-in distance is -1 where it is larger than the threshold
-    return likely.where(F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), F.col("most")) >= 0).select("h").distinct()
+    likely = both.select(later.alias("h"), F.col("a_line").alias("long"), F.col("b_line").alias("short"), allowed(F.col("a_n")).alias("most")).repartition("h", F.xxhash64("long", "short"))
+    coded = likely.withColumns({c: codes(F.col(c)) for c in ("long", "short")})
+    # written before the test, as a filter would be pushed below the arrays and compute them anew at each use
+    ready = cut(trimmed(coded, "long", "short", F.col("most")), "near-line-likely")
+    return ready.where(edit_distance(F.col("long"), F.col("short"), F.col("most")) <= F.col("most")).select("h").distinct()
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, near_least: int = NEAR_LEAST, by_length: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(r1, r2, gone): for each document that loses lines, their sorted numbers from 0."""
-    if by_length and near_least < _CLASSES[0][0]:
-        raise ValueError("shorter lines are allowed no edit")
-    if not by_length and (near_least <= _PARTS * (threshold + 1) or threshold < 1):
-        raise ValueError("lines that are compared nearly need more code points for this threshold")
-    seen = _named(docs, key, text).where(_counts(F.col("line"), least)).select("d", "r1", "r2", "line_no", *_line_hash(F.col("line")))
-    seen = cut(seen, "lines")
+    seen = cut(_named(docs, key, text).where(_counts(F.col("line"))).select("d", "r1", "r2", "line_no", *_line_hash(F.col("line"))), "lines")
     firsts = cut(seen.groupBy("h", "h2").agg(F.min(F.struct("d", "r1", "r2", "line_no")).alias("first"), F.count("*").alias("n")), "first-lines")
     again = seen.join(firsts.where("n > 1"), ["h", "h2"]).where(~F.struct("d", "r1", "r2", "line_no").eqNullSafe(F.col("first"))).select("r1", "r2", "line_no")
-    found = near_by_length(docs, firsts, key, text, near_least) if by_length else near_lines(docs, firsts, key, text, threshold, near_least)
-    near = cut(found, "near-lines")
+    near = cut(near_lines(docs, firsts, key, text), "near-lines")
     close = seen.join(near, "h", "left_semi").select("r1", "r2", "line_no")
     return again.unionByName(close).groupBy("r1", "r2").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``_gone``, the numbers of those lines (or null).
 
     Documents that certainly lose nothing, by a filter of fixed size, pass by without a shuffle.
     """
-    lost = cut(dropped_lines(docs, key, text, **options), "dropped-lines")
-    dropped = lost.select(*(F.col(c).alias(f"_lost_{c}") for c in lost.columns))
-    names = [F.col(c) for c in docs.columns]
-    marked = docs.select(*names, *(c.alias(f"_{n}") for c, n in zip(_row_hash(key, text), ("r1", "r2"))))
+    lost = cut(dropped_lines(docs, key, text), "dropped-lines")
+    # the row stands in a struct, so that no name of its columns meets one of these
+    marked = docs.select(F.struct(*(F.col(c) for c in docs.columns if c != "_gone")).alias("row"), *_row_hash(key, text))
     members = F.broadcast(_filter(lost, "r1"))  # _FILTER_WORDS rows at most
-    bit = F.call_function("shiftright", F.col("_bits"), F.shiftright(F.col("_r1"), 32).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    tested = marked.join(members, F.col("_r1").bitwiseAND(F.lit(_FILTER_WORDS - 1)) == F.col("_word"), "left").withColumn("_in", F.coalesce(bit == 1, F.lit(False)))
-    untouched = tested.where(~F.col("_in")).select(*docs.columns, F.lit(None).cast("array<int>").alias("_gone"))
-    joined = tested.where("_in").join(dropped, (F.col("_r1") == F.col("_lost_r1")) & (F.col("_r2") == F.col("_lost_r2")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_lost_gone"), i)), "\n")
-    rest = joined.select(*(F.when(F.col("_lost_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns), F.col("_lost_gone").alias("_gone"))
-    return untouched.unionByName(rest)
+    tested = marked.join(members, _place(F.col("r1"))[0] == F.col("_word"), "left").withColumn("in", F.coalesce(_hit(F.col("r1")), F.lit(False)))
+    untouched = tested.where(~F.col("in")).select("row.*", F.lit(None).cast("array<int>").alias("_gone"))
+    joined = tested.where("in").join(lost, ["r1", "r2"], "left")
+    old = F.col("row").getField(text)
+    left = F.array_join(F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    rest = joined.select(F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField(text, left)).alias("row"), F.col("gone").alias("_gone"))
+    return untouched.unionByName(rest.select("row.*", "_gone"))

@@ -69,14 +69,15 @@ def test_shards_of_odd_tables(spark):
 # --- lines
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3])
+@pytest.mark.parametrize("threshold", [1, 2, 3, 7, 30])
 def test_banded_distance(spark, threshold):
     random.seed(5)
     base = ["".join(random.choice("abcdeé 😀") for _ in range(random.randint(5, 70))) for _ in range(120)]
-    pairs = [p for a in base for _ in range(3) for p in [sorted((a, mutated(a, 4)), key=len, reverse=True)] if len(p[1]) > threshold]
+    pairs = [p for a in base for _ in range(3) for p in [sorted((a, mutated(a, threshold + 2)), key=len, reverse=True)] if len(p[1]) > threshold]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.codes(F.col("a")).alias("x"), line_dedup.codes(F.col("b")).alias("y"))
-    for cut in (df, line_dedup.trimmed(df, "x", "y", threshold)):
-        for r in cut.select("a", "b", line_dedup.edit_distance(F.col("x"), F.col("y"), threshold).alias("d")).collect():
+    df = df.withColumn("most", F.lit(threshold))
+    for cut in (df, line_dedup.trimmed(df, "x", "y", F.col("most"))):
+        for r in cut.select("a", "b", line_dedup.edit_distance(F.col("x"), F.col("y"), F.lit(threshold)).alias("d")).collect():
             assert min(r.d, threshold + 1) == min(distance(r.a, r.b), threshold + 1)
 
 
@@ -84,16 +85,16 @@ def test_line_dedup_equals_brute_force(spark):
     random.seed(6)
     lines = [mutated(b, 4, "abcdefgh") for b in ("".join(random.choice("abcdefgh ") for _ in range(random.choice([10, 25, 62, 63, 80]))) for _ in range(60)) for _ in range(random.randint(1, 5))]
     docs = [(i, "\n".join(random.choice(lines) for _ in range(random.randint(1, 6)))) for i in range(80)] + [(None, "x" * 30), (None, None), (500, ""), (501, "  \n\n"), (3, "y" * 40), (3, "y" * 40)]
-    df = spark.createDataFrame([(i, t, t) for i, t in docs], "doc_id long, text string, was string").withColumn("line", F.lit("clash")).withColumn("gone", F.lit(1))
+    df = spark.createDataFrame([(i, t, t) for i, t in docs], "doc_id long, text string, was string").withColumns({c: F.lit("clash") for c in ("line", "gone", "_gone", "_word", "r1", "in", "row")})
     hashes = {(r.doc_id, r.text): r.r1 for r in df.select("doc_id", "text", *line_dedup._row_hash("doc_id", "text")).collect()}
-    seen = sorted({((-1 if d is None else d), hashes[(d, t)], k, line, d, t) for d, t in docs if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= 20 and line.strip()}, key=lambda o: o[:3])
+    seen = sorted({((-1 if d is None else d), hashes[(d, t)], k, line, d, t) for d, t in docs if t is not None for k, line in enumerate(t.split("\n")) if line.strip()}, key=lambda o: o[:3])
     first = {}
     for o in seen:
         first.setdefault(o[3], o[:3])
     names, near = list(first), set()
     for i, a in enumerate(names):
         for b in names[:i]:
-            if min(len(a), len(b)) >= 60 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            if min(len(a), len(b)) >= 10 and distance(a, b) <= line_dedup.edits(max(len(a), len(b))):
                 near.add(a if first[b] < first[a] else b)
     gone = collections.defaultdict(list)
     for o in seen:

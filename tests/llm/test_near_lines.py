@@ -9,13 +9,12 @@ from graphloom.llm import line_dedup, queries
 from tests.llm.test_corpus_ops import distance, mutated
 
 
-def most(n):
-    return max(min(2, n // 10), n // 20)
+most = line_dedup.edits
 
 
-def brute_force(docs, least, near_least):
+def brute_force(docs):
     """Numbers of the lines that go, by document; ``docs`` has (id, text), ids ascending."""
-    seen = [(d, k, x) for d, t in docs for k, x in enumerate(t.split("\n")) if len(x) >= least and x.strip()]
+    seen = [(d, k, x) for d, t in docs for k, x in enumerate(t.split("\n")) if x.strip()]
     first = {}
     for d, k, x in seen:
         first.setdefault(x, (d, k))
@@ -23,7 +22,7 @@ def brute_force(docs, least, near_least):
     for i, b in enumerate(names):
         for a in names[:i]:
             n = max(len(a), len(b))
-            if min(len(a), len(b)) >= near_least and abs(len(a) - len(b)) <= most(n) and distance(a, b) <= most(n):
+            if min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) <= most(n) and distance(a, b) <= most(n):
                 near.add(b)
                 break
     gone = collections.defaultdict(list)
@@ -36,24 +35,38 @@ def brute_force(docs, least, near_least):
 def made(lengths, letters="abcdefghijklmnop "):
     random.seed(11)
     base = ["".join(random.choice(letters) for _ in range(n)) for n in lengths]
-    lines = [mutated(b, max(2, len(b) // 14), letters) for b in base for _ in range(3)]
+    lines = [mutated(b, most(len(b)) + 1, letters) for b in base for _ in range(3)]
     random.shuffle(lines)
     return [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)]
 
 
 def agrees(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want, near = brute_force(docs, line_dedup.WHOLE["least"], line_dedup.WHOLE["near_least"])
-    got = {r.doc_id: r._gone for r in line_dedup.dedup_lines(df, **line_dedup.WHOLE).collect() if r._gone}
+    want, near = brute_force(docs)
+    got = {r.doc_id: r._gone for r in line_dedup.dedup_lines(df).collect() if r._gone}
     assert near and got == want
     return near
 
 
 def test_thresholds_grow_with_the_line(spark):
-    near = agrees(spark, made([60, 63, 79, 80, 99, 120, 178, 181, 200, 204, 260, 320] * 3))
+    near = agrees(spark, made([60, 63, 64, 65, 99, 140, 144, 147, 200, 256, 259, 320, 400, 403, 576, 580, 790] * 3))
     assert any(len(x) > 150 for x in near)
 
 
+def test_every_length_that_starts_a_class(spark):
+    docs = made([n + d for n in line_dedup._CLASSES[:9] for d in (-2, -1, 0, 1)], "abc ")
+    agrees(spark, docs)
+
+
+def test_lines_beyond_the_last_class(spark):
+    random.seed(3)
+    long = "".join(random.choice("abcdef ") for _ in range(40_000))
+    spots = random.sample(range(1, 40_000, 97), 40)
+    changed = lambda at, new: "".join(new if i in at else c for i, c in enumerate(long))
+    df = spark.createDataFrame([(1, long), (2, "x" + changed({*spots[:29]}, "#")), (3, changed({*spots[9:]}, "%"))], "doc_id long, text string")
+    assert {r.doc_id: r._gone for r in line_dedup.dedup_lines(df).collect()} == {1: None, 2: [0], 3: None}
+
+
 def test_short_lines_count(spark):
     docs = made([3, 5, 9, 10, 12, 19, 20, 23, 35, 36, 40, 58, 61] * 2) + [(900, "Les.\n\nLes.\n \nThe."), (901, "The.\nLes.")]
     near = agrees(spark, docs)
@@ -61,7 +74,7 @@ def test_short_lines_count(spark):
 
 
 def test_query_takes_out_a_line_with_one_word_changed(spark, tmp_path):
-    line = " ".join(f"word{i} stands here" for i in range(12))
-    docs = [(1, line), (2, line.replace("word7", "another"))]
+    line = " ".join(f"word{i} stands here" for i in range(40))
+    docs = [(1, line), (2, line.replace("word7 ", "another "))]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.n_gone for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
