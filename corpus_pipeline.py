@@ -30,8 +30,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand, or nearly stand, earlier; what is left without any line that counts goes."""
-    out = line_dedup.dedup_lines(docs, **line_dedup.WHOLE)
-    counted = F.exists(F.split("text", "\n"), lambda x: (F.length(x) >= line_dedup.WHOLE["least"]) & x.rlike(r"\S"))
+    out = line_dedup.dedup_lines(docs)
+    counted = F.exists(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
     kept = out.where(F.col("_gone").isNull() | counted)
     size = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text"))
     return kept.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
