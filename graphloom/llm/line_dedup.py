@@ -39,6 +39,10 @@ from graphloom.llm.store import cut
 
 #: Lines that are looked up before their keys are dealt out: the most frequent ones, so many at most.
 HEAVY = 1000
+#: Earliest lines of a key that all others are held against, round by round; at last (0) all that is left is held against all earlier lines.
+PIVOTS = (1, 8, 0)
+#: Parts of a line that are looked for in the other before the distance is taken.
+_PARTS = 32
 #: Letters whose counts are compared, four bits each, 16 to a word.
 _LETTERS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE")
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
@@ -75,7 +79,8 @@ def _row_hash(key: str, text: str) -> list[Column]:
 
 
 def _counts(line: Column) -> Column:
-    return line.rlike(r"\S")
+    """Whether a line holds a non-blank character."""
+    return F.btrim(line, F.lit(" \t\x0b\f\r")) != ""
 
 
 def _line_hash(line: Column) -> list[Column]:
@@ -99,6 +104,15 @@ def _letters_differ(a: Column, b: Column) -> Column:
     return reduce(add, [one(i) for i in range(16)])
 
 
+def _parts_meet(long: Column, short: Column, most: Column) -> Column:
+    """Whether enough of many parts of ``long`` stand in ``short`` near their places: an edit spoils one of them at most."""
+    n, found = F.length(long), []
+    for i in range(_PARTS):
+        start, end = F.floor(n * i / _PARTS).cast("int"), F.floor(n * (i + 1) / _PARTS).cast("int")
+        found.append(F.contains(F.substr(short, F.greatest(start - most, F.lit(0)) + 1, end - F.greatest(start - most, F.lit(0)) + most), F.substr(long, start + 1, end - start)).cast("int"))
+    return reduce(add, found) >= _PARTS - most
+
+
 def codes(line: Column) -> Column:
     """The characters of a line as numbers."""
     return F.transform(F.split(line, ""), lambda c: F.ascii(c))
@@ -209,9 +223,10 @@ def _bit_at(word: Column, k: Column) -> Column:
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """(k, g): for each line ``units`` (four bytes a code point) of hash ``h`` its index entries and its probes; ``g`` is the hash, its last bit set for a probe.
+    """(k, g): for each line ``units`` (four bytes a code point) of hash ``h`` its index entries and its probes; ``g`` is the hash, its last bit set for what is a probe only.
 
     A line is indexed in its own class and probes that one and, where a longer line of the next could be near, that too.
+    The entry of a segment and the probe at its place are one row.
     """
     n = F.col("n")
     firsts = F.array(*map(F.lit, _CLASSES))
@@ -221,11 +236,11 @@ def _keys(lines: DataFrame) -> DataFrame:
     each = classed.select("h", "units", "n", "own", F.explode(F.sequence("own", F.col("own") + F.coalesce(F.col("next").cast("int"), F.lit(0)))).alias("c"))
     sized = each.select("h", "units", "n", "own", "c", F.get(most, F.col("c")).alias("t"), F.get(firsts, F.col("c")).alias("first"))
     cut_ = sized.select("h", "units", "n", "own", "c", "t", F.floor(F.col("first") / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
-    # a segment of the front half may be off by its number, one of the back half by that from the end; one step further stands for the index entry
+    # a segment of the front half may be off by its number, one of the back half by that from the end
     reach = F.least(F.col("i"), F.col("t") - F.col("i"))
-    moved = cut_.select("h", "units", "n", "c", "t", "size", "i", reach.alias("reach"), F.explode(F.sequence(-reach, reach + (F.col("c") == F.col("own")).cast("int"))).alias("s"))
-    probe = F.col("s") <= F.col("reach")
-    place = F.when(F.col("i") <= F.floor(F.col("t") / 2), F.col("i") * F.col("size")).otherwise(n - (F.col("t") + 1 - F.col("i")) * F.col("size")) + F.when(probe, F.col("s")).otherwise(0)
+    moved = cut_.select("h", "units", "n", "own", "c", "t", "size", "i", F.explode(F.sequence(-reach, reach)).alias("s"))
+    probe = (F.col("s") != 0) | (F.col("c") != F.col("own"))
+    place = F.when(F.col("i") <= F.floor(F.col("t") / 2), F.col("i") * F.col("size")).otherwise(n - (F.col("t") + 1 - F.col("i")) * F.col("size")) + F.col("s")
     placed = moved.select("h", "units", "n", "c", "i", "size", probe.alias("probe"), place.cast("int").alias("at")).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
     key = F.xxhash64(F.col("c") * 64 + F.col("i"), F.substr("units", 4 * F.col("at") + 1, 4 * F.col("size")))
     return placed.select(key.alias("k"), (F.col("h") + F.col("probe").cast("long")).alias("g"))
@@ -234,34 +249,61 @@ def _keys(lines: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
     """(h): the lines that an earlier line is near to. ``firsts`` has (h, h2, first, n) of each distinct line."""
     lines = _named(docs, key, text).where(_counts(F.col("line")) & (F.length("line") >= _CLASSES[0])).select("line", *_line_hash(F.col("line")))
-    # the most frequent lines are dealt out once each, after a combine on the map side
-    heavy = F.broadcast(firsts.where("n > 1").orderBy(F.desc("n"), "h", "h2").limit(HEAVY).select("h", "h2"))  # HEAVY rows at most
-    spread = lines.join(heavy, ["h", "h2"], "left_anti").unionByName(lines.join(heavy, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.first("line").alias("line")))
+    # the most frequent lines are dealt out once each: their text is read where they stand first
+    most = cut(firsts.where("n > 1").orderBy(F.desc("n"), "h", "h2").limit(HEAVY).select("h", "h2", "first.r1", "first.r2", "first.line_no"), "heavy-lines")
+    heavy = F.broadcast(most)  # HEAVY rows at most
+    stands = docs.select(F.col(text).alias("text"), *_row_hash(key, text)).join(heavy, ["r1", "r2"]).select("h", "h2", F.get(F.split("text", "\n"), F.col("line_no")).alias("line"))
+    once = stands.where(F.length("line") >= _CLASSES[0]).groupBy("h", "h2").agg(F.first("line").alias("line"))  # repeated rows
+    spread = lines.join(heavy.select("h", "h2"), ["h", "h2"], "left_anti").unionByName(once)
     units = spread.select("h", F.encode("line", "UTF-32").alias("units"))
     keys = _keys(units.select("h", "units", (F.octet_length("units") / 4).cast("int").alias("n")))
     # a key tells something only where an index entry meets a probe of another line: few of all keys
     one = Window.partitionBy("k")
     line, mark = F.col("g").bitwiseAND(F.lit(-2)), F.col("g").bitwiseAND(F.lit(1))
-    meets = (F.min(line).over(one) != F.max(line).over(one)) & (F.min(mark).over(one) != F.max(mark).over(one))
+    meets = (F.min(line).over(one) != F.max(line).over(one)) & (F.min(mark).over(one) == 0)
     met = cut(keys.withColumn("meets", meets).where("meets").select("k", line.alias("h"), (mark == 1).alias("probe")).distinct(), "near-line-keys")
 
     members = met.select("h").distinct()
-    texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    order = firsts.join(members, "h", "left_semi").groupBy("h").agg(F.min("first").alias("first"))
+    # joined, not semi-joined: that would be pushed below the filter and shuffle all lines
+    texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h").groupBy("h").agg(F.first("line").alias("line"))
+    order = firsts.join(members, "h").groupBy("h").agg(F.min("first").alias("first"))
     told = cut(texts.join(order, "h").select("h", "line", "first", F.length("line").alias("n"), *(_letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(_LETTERS))), "near-line-texts")
-
-    counted = met.join(told.select("h", "n", "l0", "l1"), "h")
-    x, y = counted.where("NOT probe").alias("x"), counted.where("probe").alias("y")
-    most = allowed(F.col("x.n"))
-    close = (F.col("x.n") >= F.col("y.n")) & (F.col("x.n") - F.col("y.n") <= most) & (_letters_differ(F.col("x.l0"), F.col("y.l0")) + _letters_differ(F.col("x.l1"), F.col("y.l1")) <= 2 * most)
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & close)
-    pairs = cut(pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "near-line-pairs")
-
-    named = lambda p: told.select(*(F.col(c).alias(f"{p}_{c}") for c in ("h", "line", "first", "n")))
-    both = pairs.join(named("a"), F.col("a") == F.col("a_h")).join(named("b"), F.col("b") == F.col("b_h"))
-    later = F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
+    counted = cut(met.join(told.drop("line"), "h").withColumn("place", F.struct("first", "h")), "near-line-meetings")
+    near, tested = None, None
+    # first against the earliest lines of each key; what is found near by then needs no more pairs
+    for pivots in PIVOTS:
+        later = counted if near is None else counted.join(near, "h", "left_anti")
+        if pivots:
+            rank = F.row_number().over(Window.partitionBy("k").orderBy("place"))
+            earliest = counted.groupBy("k").agg(F.min("place").alias("place")) if pivots == 1 else counted.withColumn("rank", rank).where(F.col("rank") <= pivots).select("k", "place")
+            earlier = earliest.select("k", "place.h").distinct().join(told.drop("line"), "h").withColumns({"place": F.struct("first", "h"), "probe": F.lit(None).cast("boolean")})
+        else:
+            earlier = counted
+        pairs = _meeting(later.alias("b"), earlier.alias("a"))
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["h", "other"], "left_anti"), "near-line-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = cut(_near(pairs, told), "near-lines")
+        near = found if near is None else near.unionByName(found)
+    return near
+
+
+def _meeting(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(h, other): the lines of ``later`` (b) and those of ``earlier`` (a) with the same key that may be near; of two known marks one has to be an index entry."""
+    longer = F.greatest("a.n", "b.n")
+    most = allowed(longer)
+    met = (F.col("a.k") == F.col("b.k")) & (F.col("a.place") < F.col("b.place")) & ~F.coalesce(F.col("a.probe") & F.col("b.probe"), F.lit(False))
+    close = (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (_letters_differ(F.col("a.l0"), F.col("b.l0")) + _letters_differ(F.col("a.l1"), F.col("b.l1")) <= 2 * most)
+    return later.join(earlier, met & close).select(F.col("b.h").alias("h"), F.col("a.h").alias("other")).distinct()
+
+
+def _near(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """(h): the lines that their ``other`` is near to."""
+    named = lambda h, line: told.select(F.col("h").alias(h), F.col("line").alias(line), F.col("n").alias(f"{line}_n"))
+    both = pairs.join(named("other", "x"), "other").join(named("h", "y"), "h")
+    turned = F.col("x_n") >= F.col("y_n")
+    sides = both.select("h", F.when(turned, F.col("x")).otherwise(F.col("y")).alias("long"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("short"), allowed(F.greatest("x_n", "y_n")).alias("most"))
     # the distance is the costly part: it is spread over all tasks, however few bytes the pairs have
-    likely = both.select(later.alias("h"), F.col("a_line").alias("long"), F.col("b_line").alias("short"), allowed(F.col("a_n")).alias("most")).repartition("h", F.xxhash64("long", "short"))
+    likely = sides.where(_parts_meet(F.col("long"), F.col("short"), F.col("most"))).repartition("h", F.xxhash64("long", "short"))
     coded = likely.withColumns({c: codes(F.col(c)) for c in ("long", "short")})
     # written before the test, as a filter would be pushed below the arrays and compute them anew at each use
     ready = cut(trimmed(coded, "long", "short", F.col("most")), "near-line-likely")
@@ -273,7 +315,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     seen = cut(_named(docs, key, text).where(_counts(F.col("line"))).select("d", "r1", "r2", "line_no", *_line_hash(F.col("line"))), "lines")
     firsts = cut(seen.groupBy("h", "h2").agg(F.min(F.struct("d", "r1", "r2", "line_no")).alias("first"), F.count("*").alias("n")), "first-lines")
     again = seen.join(firsts.where("n > 1"), ["h", "h2"]).where(~F.struct("d", "r1", "r2", "line_no").eqNullSafe(F.col("first"))).select("r1", "r2", "line_no")
-    near = cut(near_lines(docs, firsts, key, text), "near-lines")
+    near = near_lines(docs, firsts, key, text)
     close = seen.join(near, "h", "left_semi").select("r1", "r2", "line_no")
     return again.unionByName(close).groupBy("r1", "r2").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
