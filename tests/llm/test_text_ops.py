@@ -226,6 +226,56 @@ def test_odd_pages():
     assert html_extract.extract(None, w) == html_extract.extract("", w) == html_extract.extract("<!-- x", w) == ""
 
 
+PROSE = "<p>One sentence stands here, and it is long enough to read.</p><p>Two more follow it. Here is the other, which ends.</p>"
+READ = "One sentence stands here, and it is long enough to read.\n\nTwo more follow it. Here is the other, which ends."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body class="single has-sidebar"><main><article>{PROSE}</article></main></body>', READ),
+        (f'<article class="post category-social">{PROSE}</article>', READ),
+        (f'<div id="main" class="no-comments">{PROSE}</div>', READ),
+        (f'<article data-hidden="no">{PROSE}</article>', READ),
+        (f"<body><form action=x><nav><a href=1>Home</a></nav><article>{PROSE}</article></form>", READ),
+        (f"<body><form action=x>{PROSE * 6}</form>", "\n\n".join([READ] * 6)),
+        (f'<article>{PROSE}<div class="banner-note">A note of some length stands here, for all to read.</div></article>', READ + "\n\nA note of some length stands here, for all to read."),
+        (f'<article>{PROSE}<form><label>Your name</label></form><div class="related-posts"><a href=x>Other</a></div></article>', READ),
+        (f'<article>{PROSE}</article><section id="comments"><article><p>Nice article, I liked it. Really, a lot.</p></article></section>', READ),
+        (f"<article>{PROSE}<p hidden>Not shown, at all. Never.</p><aside><p>By the way, this stands aside. It is not read.</p></aside></article>", READ),
+        (f"<div><ul><li><a href=1>Home</a></li><li><a href=2>Away</a></li></ul></div><div>{PROSE}</div>", READ),
+    ],
+)
+def test_article_stays_whatever_the_markup_around(page, text):
+    assert html_extract.extract(page, html_extract.fit([])) == text
+
+
+def test_cut_decides_labels(spark, sf_dir):
+    rows = html_extract.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=[]).agg(F.sum("n_blocks"), F.sum("n_turned")).first()
+    assert rows[0] > rows[1] > 0
+    # a short line among prose: its text alone says boilerplate, its neighbours content
+    w = html_extract.fit([])
+    blocks = html_extract.blocks_of(f"<div>{PROSE}<p>So</p>{PROSE}</div>")
+    assert html_extract.odds_of(blocks, w)[2] < 0 and html_extract.label(blocks, w).all()
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<a" * 500_000, "<a '\"" * 200_000 + ">", "<div>" * 100_000 + "</b>" * 100_000 + "x", "<b>" * 200_000 + "x", "<p>word, and. " * 70_000, "</script" * 100_000, "<ul><li><a href=1>x</a><p>One, two. Three.</p>" * 20_000])
+def test_long_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(page, html_extract.fit([]))
+    assert time.process_time() - began < 8
+
+
+def test_pages_with_odd_rows(spark):
+    rows = [(1, None, "u"), (1, None, "u"), (None, "", None), (2, f"<article>{PROSE}", "x"), (2, f"<article>{PROSE}", "x")]
+    df = spark.createDataFrame(rows, "page_id long, html string, url string").withColumns({c: F.lit("clash") for c in ("row", "text", "_html", "n_turned")})
+    got = html_extract.extract_main_text(df).select("page_id", "url", "row", "_html", "text", "n_chars").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter((k, u, "clash", "clash", READ if k == 2 else "", len(READ) if k == 2 else 0) for k, _, u in rows)
+    assert html_extract.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_cut_is_minimal():
     import itertools
 
