@@ -255,8 +255,8 @@ def test_cut_decides_labels(spark, sf_dir):
     assert rows[0] > rows[1] > 0
     # a short line among prose: its text alone says boilerplate, its neighbours content
     w = html_extract.fit([])
-    blocks = html_extract.blocks_of(f"<div>{PROSE}<p>So</p>{PROSE}</div>")
-    assert html_extract.odds_of(blocks, w)[2] < 0 and html_extract.label(blocks, w).all()
+    blocks = html_extract.blocks_of(f"<div>{PROSE * 3}<p>So</p>{PROSE * 3}</div>")
+    assert html_extract.odds_of(blocks, w)[6] < 0 and html_extract.label(blocks, w).all()
 
 
 @pytest.mark.parametrize("page", ['<a "' * 250_000, "<a" * 500_000, "<a '\"" * 200_000 + ">", "<div>" * 100_000 + "</b>" * 100_000 + "x", "<b>" * 200_000 + "x", "<p>word, and. " * 70_000, "</script" * 100_000, "<ul><li><a href=1>x</a><p>One, two. Three.</p>" * 20_000])
