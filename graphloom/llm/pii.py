@@ -8,14 +8,16 @@ a span is added where no base span lies. A text that holds nothing a transducer
 would touch is not rewritten.
 
 Defined results: a null text is the empty text, without spans; repeated rows
-give repeated results; an empty table gives an empty result; carried columns
-named ``spans`` are replaced.
+give repeated results; an empty table gives an empty result; a carried column
+named ``spans`` is replaced, all others are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -94,8 +96,15 @@ _SPELLED = re.compile(rf"(?:{_NAME}|[0-9])(?:[\s,-]{{1,3}}(?:{_NAME}|[0-9])|[0-9
 _ONE_NAME = re.compile(_NAME, re.I)
 _ATS = re.compile(rf"\s{{0,3}}{_OPEN}{_AT}{_CLOSE}\s{{0,3}}", re.I)
 _DOTS = re.compile(rf"\s{{0,3}}{_OPEN}{_DOT}{_CLOSE}\s{{0,3}}", re.I)
-#: Without brackets only a whole address counts: a name, at, a host, dot, an ending.
-_SAID = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>\s+{_AT}\s+|\s*@\s*)[A-Za-z0-9-]{{1,63}}(?:(?:\s+{_DOT}\s+|\s?\.\s?)[A-Za-z0-9-]{{1,63}}){{0,5}}\s+{_DOT}\s+[A-Za-z]{{2,24}}(?![A-Za-z])", re.I)
+#: Without brackets only a whole address counts: a name, at, a host, dot, an ending; at or a dot has to be spelled or spaced.
+_INNER = rf"[A-Za-z0-9-]{{1,63}}(?:(?:\s+{_DOT}\s+|\s?\.\s?)[A-Za-z0-9-]{{1,63}}){{0,5}}"
+_SAID = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?P<name>(?:[A-Za-z0-9_%+-]{{1,64}}\s+{_DOT}\s+){{0,3}}[A-Za-z0-9._%+-]{{1,64}})"
+    rf"(?:(?P<at>\s+{_AT}\s+|\s+@|@\s+){_INNER}(?:\s+{_DOT}\s+|(?P<plain>\.))|(?P<sign>@){_INNER}\s+{_DOT}\s+)[A-Za-z]{{2,24}}(?![A-Za-z])",
+    re.I,
+)
+#: Words before "at" and a plain host name that are prose and no name.
+_PROSE = frozenset("us me him her it them you look looking looks find found visit visited available hosted more online site page here there and or email mail e-mail contact reach read see is are was were be been live based documented published posted up down start meet arrive check out now today directly".split())
 _SAID_DOT = re.compile(rf"\s+{_DOT}\s+|\s\.\s?|\.\s", re.I)
 _SAID_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:\s+{_DOT}\s+[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _PLUS = re.compile(r"(?<![^\W_])(?:plus|más|mas)\s+(?=[0-9])", re.I)
@@ -155,8 +164,13 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 def _said(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SAID.finditer(text):
-        edits.append((*m.span("at"), "@"))
-        edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, m.end("at"), m.end())]
+        at = "sign" if m["sign"] else "at"
+        if m["plain"] and "@" not in m["at"] and m["name"].lower() in _PROSE:
+            continue
+        edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, *m.span("name"))]
+        if not m["sign"]:
+            edits.append((*m.span(at), "@"))
+        edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, m.end(at), m.end())]
     return edits
 
 
@@ -180,7 +194,7 @@ def _touched(text: str) -> bool:
         return True
     if _DIGIT.search(text) and (_SAID_IP.search(text) or _PLUS.search(text)):
         return True
-    return bool(_SAID.search(text) or _names_in_row(text) and _spelled(text))
+    return bool(_said(text) or _names_in_row(text) and _spelled(text))
 
 
 def _names_in_row(text: str) -> bool:
@@ -197,6 +211,19 @@ def _names_in_row(text: str) -> bool:
     return False
 
 
+def _lone(beside: str) -> bool:
+    """Whether what stands beside a plain number is nothing or a single word for a digit, which may as well be prose."""
+    return len(_ONE_NAME.findall(beside)) <= 1 and not _ONE_NAME.sub("", beside).strip(" \t\n,-")
+
+
+def _meeting(starts: list[int], ends: list[int], x: int, y: int) -> Iterator[tuple[int, int]]:
+    """The spans, sorted and apart, that meet the one from ``x`` to ``y``."""
+    i = bisect_right(ends, x)
+    while i < len(starts) and starts[i] < y:
+        yield starts[i], ends[i]
+        i += 1
+
+
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by kind as listed, then start; offsets are code points of the source."""
     text = text or ""
@@ -207,12 +234,18 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
         for transducer in TRANSDUCERS:
             out.apply(transducer(out.text))
         if out.text != text:
-            taken = sorted((a, b) for _, a, b in base)
+            # the spans of a kind lie apart and come in order, base ones and added ones
+            known = {(k, own): ([], []) for k in KINDS for own in (True, False)}
+            for kind, a, b, _ in spans:
+                for side, at in zip(known[kind, True], (a, b)):
+                    side.append(at)
             for kind, a, b in detect(out.text):
                 x, y = out.start[a], out.end[b - 1]
-                if not any(p < y and x < q for p, q in taken):
+                # what lies in a span is known; what reaches beyond one of its kind is the whole of which that was a part
+                if all(k == kind and not (p <= x and y <= q or _lone(text[x:p]) and _lone(text[q:y])) for (k, _), sides in known.items() for p, q in _meeting(*sides, x, y)):
                     spans.append((kind, x, y, False))
-                    taken.append((x, y))
+                    for side, at in zip(known[kind, False], (x, y)):
+                        side.append(at)
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -222,12 +255,15 @@ def detect_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches):
-        for part in slices(batches, "_text"):
-            found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in find(t)] for t in part.column("_text").to_pylist()]
-            yield pa.record_batch([*(part.column(c) for c in keep), pa.array(found, kind)], [*keep, "spans"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, ", ".join([*fields, "spans array<struct<kind: string, start: long, end: long, base: boolean>>"]))
+        for part in slices(batches, "text"):
+            found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in find(t)] for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("row"), pa.array(found, kind)], ["row", "spans"])
+
+    # the kept columns stand in a struct, so that no name of theirs meets another
+    row = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    read = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
+    out = read.mapInArrow(run, f"row {read.schema['row'].dataType.simpleString()}, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), "spans")
 
 
 def span_text(spans: Column) -> Column:
