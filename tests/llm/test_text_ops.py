@@ -143,7 +143,8 @@ def test_decontamination_equals_brute_force(spark, sf_dir, monkeypatch):
     docs = [(i, say(random.randint(0, 60))) for i in range(150)] + [(200 + i, f"intro, {t}! outro") for i, (_, t) in enumerate(bench)] + [(900, None), (901, "")]
     want = brute_hits(docs, bench)
     b = spark.createDataFrame(bench, "item_id long, text string")
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("matches", F.lit("clash"))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("matches", "row", "hits", "_text")})
+    d = d.unionByName(d.where("doc_id = 3"))
     for block in (4 << 20, 40):
         monkeypatch.setattr(decontaminate, "BENCH_BLOCK", block)
         got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.scan(d, b, keep=["doc_id"]).collect()}
@@ -153,6 +154,34 @@ def test_decontamination_equals_brute_force(spark, sf_dir, monkeypatch):
     assert decontaminate.scan(d, b.limit(0)).where("n_hit > 0").count() == 0 and decontaminate.scan(d.limit(0), b).count() == 0
 
 
+def test_suffix_array_and_longest_matches_equal_brute_force():
+    import numpy as np
+
+    random.seed(12)
+    for _ in range(60):
+        say = lambda n: " ".join(random.choice("abc") for _ in range(n))
+        bench = decontaminate.build([(str(i), say(random.randint(0, 14))) for i in range(5)], 4)
+        words = bench.stream.tolist()
+        tail = lambda i: (words[i:] + [0])[: (words[i:] + [0]).index(0)]
+        order = [tail(i) for i in bench.suffixes]
+        assert order == sorted(order) and sorted(bench.suffixes) == list(range(len(words)))
+        text = decontaminate.words_of(say(40))
+        stream = np.array([bench.vocabulary.get(w, 0) for w in text] + [0])
+        length, there = decontaminate.longest(stream, bench, np.arange(len(text)))
+        shared = lambda i, j: next((k for k, (x, y) in enumerate(zip([*stream[i:], 0], [*tail(j), 0])) if x != y or not x), 0)
+        for i, n in enumerate(length):
+            best = max((shared(i, j) for j in range(len(words))), default=0)
+            assert n == best and (not n or shared(i, int(there[i])) == n)
+
+
+def test_items_with_a_common_preamble_make_no_pairs(spark):
+    preamble = " ".join(f"p{i}" for i in range(40))
+    bench = spark.range(10_000).selectExpr("id AS item_id", f"concat('{preamble} ', id) AS text")
+    docs = spark.range(60).selectExpr("id AS doc_id", f"concat('x {preamble} ', id, ' y') AS text")
+    got = decontaminate.scan(docs, bench).collect()
+    assert all(r.n_hit == 41 and len(r["items"]) == 10_000 and [tuple(m)[1:] for m in r.matches] == [(0, 1, 41)] for r in got) and len(got) == 60
+
+
 def test_longest_matches_are_verbatim(spark):
     item = " ".join(f"w{i}" for i in range(30))
     d = spark.createDataFrame([(1, "x y " + " ".join(f"W{i}" for i in range(5, 22)) + " z")], "doc_id long, text string")
