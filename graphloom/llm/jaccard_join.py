@@ -21,7 +21,8 @@ at least ``SHARE`` percent; classes are the connected components of the links.
 Defined results: a text without words, or null, has an empty set and links with
 nothing; a text of fewer than n words has its whole sequence as its one n-gram; a
 null key keeps its row, which links with nothing and has no component; rows may
-repeat; an empty table gives an empty result; other columns are not looked at.
+repeat; keys may be of any type that has an order; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def sets_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             digests = np.array([_digest(s) for s in found], np.int64).reshape(-1, 2)
             yield pa.record_batch([part.column("key"), pa.array([len(s) for s in found], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["key", "n", "s1", "s2"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, n long, s1 long, s2 long")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n long, s1 long, s2 long")
 
 
 def dealt_out(docs: DataFrame, text: str, words: int, share: int) -> DataFrame:
@@ -322,20 +323,19 @@ def _join_blocks(texts: DataFrame, words: int, share: int) -> DataFrame:
     """(rep, root) for rows (block, rep, text) that the trie join puts into classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_numpy()
-        order = np.argsort(reps, kind="stable")
-        column = table.column("text")
+        table = table.sort_by("rep")
+        reps, column = table.column("rep").combine_chunks(), table.column("text")
         hashes = _Hashes()
-        found = [shingles(column[int(i)].as_py(), hashes, words) for i in order]
-        roots = trie_join(found, share)
-        return pa.table({"rep": pa.array(reps[order]), "root": pa.array(reps[order][roots])})
+        roots = trie_join([shingles(t.as_py(), hashes, words) for t in column], share)
+        return pa.table({"rep": reps, "root": reps.take(pa.array(roots))})
 
-    return texts.groupBy("block").applyInArrow(run, "rep long, root long")
+    kind = texts.schema["rep"].dataType.simpleString()
+    return texts.groupBy("block").applyInArrow(run, f"rep {kind}, root {kind}")
 
 
 def _classes(docs: DataFrame, key: str, text: str, blocks: DataFrame, words: int, share: int) -> DataFrame:
     """Classes inside each block of (rep, block)."""
-    source = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text"))
     own = _filtered(source, "rep", blocks.select("rep")).join(blocks, "rep")
     return cut(_join_blocks(own.select("block", "rep", "text"), words, share), "jaccard-classes")
 

@@ -162,6 +162,8 @@ def test_jaccard_join_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted(((r.doc_id or 0), r.component_id) for r in jaccard_join.join(df).collect()) == [(0, None), (1, 1), (1, 1), (2, 1)]
     assert jaccard_join.join(df.limit(0)).count() == 0
+    named = df.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text").unionByName(spark.createDataFrame([("x", "long " * 200_000), ("y", "long " * 200_001), ("z", "")], "doc_id string, text string"))
+    assert sorted((r.doc_id or "", r.component_id) for r in jaccard_join.join(named).collect()) == [("", None), ("d1", "d1"), ("d1", "d1"), ("d2", "d1"), ("x", "x"), ("y", "x"), ("z", "z")]
 
 
 def test_trie_join_equals_brute_force():
