@@ -86,6 +86,8 @@ RULES = (
 #: Rows from which a group stands on its own; growth of the sketch's bins; fence in quartile ranges.
 LEAST, GROWTH, FENCE = 200, 1.05, 3.0
 _TINY = 1e-6
+#: Groups whose limits are sent to every task at most: some hundred bytes each.
+BROADCAST = 20_000
 
 
 def _ratio(rule: Rule) -> Column:
@@ -141,7 +143,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counted = cut(rows.mapInArrow(run, f"key {kind}, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS)), "rule-counts")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # thresholds come from rows that the base rule keeps; a group without any has no limits of its own and loses nothing here
-    joined = counted.join(thresholds(counted.where(~base)), ["lang", "source"], "left")
+    limits = cut(thresholds(counted.where(~base)), "rule-limits")
+    # a row per language and source: sent to every task while they are few, and the hot source stays where it is; otherwise the optimizer decides
+    few = limits.limit(BROADCAST + 1).count() <= BROADCAST
+    joined = counted.join(F.broadcast(limits) if few else limits, ["lang", "source"], "left")
 
     def breaks(rule: Rule) -> Column:
         limit = F.col("limits")[rule.name]
