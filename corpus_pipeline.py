@@ -2,6 +2,12 @@
 
 Every stage works on all documents that its predecessor kept, and all but the
 last return the columns of ``documents``.
+
+Defined results, for every stage: a null text is a document without words and
+without lines, which no stage but the first can reject; rows with a null id are
+documents of their own; repeated rows have one fate, but of rows equal in id and
+text the third stage keeps one; an empty table passes as an empty table; further
+columns pass all stages but the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,7 +64,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts that are left, and the digest of what they decode to."""
+    """Token ids of the texts that are left (none for a null text), and the digest of what they decode to."""
     ship(spark)
     out = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
