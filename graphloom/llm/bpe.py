@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import slices
+from graphloom.llm.store import give_back, slices
 
 #: Bytes of text in one block.
 BLOCK = 6 << 20
@@ -143,6 +143,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             each.append(np.fromiter(map(len, ids), np.int32, len(ids)))
             flats.append(np.fromiter((i for x in ids for i in x), np.int32))
         flat, lengths = np.concatenate(flats), np.concatenate(each)
+        give_back()
         return pa.table({
             "block": table.column("block"),
             "bucket": table.column("bucket"),
@@ -172,6 +173,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         at[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))  # word number to place in bucket order
         places_ = at[_unpack(left.column("numbers")[0].as_py(), np.uint32)]
         counts = left.column("counts").combine_chunks().flatten().to_numpy()
+        give_back()
         tokens = np.concatenate([[0], np.cumsum(lengths[places_])])[np.concatenate([[0], np.cumsum(counts)])]
         return pa.table({"key": left.column("keys").combine_chunks().flatten(), "ids": _lists(pa.array(_gather(ids, lengths, places_)), np.diff(tokens))})
 
@@ -197,7 +199,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 @cache
 def _pieces(path: str) -> pa.Array:
-    tokenizer, alphabet = _tokenizer(path), _byte_alphabet()
+    tokenizer, alphabet = _tokenizer.__wrapped__(path), _byte_alphabet()  # read anew: only its names stay
     names = (tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True)))
     return pa.array([bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode() for name in names], pa.binary())
 
@@ -219,6 +221,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 data = b"" if not len(got) else got.buffers()[2].to_pybytes()[: int(sizes[-1])]
                 texts = [data[i:j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
                 yield pa.record_batch([*(batch.column(c).slice(part.start, len(texts)) for c in names), pa.array(texts, pa.string())], [*names, out])
+                give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
     return df.select(*names).mapInArrow(join, f"{fields}, `{out}` string")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import cut, slices
+from graphloom.llm.store import cut, give_back, slices
 from graphloom.operators.components import connected_components
 
 #: Words of an n-gram, least similarity in percent.
@@ -327,6 +327,7 @@ def _join_blocks(texts: DataFrame, words: int, share: int) -> DataFrame:
         reps, column = table.column("rep").combine_chunks(), table.column("text")
         hashes = _Hashes()
         roots = trie_join([shingles(t.as_py(), hashes, words) for t in column], share)
+        give_back()
         return pa.table({"rep": reps, "root": reps.take(pa.array(roots))})
 
     kind = texts.schema["rep"].dataType.simpleString()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 from graphloom.plans.shared import cut, shared_dir  # noqa: F401
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers are kept between stages, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into slices whose ``column`` holds about ``limit`` bytes.
 
@@ -24,9 +40,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
+                give_back()
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
