@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import hash_sample, slices
+from graphloom.llm.store import give_back, hash_sample, slices
 
 #: Rows of the training sample, rounds of exchange, pseudo-labels that a view may give in one.
 LABELLED, POOL, ROUNDS, GIVES = 6000, 3000, 3, 300
@@ -238,7 +238,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
     if not got["k"]:
         return None
     rows_of = lambda a, v: Rows.of([(np.frombuffer(x, "<i4"), np.frombuffer(z, "<f4")) for x, z in zip(got[a], got[v])])
-    return co_train(rows_of("ta", "tv"), rows_of("ma", "mv"), np.array([np.nan if v is None else v for v in got["y"]]))
+    text, meta, y = rows_of("ta", "tv"), rows_of("ma", "mv"), np.array([np.nan if v is None else v for v in got["y"]])
+    del got
+    model = co_train(text, meta, y)
+    del text, meta
+    give_back()
+    return model
 
 
 def _inputs(docs: DataFrame) -> list:

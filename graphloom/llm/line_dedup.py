@@ -104,13 +104,19 @@ def _letters_differ(a: Column, b: Column) -> Column:
     return reduce(add, [one(i) for i in range(16)])
 
 
-def _parts_meet(long: Column, short: Column, most: Column) -> Column:
-    """Whether enough of many parts of ``long`` stand in ``short`` near their places: an edit spoils one of them at most."""
-    n, found = F.length(long), []
-    for i in range(_PARTS):
-        start, end = F.floor(n * i / _PARTS).cast("int"), F.floor(n * (i + 1) / _PARTS).cast("int")
-        found.append(F.contains(F.substr(short, F.greatest(start - most, F.lit(0)) + 1, end - F.greatest(start - most, F.lit(0)) + most), F.substr(long, start + 1, end - start)).cast("int"))
-    return reduce(add, found) >= _PARTS - most
+def _parts_meet(long: Column, short: Column, most: Column, parts: Column) -> Column:
+    """Whether enough of ``parts`` parts of ``long`` stand in ``short`` near their places: an edit spoils one of them at most.
+
+    Both are lines at four bytes a code point; a part may be found between two code points, which only lets more through.
+    """
+    n = F.floor(F.octet_length(long) / 4)
+
+    def spoiled(i: Column) -> Column:
+        start, end = F.floor(n * i / parts).cast("int"), F.floor(n * (i + 1) / parts).cast("int")
+        first = F.greatest(start - most, F.lit(0))
+        return (~F.contains(F.substr(short, 4 * first + 1, 4 * (end + most - first)), F.substr(long, 4 * start + 1, 4 * (end - start)))).cast("int")
+
+    return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda a, i: F.when(a > most, a).otherwise(a + spoiled(i))) <= most
 
 
 def codes(line: Column) -> Column:
@@ -302,9 +308,15 @@ def _near(pairs: DataFrame, told: DataFrame) -> DataFrame:
     both = pairs.join(named("other", "x"), "other").join(named("h", "y"), "h")
     turned = F.col("x_n") >= F.col("y_n")
     sides = both.select("h", F.when(turned, F.col("x")).otherwise(F.col("y")).alias("long"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("short"), allowed(F.greatest("x_n", "y_n")).alias("most"))
+
+    def meets(p: Column) -> Column:
+        # few parts first, then parts of four code points
+        fine = F.greatest(F.lit(_PARTS), F.floor(F.octet_length(p["a"]) / 16).cast("int"))
+        return _parts_meet(p["a"], p["b"], p["most"], F.lit(_PARTS)) & _parts_meet(p["a"], p["b"], p["most"], fine)
+
+    likely = sides.where(_let(F.struct(F.encode("long", "UTF-32").alias("a"), F.encode("short", "UTF-32").alias("b"), "most"), meets))
     # the distance is the costly part: it is spread over all tasks, however few bytes the pairs have
-    likely = sides.where(_parts_meet(F.col("long"), F.col("short"), F.col("most"))).repartition("h", F.xxhash64("long", "short"))
-    coded = likely.withColumns({c: codes(F.col(c)) for c in ("long", "short")})
+    coded = likely.repartition("h", F.xxhash64("long", "short")).withColumns({c: codes(F.col(c)) for c in ("long", "short")})
     # written before the test, as a filter would be pushed below the arrays and compute them anew at each use
     ready = cut(trimmed(coded, "long", "short", F.col("most")), "near-line-likely")
     return ready.where(edit_distance(F.col("long"), F.col("short"), F.col("most")) <= F.col("most")).select("h").distinct()
