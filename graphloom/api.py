@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import edges as E
 from graphloom.operators import groups as G
+from graphloom.operators import imports as M
 from graphloom.operators import resolve as N
 from graphloom.operators import score as S
 from graphloom.operators import search as R
@@ -16,9 +17,6 @@ from graphloom.operators import traversal as V
 from graphloom.plans.shared import cut
 from graphloom.sources import tree
 
-#: Rows that a text query returns at most.
-TEXT_ROWS = 200
-
 
 class Engine:
     """Functions and calls as tables; all answers are DataFrames."""
@@ -44,8 +42,7 @@ class Engine:
         modules = sites.where(F.col("caller") == tree.MODULE).select("file_path").distinct().select("file_path", F.lit(tree.MODULE).alias("qualified_name"), F.lit(tree.MODULE).alias("name"), F.lit(True).alias("is_module_caller"))
         functions = found.withColumn("is_module_caller", F.lit(False)).unionByName(modules, allowMissingColumns=True)
         functions = functions.join(files.select(F.col("path").alias("file_path"), "is_test", "language"), "file_path").withColumn("id", T.node_id("function", F.col("file_path"), F.col("qualified_name")))
-        index = files.select(F.col("path").alias("resolved_path"), F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.[a-z]+$", ""), "/", ".").alias("module_path"))
-        imports = tree.exploded(parsed, "imports").join(index, "module_path").select("file_path", "name", "resolved_path", "original")
+        imports = cut(self._imports(tree.exploded(parsed, "imports"), files), "imports")
         typed = tree.exploded(parsed, "variables").select("file_path", "name", F.col("inferred_type").alias("class_name")).where("class_name IS NOT NULL")
         placed = cut(sites.select(F.monotonically_increasing_id().alias("site"), T.node_id("function", F.col("file_path"), F.col("caller")).alias("caller"), "file_path", "callee", "line"), "sites")
         resolved = N.resolve_calls(placed, functions.where("NOT is_module_caller").select("id", "name", "qualified_name", "file_path"), imports, typed)
@@ -55,6 +52,26 @@ class Engine:
         self.files = files
         return changes
 
+    @staticmethod
+    def _imports(found: DataFrame, files: DataFrame) -> DataFrame:
+        """(file_path, name, resolved_path, original) of imports that name a file of the tree.
+
+        Dotted ones by the longest known module, also below the package roots; relative ones by their dots;
+        those of scripts by their paths; names that a file only passes on come from where it got them.
+        """
+        asked = found.join(files.select(F.col("path").alias("file_path"), "language"), "file_path")
+        pairs = asked.select(F.col("file_path").alias("importer"), F.col("module_path").alias("module"), "language").distinct()
+        python = files.where("language = 'python'")
+        dotted = python.select("path", F.replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), F.lit("/"), F.lit(".")).alias("module"))
+        rooted = dotted.join(F.broadcast(M.package_roots(python)), F.substring_index("path", "/", 1) == F.col("root")).select("path", F.expr("substr(module, length(root) + 2)").alias("module"))
+        modules = dotted.unionByName(rooted.where("module != ''")).groupBy("module").agg(F.min("path").alias("path"))
+        scripts = M.resolve_scripts(pairs.where("language IN ('javascript', 'typescript')").drop("language"), files)
+        resolved = M.resolve_dotted(pairs.where("language = 'python'").drop("language"), modules).unionByName(scripts).where("resolved IS NOT NULL")
+        there = resolved.join(files.select(F.col("path").alias("resolved")), "resolved", "left_semi").select(F.col("importer").alias("file_path"), F.col("module").alias("module_path"), F.col("resolved").alias("resolved_path"))
+        used = found.join(there, ["file_path", "module_path"]).select("file_path", "name", "resolved_path", F.coalesce("original", "name").alias("original"))
+        passed = used.select(F.col("file_path").alias("resolved_path"), F.col("name").alias("original"), F.col("resolved_path").alias("_source"), F.col("original").alias("_name")).dropDuplicates(["resolved_path", "original"])
+        return used.join(passed, ["resolved_path", "original"], "left").select("file_path", "name", F.coalesce("_source", "resolved_path").alias("resolved_path"), F.coalesce("_name", "original").alias("original"))
+
     def register(self) -> None:
         """Makes the tables known to SQL."""
         self.functions.createOrReplaceTempView("function")

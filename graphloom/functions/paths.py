@@ -13,8 +13,8 @@ LANGUAGE_BY_EXTENSION = {
 TEST_FRAGMENTS = ("test_", "_test", ".test.", ".spec.", "tests/", "test/", "__tests__", "/tests/", "/test/", "/test_", "/spec/", "/specs/")
 UTILITY_DIRECTORIES = ("utils", "util", "utilities", "helpers", "helper", "lib", "libs", "common", "shared", "contrib", "support")
 SCRIPT_PATTERN = r"(?i)(^|/)(scripts?|diagnostics?|tools?|bin|dev|debug|scratch|migrations?|fixtures?)(/|$)"
-DOC_PATTERN = r"(^|/)docs?/"
-EXAMPLE_PATTERN = r"(^|/)examples?/"
+DOC_PATTERN = r"(^|/)(docs|documentation)/"
+EXAMPLE_PATTERN = r"(^|/)examples/"
 WEB, PYTHON = ("javascript", "typescript"), "python"
 
 

@@ -104,8 +104,10 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, imports: DataFrame, type
     tiers.append(told(imported, "import_resolved"))
     rank = F.row_number().over(Window.partitionBy("site").orderBy(candidate_rank(F.col("file_path"), F.col("t_path")), "target"))
     few = lambda df: df.withColumns({"_n": F.count("*").over(Window.partitionBy("site")), "_r": rank}).where((F.col("_n") <= MOST_CANDIDATES) & (F.col("_r") == 1))
-    tiers.append(told(few(guarded.join(own, F.col("method") == F.col("t_name"))), "method_call"))
-    tiers.append(told(few(bare.join(own, F.col("method") == F.col("t_name"))), "fuzzy"))
+    # names with more definitions go first, so a frequent one never meets its calls
+    rare = own.join(own.groupBy("t_name").agg(F.count("*").alias("_d")).where(F.col("_d") <= MOST_CANDIDATES).select("t_name"), "t_name", "left_semi")
+    tiers.append(told(few(guarded.join(rare, F.col("method") == F.col("t_name"))), "method_call"))
+    tiers.append(told(few(bare.join(rare, F.col("method") == F.col("t_name"))), "fuzzy"))
 
     best = by_tiers(sites, ["site"], tiers).groupBy("site").agg(F.min_by(F.struct("target", "confidence", "reason"), F.struct(-F.col("confidence"), F.col("target"))).alias("r"))
     out = sites.join(best, "site").select("site", "caller", F.col("r.target").alias("callee"), "line", "r.confidence", "r.reason")

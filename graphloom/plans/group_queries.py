@@ -337,13 +337,13 @@ def file_diff(spark, sf_dir):
     return U.diff(*_snapshots(spark, sf_dir))
 
 
-@query(f"""WITH {_DIFF}, edge AS (SELECT path AS src, lead(path) OVER (PARTITION BY source ORDER BY path) AS dst FROM d)
-SELECT path FROM d WHERE n_chars >= 300 AND (change IN ('added', 'changed') OR path IN (SELECT src FROM edge JOIN d t ON t.path = dst WHERE t.change IS NOT NULL))""")
+@query(f"""WITH {_DIFF}, edge AS (SELECT path AS src, lead(path) OVER (PARTITION BY source ORDER BY path) AS dst FROM d), call AS (SELECT path AS src, lag(path) OVER (PARTITION BY source ORDER BY path) AS dst FROM d)
+SELECT path FROM d WHERE n_chars >= 300 AND (change IN ('added', 'changed') OR path IN (SELECT src FROM edge JOIN d t ON t.path = dst WHERE t.change IS NOT NULL) OR path IN (SELECT src FROM call JOIN d t ON t.path = dst WHERE t.change IN ('changed', 'removed')))""")
 def reparse_expansion(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
     every = old.select("path", "source").unionByName(new.select("path", "source")).distinct()
-    links = every.select(F.col("path").alias("src"), F.lead("path").over(Window.partitionBy("source").orderBy("path")).alias("dst")).where("dst IS NOT NULL")
-    return U.to_reparse(cut(U.diff(old, new), "changes"), links.where("false"), links, new)
+    beside = lambda f: every.select(F.col("path").alias("src"), f("path").over(Window.partitionBy("source").orderBy("path")).alias("dst")).where("dst IS NOT NULL")
+    return U.to_reparse(cut(U.diff(old, new), "changes"), beside(F.lag), beside(F.lead), new)
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END AS name, CAST(CASE WHEN p_size > 40 THEN 1 ELSE 0 END AS INTEGER) AS version FROM part""")

@@ -127,12 +127,12 @@ def config_flow_outer(spark, sf_dir):
 
 
 @query("""SELECT page_id, CASE WHEN p LIKE '%test_%' OR p LIKE '%_test%' OR contains(p, '.test.') OR contains(p, '.spec.') OR contains(p, 'tests/') OR contains(p, 'test/') OR contains(p, '__tests__') OR contains(p, '/spec/') OR contains(p, '/specs/') THEN 'test'
-  WHEN regexp_matches(p, '(^|/)docs?/') THEN 'docs' WHEN regexp_matches(p, '(^|/)examples?/') THEN 'examples' WHEN regexp_matches(p, '(^|/)(scripts?|diagnostics?|tools?|bin|dev|debug|scratch|migrations?|fixtures?)(/|$)') THEN 'scripts' ELSE 'production' END AS category
-FROM (SELECT page_id, lower(CASE WHEN page_id % 5 = 0 THEN 'src/tests/' WHEN page_id % 5 = 1 THEN 'docs/' WHEN page_id % 5 = 2 THEN 'tools/' WHEN page_id % 5 = 3 THEN 'examples/' ELSE 'src/' END || page_id || '.py') AS p FROM pages)""".replace("p LIKE '%test_%' OR p LIKE '%_test%'", "contains(p, 'test_') OR contains(p, '_test')"))
+  WHEN regexp_matches(p, '(^|/)(docs|documentation)/') THEN 'docs' WHEN regexp_matches(p, '(^|/)examples/') THEN 'examples' WHEN regexp_matches(p, '(^|/)(scripts?|diagnostics?|tools?|bin|dev|debug|scratch|migrations?|fixtures?)(/|$)') THEN 'scripts' WHEN regexp_matches(p, '(^|/)(numpy|click)/') THEN 'vendor' ELSE 'production' END AS category
+FROM (SELECT page_id, lower(CASE page_id % 9 WHEN 0 THEN 'src/tests/' WHEN 1 THEN 'docs/' WHEN 2 THEN 'tools/' WHEN 3 THEN 'examples/' WHEN 4 THEN 'src/documentation/' WHEN 5 THEN 'doc/' WHEN 6 THEN 'example/' WHEN 7 THEN 'lib/NumPy/' ELSE 'src/' END || page_id || '.py') AS p FROM pages)""".replace("p LIKE '%test_%' OR p LIKE '%_test%'", "contains(p, 'test_') OR contains(p, '_test')"))
 def path_classify(spark, sf_dir):
-    top = F.element_at(F.array(*map(F.lit, ("src/tests/", "docs/", "tools/", "examples/", "src/"))), (F.col("page_id") % 5 + 1).cast("int"))
+    top = F.element_at(F.array(*map(F.lit, ("src/tests/", "docs/", "tools/", "examples/", "src/documentation/", "doc/", "example/", "lib/NumPy/", "src/"))), (F.col("page_id") % 9 + 1).cast("int"))
     rows = P.table(spark, sf_dir, "pages").select("page_id", F.concat(top, F.col("page_id").cast("string"), F.lit(".py")).alias("path"))
-    return rows.select("page_id", paths.classify_path(F.col("path")).alias("category"))
+    return rows.select("page_id", paths.classify_path(F.col("path"), vendored=("numpy", "click")).alias("category"))
 
 
 _URL_PARTS = "string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/')"

@@ -27,22 +27,30 @@ def after_offset(records: DataFrame, key: str, order: list[str], offset: int) ->
     return records.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_at") > offset).drop("_at")
 
 
-_STATE = "calls long, source_hash string"
+_STATE = "calls long, source_hash string, past array<string>"
+#: Earlier bodies of a function whose late records are known as such.
+PAST = 64
 _OUT = "function_id string, calls long, source_hash string"
 
 
 def observations(records: DataFrame) -> DataFrame:
     """A stream of (function_id, source_hash) to running (function_id, calls, source_hash).
 
-    The state of a function holds for one body: a record with another hash starts it anew.
+    The state of a function holds for one body: a record with a hash not seen before starts it anew,
+    a late one of an earlier body is left out. ``PAST`` bodies of a function are remembered.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        calls, current = state.get if state.exists else (0, None)
+        calls, current, past = state.get if state.exists else (0, None, [])
+        past = list(past)
         for batch in batches:
             for h, n in batch.groupby("source_hash", sort=False).size().items():
-                calls, current = (calls + int(n), current) if h == current else (int(n), h)
-        state.update((calls, current))
+                if h == current:
+                    calls += int(n)
+                elif h not in past:
+                    past = [*past, current][-PAST:] if current is not None else past
+                    calls, current = int(n), h
+        state.update((calls, current, past))
         yield pd.DataFrame([{"function_id": key[0], "calls": calls, "source_hash": current}])
 
     return records.groupBy("function_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
@@ -60,7 +68,9 @@ def upsert_stream(changes: DataFrame, path: str, keys: list[str], checkpoint: st
         spark = batch.sparkSession
         new = last_write(batch, keys, order).withColumn("_batch", F.lit(number))
         old = f"{path}/v={number - 1}"
-        merged = upsert(spark.read.parquet(old), new, keys) if number and _exists(spark, old) else new
+        if number and not _exists(spark, old):
+            raise FileNotFoundError(f"{old}: the table of the batch before is gone")
+        merged = upsert(spark.read.parquet(old), new, keys) if number else new
         merged.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).outputMode("append").start()
