@@ -7,8 +7,8 @@ is near it: within ``allowed`` edits of code points, a number that grows with th
 square root of the longer line's length. The longer line of a pair is cut into
 that many segments and one more, so one of them stands unspoiled in the other
 line. Segments are indexed by class of length, number and content; the
-substrings of each line that can meet them are probed; letter counts thin out
-what meets by chance; a banded bit-parallel edit distance decides.
+substrings of each line that can meet them are probed; sketches of their
+letters and letter pairs thin out what meets by chance; a banded bit-parallel edit distance decides.
 
 The segments of the front half are placed from the line's start and those of the
 back half from its end, all of one length in a class. There is an unspoiled
@@ -84,8 +84,21 @@ def _counts(line: Column) -> Column:
 
 
 def _line_hash(line: Column) -> list[Column]:
-    """Two hashes of a line; the first is even, its last bit is free for a mark."""
-    return [F.xxhash64(line).bitwiseAND(F.lit(-2)).alias("h"), F.xxhash64(F.lit("line"), line).alias("h2")]
+    """Two hashes of a line; the last two bits of the first are free for marks."""
+    return [F.xxhash64(line).bitwiseAND(F.lit(-4)).alias("h"), F.xxhash64(F.lit("line"), line).alias("h2")]
+
+
+def _sketches(lines: DataFrame) -> DataFrame:
+    """(h, s0 .. s3): for each (h, line) whether the pairs of neighbouring code points of each of 256 kinds are odd in number.
+
+    An edit takes two pairs away and adds two at most, so it turns four of these bits at most.
+    """
+    units = lines.select("h", F.encode("line", "UTF-32").alias("units"), F.length("line").alias("n"))
+    each = units.select("h", "units", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i"))
+    kind = F.xxhash64(F.substr("units", 4 * F.col("i") - 3, F.lit(8))).bitwiseAND(F.lit(255))
+    placed = each.select("h", kind.alias("kind"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("kind").bitwiseAND(F.lit(63)).cast("int"))
+    return placed.groupBy("h").agg(*(F.bit_xor(F.when(F.shiftright("kind", 6) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(4)))
 
 
 def _letter_counts(line: Column, letters: str) -> Column:
@@ -104,6 +117,11 @@ def _letters_differ(a: Column, b: Column) -> Column:
     return reduce(add, [one(i) for i in range(16)])
 
 
+def _turned(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: at most four times the edit distance of the lines."""
+    return reduce(add, [F.bit_count(F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}"))) for w in range(4)])
+
+
 def _parts_meet(long: Column, short: Column, most: Column, parts: Column) -> Column:
     """Whether enough of ``parts`` parts of ``long`` stand in ``short`` near their places: an edit spoils one of them at most.
 
@@ -228,8 +246,20 @@ def _bit_at(word: Column, k: Column) -> Column:
     return F.call_function("shiftright", word, k.cast("int")).bitwiseAND(F.lit(1))
 
 
+def _class(n: Column) -> Column:
+    """The number of the class of lines of ``n`` code points."""
+    return reduce(add, [(n >= c).cast("int") for c in _CLASSES]) - 1
+
+
+def _fronts(lines: DataFrame) -> DataFrame:
+    """(h, own, p0, p1, l0, l1): the class of each (h, line), the hash of its first segment there and in the next class, and counts of letters."""
+    sizes = F.array(*(F.lit(c // (edits(c) + 1)) for c in _CLASSES))
+    front = lambda c: F.xxhash64(F.substr("line", F.lit(1), F.get(sizes, c)))
+    return lines.withColumn("own", _class(F.length("line"))).select("h", "own", front(F.col("own")).alias("p0"), front(F.col("own") + 1).alias("p1"), *(_letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(_LETTERS)))
+
+
 def _keys(lines: DataFrame) -> DataFrame:
-    """(k, g): for each line ``units`` (four bytes a code point) of hash ``h`` its index entries and its probes; ``g`` is the hash, its last bit set for what is a probe only.
+    """(k, g): for each line ``units`` (four bytes a code point) of hash ``h`` its index entries and its probes; ``g`` is the hash, its last bit set for what is a probe only and the one before for a first segment.
 
     A line is indexed in its own class and probes that one and, where a longer line of the next could be near, that too.
     The entry of a segment and the probe at its place are one row.
@@ -237,8 +267,7 @@ def _keys(lines: DataFrame) -> DataFrame:
     n = F.col("n")
     firsts = F.array(*map(F.lit, _CLASSES))
     most = F.array(*(F.lit(edits(c)) for c in _CLASSES))
-    own = reduce(add, [(n >= c).cast("int") for c in _CLASSES]) - 1
-    classed = lines.withColumn("own", own).withColumn("next", (F.get(firsts, F.col("own") + 1) - F.get(most, F.col("own") + 1) <= n))
+    classed = lines.withColumn("own", _class(n)).withColumn("next", (F.get(firsts, F.col("own") + 1) - F.get(most, F.col("own") + 1) <= n))
     each = classed.select("h", "units", "n", "own", F.explode(F.sequence("own", F.col("own") + F.coalesce(F.col("next").cast("int"), F.lit(0)))).alias("c"))
     sized = each.select("h", "units", "n", "own", "c", F.get(most, F.col("c")).alias("t"), F.get(firsts, F.col("c")).alias("first"))
     cut_ = sized.select("h", "units", "n", "own", "c", "t", F.floor(F.col("first") / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
@@ -249,7 +278,7 @@ def _keys(lines: DataFrame) -> DataFrame:
     place = F.when(F.col("i") <= F.floor(F.col("t") / 2), F.col("i") * F.col("size")).otherwise(n - (F.col("t") + 1 - F.col("i")) * F.col("size")) + F.col("s")
     placed = moved.select("h", "units", "n", "c", "i", "size", probe.alias("probe"), place.cast("int").alias("at")).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
     key = F.xxhash64(F.col("c") * 64 + F.col("i"), F.substr("units", 4 * F.col("at") + 1, 4 * F.col("size")))
-    return placed.select(key.alias("k"), (F.col("h") + F.col("probe").cast("long")).alias("g"))
+    return placed.select(key.alias("k"), (F.col("h") + F.col("probe").cast("long") + 2 * (F.col("i") == 0).cast("long")).alias("g"))
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
@@ -265,16 +294,17 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataF
     keys = _keys(units.select("h", "units", (F.octet_length("units") / 4).cast("int").alias("n")))
     # a key tells something only where an index entry meets a probe of another line: few of all keys
     one = Window.partitionBy("k")
-    line, mark = F.col("g").bitwiseAND(F.lit(-2)), F.col("g").bitwiseAND(F.lit(1))
+    line, mark = F.col("g").bitwiseAND(F.lit(-4)), F.col("g").bitwiseAND(F.lit(1))
     meets = (F.min(line).over(one) != F.max(line).over(one)) & (F.min(mark).over(one) == 0)
-    met = cut(keys.withColumn("meets", meets).where("meets").select("k", line.alias("h"), (mark == 1).alias("probe")).distinct(), "near-line-keys")
+    met = cut(keys.withColumn("meets", meets).where("meets").select("k", line.alias("h"), (mark == 1).alias("probe"), (F.col("g").bitwiseAND(F.lit(2)) == 2).alias("front")).distinct(), "near-line-keys")
 
     members = met.select("h").distinct()
     # joined, not semi-joined: that would be pushed below the filter and shuffle all lines
     texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h").groupBy("h").agg(F.first("line").alias("line"))
     order = firsts.join(members, "h").groupBy("h").agg(F.min("first").alias("first"))
-    told = cut(texts.join(order, "h").select("h", "line", "first", F.length("line").alias("n"), *(_letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(_LETTERS))), "near-line-texts")
-    counted = cut(met.join(told.drop("line"), "h").withColumn("place", F.struct("first", "h")), "near-line-meetings")
+    told = cut(texts.join(order, "h").select("h", "line", "first", F.length("line").alias("n")), "near-line-texts")
+    drawn = cut(told.drop("line").join(_sketches(told), "h").join(_fronts(told), "h").withColumn("place", F.struct("first", "h")).drop("first"), "near-line-sketches")
+    counted = cut(met.join(drawn, "h"), "near-line-meetings")
     near, tested = None, None
     # first against the earliest lines of each key; what is found near by then needs no more pairs
     for pivots in PIVOTS:
@@ -282,7 +312,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataF
         if pivots:
             rank = F.row_number().over(Window.partitionBy("k").orderBy("place"))
             earliest = counted.groupBy("k").agg(F.min("place").alias("place")) if pivots == 1 else counted.withColumn("rank", rank).where(F.col("rank") <= pivots).select("k", "place")
-            earlier = earliest.select("k", "place.h").distinct().join(told.drop("line"), "h").withColumns({"place": F.struct("first", "h"), "probe": F.lit(None).cast("boolean")})
+            earlier = earliest.select("k", "place.h").distinct().join(drawn, "h").withColumns({"probe": F.lit(None).cast("boolean"), "front": F.lit(True)})
         else:
             earlier = counted
         pairs = _meeting(later.alias("b"), earlier.alias("a"))
@@ -294,12 +324,17 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataF
 
 
 def _meeting(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """(h, other): the lines of ``later`` (b) and those of ``earlier`` (a) with the same key that may be near; of two known marks one has to be an index entry."""
+    """(h, other): the lines of ``later`` (b) and those of ``earlier`` (a) with the same key that may be near; of two known marks one has to be an index entry.
+
+    Lines that begin alike meet by their first segment and need no other, as some shortest edit leaves it unspoiled.
+    """
     longer = F.greatest("a.n", "b.n")
     most = allowed(longer)
     met = (F.col("a.k") == F.col("b.k")) & (F.col("a.place") < F.col("b.place")) & ~F.coalesce(F.col("a.probe") & F.col("b.probe"), F.lit(False))
-    close = (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (_letters_differ(F.col("a.l0"), F.col("b.l0")) + _letters_differ(F.col("a.l1"), F.col("b.l1")) <= 2 * most)
-    return later.join(earlier, met & close).select(F.col("b.h").alias("h"), F.col("a.h").alias("other")).distinct()
+    close = (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (_turned("a", "b") <= 4 * most) & (_letters_differ(F.col("a.l0"), F.col("b.l0")) + _letters_differ(F.col("a.l1"), F.col("b.l1")) <= 2 * most)
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    alike = F.when(a("own") == b("own"), a("p0") == b("p0")).when(a("own") == b("own") + 1, a("p0") == b("p1")).when(b("own") == a("own") + 1, b("p0") == a("p1")).otherwise(False)
+    return later.join(earlier, met & close & (a("front") | ~alike)).select(F.col("b.h").alias("h"), F.col("a.h").alias("other")).distinct()
 
 
 def _near(pairs: DataFrame, told: DataFrame) -> DataFrame:
