@@ -5,53 +5,117 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Modules that tell a file's layer, and directories that tell layer and role; the first that fits decides.
+# The modules whose import tells a file's layer.
 IMPORT_LAYERS = {
-    "persistence": "sqlalchemy alembic psycopg2 asyncpg aiopg pymongo motor redis aioredis aiomysql django.db peewee tortoise databases prisma pymysql cx_Oracle pyodbc sqlite3".split(),
-    "api": "flask fastapi django.views django.http django.urls starlette falcon tornado aiohttp.web sanic quart litestar express koa hapi nestjs @nestjs".split(),
-    "ui": "react vue svelte next/navigation next/router @angular preact @remix-run gatsby".split(),
-    "business_logic": "celery dramatiq rq apscheduler".split(),
-}
-PATH_LAYERS = {
-    "persistence": "models model entities entity repositories repository db database migrations dao".split(),
-    "api": "routes route handlers handler controllers controller views api endpoints".split(),
-    "ui": "pages page components component templates template".split(),
-    "business_logic": "services service domain usecases use_cases".split(),
-    "util": "utils util helpers helper lib libs common shared".split(),
-}
+    "persistence": (
+        "sqlalchemy", "alembic", "psycopg2", "asyncpg", "aiopg",
+        "pymongo", "motor", "redis", "aioredis", "aiomysql",
+        "django.db", "peewee", "tortoise", "databases", "prisma",
+        "pymysql", "cx_Oracle", "pyodbc", "sqlite3",
+    ),
+    "api": (
+        "flask", "fastapi", "django.views", "django.http",
+        "django.urls", "starlette", "falcon", "tornado",
+        "aiohttp.web", "sanic", "quart", "litestar",
+        "express", "koa", "hapi", "nestjs",
+        "@nestjs",
+    ),
+    "ui": (
+        "react", "vue", "svelte", "next/navigation", "next/router",
+        "@angular", "preact", "@remix-run", "gatsby",
+    ),
+    "business_logic": (
+        "celery", "dramatiq", "rq", "apscheduler",
+    ),
+}
+# The part of a path that tells a file's layer; the first that fits decides.
+PATH_LAYERS = (
+    ("/models/", "persistence"),
+    ("/model/", "persistence"),
+    ("/entities/", "persistence"),
+    ("/entity/", "persistence"),
+    ("/repositories/", "persistence"),
+    ("/repository/", "persistence"),
+    ("/db/", "persistence"),
+    ("/database/", "persistence"),
+    ("/migrations/", "persistence"),
+    ("/dao/", "persistence"),
+    ("/routes/", "api"),
+    ("/route/", "api"),
+    ("/handlers/", "api"),
+    ("/handler/", "api"),
+    ("/controllers/", "api"),
+    ("/controller/", "api"),
+    ("/views/", "api"),
+    ("/api/", "api"),
+    ("/endpoints/", "api"),
+    ("/pages/", "ui"),
+    ("/page/", "ui"),
+    ("/components/", "ui"),
+    ("/component/", "ui"),
+    ("/templates/", "ui"),
+    ("/template/", "ui"),
+    ("/services/", "business_logic"),
+    ("/service/", "business_logic"),
+    ("/domain/", "business_logic"),
+    ("/usecases/", "business_logic"),
+    ("/use_cases/", "business_logic"),
+    ("/utils/", "util"),
+    ("/util/", "util"),
+    ("/helpers/", "util"),
+    ("/helper/", "util"),
+    ("/lib/", "util"),
+    ("/libs/", "util"),
+    ("/common/", "util"),
+    ("/shared/", "util"),
+)
+# The part of a path that tells a file's role; the first that fits decides.
 PATH_ROLES = (
-    ("repository", "repositories repository"), ("service", "services service"), ("controller", "controllers controller"),
-    ("handler", "routes route views api endpoints handlers handler"), ("page", "pages page"), ("component", "components component"),
-    ("util", "utils util"), ("helper", "helpers"), ("model", "models model entities"), ("repository", "db database"),
-)
-
-
-def _under(path: Column, directories) -> Column:
-    """Below one of the directories; one at the very top does not count."""
-    return F.lower(path).rlike("/(" + "|".join(directories) + ")/")
+    ("/repositories/", "repository"),
+    ("/repository/", "repository"),
+    ("/services/", "service"),
+    ("/service/", "service"),
+    ("/controllers/", "controller"),
+    ("/controller/", "controller"),
+    ("/routes/", "handler"),
+    ("/route/", "handler"),
+    ("/views/", "handler"),
+    ("/api/", "handler"),
+    ("/endpoints/", "handler"),
+    ("/handlers/", "handler"),
+    ("/handler/", "handler"),
+    ("/pages/", "page"),
+    ("/page/", "page"),
+    ("/components/", "component"),
+    ("/component/", "component"),
+    ("/utils/", "util"),
+    ("/util/", "util"),
+    ("/helpers/", "helper"),
+    ("/models/", "model"),
+    ("/model/", "model"),
+    ("/entities/", "model"),
+    ("/db/", "repository"),
+    ("/database/", "repository"),
+)
+
+
+def _first(pairs: list[tuple[Column, str]]) -> Column:
+    """The value of the first condition that holds, or null."""
+    return F.coalesce(*(F.when(when, value) for when, value in pairs))
 
 
 def layer_of_module(module: Column) -> Column:
     """The layer of an imported module: the module itself or what lies below it."""
-    out = None
-    for layer, names in IMPORT_LAYERS.items():
-        known = module.rlike("^(" + "|".join(n.replace(".", r"\.") for n in names) + r")([./]|$)")
-        out = F.when(known, layer) if out is None else out.when(known, layer)
-    return out
+    below = lambda names: "^(" + "|".join(n.replace(".", r"\.") for n in names) + r")([./]|$)"
+    return _first([(module.rlike(below(names)), layer) for layer, names in IMPORT_LAYERS.items()])
 
 
 def layer_of_path(path: Column) -> Column:
-    out = None
-    for layer, names in PATH_LAYERS.items():
-        out = F.when(_under(path, names), layer) if out is None else out.when(_under(path, names), layer)
-    return out
+    return _first([(F.contains(F.lower(path), F.lit(part)), layer) for part, layer in PATH_LAYERS])
 
 
 def role_of_path(path: Column) -> Column:
-    out = None
-    for role, names in PATH_ROLES:
-        out = F.when(_under(path, names.split()), role) if out is None else out.when(_under(path, names.split()), role)
-    return out
+    return _first([(F.contains(F.lower(path), F.lit(part)), role) for part, role in PATH_ROLES])
 
 
 def classify(files: DataFrame, imports: DataFrame) -> DataFrame:
