@@ -17,13 +17,11 @@ from graphloom.sources import projection as P
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-#: Nodes from which traversals start, confidence of the edges that they follow.
-ROOT, SURE = 1, 0.95
-#: Confidence of the edges that the survey's depth queries and communities follow, for the queries without SQL.
-DEEP, LINKED = 0.8, 0.5
+#: The node from which traversals start; confidence of the edges that depth queries and communities follow.
+ROOT, DEEP, LINKED = 1, 0.8, 0.5
 
 
-def _sure(spark: SparkSession, sf_dir: str, least: float = SURE) -> DataFrame:
+def _calls(spark: SparkSession, sf_dir: str, least: float = 0) -> DataFrame:
     return cut(P.calls(spark, sf_dir).where(F.col("confidence") >= least).select("src", "dst", "confidence", "reason"), "calls")
 
 
@@ -121,7 +119,7 @@ def call_self_loop_filter(spark, sf_dir):
     return E.drop_suspect_loops(P.raw_calls(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def _hops(edge_from: str, edge_to: str, hops: int, source: str = "sure", seeds: str = f"SELECT CAST({ROOT} AS BIGINT) AS id") -> str:
+def _hops(edge_from: str, edge_to: str, hops: int, source: str = "deep", seeds: str = f"SELECT CAST({ROOT} AS BIGINT) AS id") -> str:
     parts, seen = [f"h0 AS ({seeds})"], ["SELECT id FROM h0"]
     for i in range(1, hops + 1):
         parts.append(f"h{i} AS (SELECT DISTINCT {edge_to} AS id FROM {source} JOIN h{i - 1} ON {edge_from} = id WHERE {edge_to} NOT IN ({' UNION ALL '.join(seen)}))")
@@ -130,43 +128,23 @@ def _hops(edge_from: str, edge_to: str, hops: int, source: str = "sure", seeds:
     return ", ".join(parts)
 
 
-_SURE = f"{CALLS}, sure AS (SELECT * FROM calls WHERE confidence >= {SURE})"
+_DEEP = f"{CALLS}, deep AS (SELECT * FROM calls WHERE confidence >= {DEEP})"
 
 
-@query(f"WITH {_SURE}, {_hops('dst', 'src', 3)} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
+@query(f"WITH {_DEEP}, {_hops('dst', 'src', 3)} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
 def dependents_by_depth(spark, sf_dir):
-    return V.reach(_sure(spark, sf_dir), _one(spark), 3, forward=False)
+    return V.reach(_calls(spark, sf_dir, DEEP), _one(spark), 3, forward=False)
 
 
-@query()
-def dependents_by_depth_whole(spark, sf_dir):
-    """At the survey's floor; the SQL of ``dependents_by_depth`` has a higher one, as that of the queries below."""
-    return V.reach(_sure(spark, sf_dir, DEEP), _one(spark), 3, forward=False)
-
-
-@query(f"WITH {_SURE}, {_hops('src', 'dst', 3)} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
+@query(f"WITH {_DEEP}, {_hops('src', 'dst', 3)} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
 def dependencies_by_depth(spark, sf_dir):
-    return V.reach(_sure(spark, sf_dir), _one(spark), 3)
+    return V.reach(_calls(spark, sf_dir, DEEP), _one(spark), 3)
 
 
-@query()
-def dependencies_by_depth_whole(spark, sf_dir):
-    return V.reach(_sure(spark, sf_dir, DEEP), _one(spark), 3)
-
-
-@query(f"""WITH {_SURE}, {_hops('dst', 'src', 3)}, named AS (SELECT hop, file_path FROM hops JOIN fn USING (id) WHERE hop > 0), {FUNCTIONS}
-SELECT CAST(hop AS INTEGER) AS hop, count(*) AS functions, count(DISTINCT file_path) AS files FROM named GROUP BY hop""".replace(f", named AS (SELECT hop, file_path FROM hops JOIN fn USING (id) WHERE hop > 0), {FUNCTIONS}", f", {FUNCTIONS}, named AS (SELECT hop, file_path FROM hops JOIN fn USING (id) WHERE hop > 0)"))
+@query(f"""WITH {_DEEP}, {_hops('dst', 'src', 3)}, {FUNCTIONS}, named AS (SELECT hop, file_path FROM hops JOIN fn USING (id) WHERE hop > 0)
+SELECT CAST(hop AS INTEGER) AS hop, count(*) AS functions, count(DISTINCT file_path) AS files FROM named GROUP BY hop""")
 def impact_by_file(spark, sf_dir):
-    return _impact_by_file(spark, sf_dir, SURE)
-
-
-@query()
-def impact_by_file_whole(spark, sf_dir):
-    return _impact_by_file(spark, sf_dir, DEEP)
-
-
-def _impact_by_file(spark, sf_dir, least):
-    hit = V.reach(_sure(spark, sf_dir, least), _one(spark), 3, forward=False).where("hop > 0").join(P.functions(spark, sf_dir), "id")
+    hit = V.reach(_calls(spark, sf_dir, DEEP), _one(spark), 3, forward=False).where("hop > 0").join(P.functions(spark, sf_dir), "id")
     return hit.groupBy("hop").agg(F.count("*").alias("functions"), F.count_distinct("file_path").alias("files"))
 
 
@@ -181,25 +159,16 @@ def hierarchy_varlen_1_3(spark, sf_dir):
 def _impact_sql(hops: int) -> str:
     parts, seen = [f"i0 AS (SELECT id, 0.01 + id / 1000000.0 AS score FROM (SELECT CAST({ROOT} AS BIGINT) AS id))"], ["SELECT id FROM i0"]
     for k in range(1, hops + 1):
-        parts.append(f"i{k} AS (SELECT src AS id, max(score * 0.7 * confidence) AS score FROM sure JOIN i{k - 1} ON dst = id WHERE src NOT IN ({' UNION ALL '.join(seen)}) GROUP BY src)")
+        parts.append(f"i{k} AS (SELECT src AS id, max(score * 0.7 * confidence) AS score FROM calls JOIN i{k - 1} ON dst = id WHERE src NOT IN ({' UNION ALL '.join(seen)}) GROUP BY src)")
         seen.append(f"SELECT id FROM i{k}")
     every = " UNION ALL ".join(f"SELECT id, {k} AS hop, score FROM i{k}" for k in range(hops + 1))
-    return f"WITH {_SURE}, {', '.join(parts)} SELECT id, CAST(hop AS INTEGER) AS hop, round(score, 8) AS score FROM ({every})"
+    return f"WITH {CALLS}, {', '.join(parts)} SELECT id, CAST(hop AS INTEGER) AS hop, round(score, 8) AS score FROM ({every})"
 
 
-@query(_impact_sql(4))
+@query(_impact_sql(5))
 def diff_impact(spark, sf_dir):
-    return _diff_impact(spark, sf_dir, SURE, 4)
-
-
-@query()
-def diff_impact_whole(spark, sf_dir):
-    return _diff_impact(spark, sf_dir, 0, 5)
-
-
-def _diff_impact(spark, sf_dir, least, hops):
     seeds = _one(spark).select("id", (0.01 + F.col("id") / 1000000.0).alias("score"))
-    return V.spread(_sure(spark, sf_dir, least), seeds, hops).select("id", "hop", F.round("score", 8).alias("score"))
+    return V.spread(_calls(spark, sf_dir), seeds, 5).select("id", "hop", F.round("score", 8).alias("score"))
 
 
 _TOP4 = f"{CALLS}, top4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM calls) WHERE k <= 4)"
@@ -235,20 +204,14 @@ def pathway_importance(spark, sf_dir):
     )
 
 
-_FEW = f"{CALLS}, few AS (SELECT src, dst FROM calls WHERE confidence >= 1 AND reason = 'direct_call' AND sites >= 2)"
+# The smallest node of a component has no smaller neighbour, so it is enough to walk from such nodes.
+_COMPONENTS = f"""WITH RECURSIVE {CALLS}, both_ AS (SELECT src AS u, dst AS v FROM calls UNION SELECT dst, src FROM calls),
+low AS (SELECT u FROM both_ GROUP BY u HAVING u < min(v)), walk(id, root) AS (SELECT u, u FROM low UNION SELECT b.v, w.root FROM walk w JOIN both_ b ON w.id = b.u),
+comp AS (SELECT id, min(root) AS component FROM walk GROUP BY id)"""
 
 
-@query(f"""WITH RECURSIVE {_FEW}, both_ AS (SELECT src AS u, dst AS v FROM few UNION SELECT dst, src FROM few),
-reach(id, other) AS (SELECT DISTINCT u, u FROM both_ UNION SELECT r.id, b.v FROM reach r JOIN both_ b ON r.other = b.u)
-SELECT id, min(other) AS component FROM reach GROUP BY id""")
+@query(f"{_COMPONENTS} SELECT id, component FROM comp")
 def components(spark, sf_dir):
-    few = P.calls(spark, sf_dir).where("confidence >= 1 AND reason = 'direct_call' AND sites >= 2")
-    return connected_components(few)
-
-
-@query()
-def components_whole(spark, sf_dir):
-    """Of the whole merged call graph; the SQL of ``components`` takes repeated sure calls only."""
     return connected_components(P.calls(spark, sf_dir))
 
 
@@ -299,21 +262,12 @@ def class_ancestors(spark, sf_dir):
     return ancestors(_brand_chain(spark, sf_dir))
 
 
-@query(f"""WITH {_SURE}, {FUNCTIONS}, {_EXTENDS}, up AS (SELECT DISTINCT m.id, b.id AS base_id FROM fn m JOIN anc ON anc.class = m.class_name JOIN fn b ON b.name = m.name AND b.class_name = anc.base)
-SELECT up.id, src AS caller, round(max(confidence) * 0.9, 4) AS confidence FROM up JOIN sure ON dst = base_id GROUP BY up.id, src""")
+@query(f"""WITH {CALLS}, {FUNCTIONS}, {_EXTENDS}, up AS (SELECT DISTINCT m.id, b.id AS base_id FROM fn m JOIN anc ON anc.class = m.class_name JOIN fn b ON b.name = m.name AND b.class_name = anc.base)
+SELECT up.id, src AS caller, round(max(confidence) * 0.9, 4) AS confidence FROM up JOIN calls ON dst = base_id GROUP BY up.id, src""")
 def interface_callers(spark, sf_dir):
-    return _interface_callers(spark, sf_dir, SURE)
-
-
-@query()
-def interface_callers_whole(spark, sf_dir):
-    return _interface_callers(spark, sf_dir, 0)
-
-
-def _interface_callers(spark, sf_dir, least):
     from graphloom.operators import heritage
 
-    return heritage.interface_callers(P.functions(spark, sf_dir).select("id", "name", "class_name"), _brand_chain(spark, sf_dir), _sure(spark, sf_dir, least))
+    return heritage.interface_callers(P.functions(spark, sf_dir).select("id", "name", "class_name"), _brand_chain(spark, sf_dir), _calls(spark, sf_dir))
 
 
 @query(f"""WITH {FUNCTIONS}, {_EXTENDS} SELECT DISTINCT m.id FROM fn m JOIN anc ON anc.class = m.class_name JOIN fn b ON b.name = m.name AND b.class_name = anc.base""")
@@ -327,10 +281,12 @@ def superclass_reachable(spark, sf_dir):
 def label_propagation(spark, sf_dir):
     from graphloom.operators import communities
 
-    return communities.label_propagation(_sure(spark, sf_dir, LINKED), LINKED)
+    return communities.label_propagation(_calls(spark, sf_dir, LINKED), LINKED)
 
 
-@query()
+@query(f"""{_COMPONENTS}, named AS (SELECT component, p_name AS name, count(*) AS n FROM comp JOIN part ON p_partkey = id GROUP BY 1, 2),
+top AS (SELECT component, name, row_number() OVER (PARTITION BY component ORDER BY n DESC, name) AS k, sum(n) OVER (PARTITION BY component) AS members FROM named)
+SELECT component AS thread, name, CAST(members AS INTEGER) AS members FROM top WHERE k = 1""")
 def variable_threads(spark, sf_dir):
     from graphloom.operators import communities
 

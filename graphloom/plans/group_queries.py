@@ -65,59 +65,38 @@ def duplicate_bodies(spark, sf_dir):
     return docs.groupBy("body").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.count_distinct("source").alias("files")).where("copies >= 2")
 
 
-@query(f"""WITH {CALLS}, {FUNCTIONS}, called AS (SELECT DISTINCT dst FROM calls WHERE confidence >= 1), s AS (
+@query(f"""WITH {CALLS}, {FUNCTIONS}, called AS (SELECT DISTINCT dst FROM calls), s AS (
   SELECT id, name, file_path, CASE WHEN is_test THEN -5 ELSE 1 END + least(1, 4) + CASE WHEN id IN (FROM called) THEN 3 ELSE 0 END
     + CASE WHEN lower(class_name) = lower(name) THEN 2 ELSE 0 END AS score FROM fn)
 SELECT name, id, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, file_path, id) AS k FROM s) WHERE k = 1""")
 def duplicate_canonical(spark, sf_dir):
-    sure = P.calls(spark, sf_dir).where("confidence >= 1")
-    return _canonical(spark, sf_dir, sure)
-
-
-@query()
-def duplicate_canonical_whole(spark, sf_dir):
-    """With all callers; the SQL of ``duplicate_canonical`` counts sure calls only, as that of the three below."""
-    return _canonical(spark, sf_dir, P.calls(spark, sf_dir))
-
-
-def _canonical(spark, sf_dir, calls):
-    copies = E.degrees(P.functions(spark, sf_dir), calls).withColumn("is_dead", F.col("is_test"))
+    copies = E.degrees(P.functions(spark, sf_dir), P.calls(spark, sf_dir)).withColumn("is_dead", F.col("is_test"))
     return G.canonical(copies, "name").where("is_canonical").select("name", "id", "score")
 
 
 # --- coverage and dead code
 
-_TESTED = f"{CALLS}, {FUNCTIONS}, tested AS (SELECT DISTINCT dst FROM calls WHERE src IN (SELECT id FROM fn WHERE is_test) AND confidence >= 1)"
+_TESTED = f"{CALLS}, {FUNCTIONS}, tested AS (SELECT DISTINCT dst FROM calls WHERE src IN (SELECT id FROM fn WHERE is_test))"
 
 
 @query(f"""WITH {_TESTED} SELECT module, count(*) AS total, count(*) FILTER (WHERE id IN (FROM tested)) AS tested,
   round(100.0 * count(*) FILTER (WHERE id IN (FROM tested)) / count(*), 1) AS pct FROM fn WHERE NOT is_test GROUP BY module""")
 def test_coverage_map(spark, sf_dir):
-    return G.tested_share(P.functions(spark, sf_dir), P.calls(spark, sf_dir).where("confidence >= 1"), "module")
-
-
-@query()
-def test_coverage_map_whole(spark, sf_dir):
     return G.tested_share(P.functions(spark, sf_dir), P.calls(spark, sf_dir), "module")
 
 
 @query(f"""WITH {_TESTED} SELECT file_path, count(*) AS total, count(*) FILTER (WHERE id IN (FROM tested)) AS tested,
   round(100.0 * count(*) FILTER (WHERE id IN (FROM tested)) / count(*), 1) AS pct FROM fn WHERE NOT is_test GROUP BY file_path""")
 def any_call_coverage_map(spark, sf_dir):
-    return G.tested_share(P.functions(spark, sf_dir), P.calls(spark, sf_dir).where("confidence >= 1"), "file_path")
-
-
-@query()
-def any_call_coverage_map_whole(spark, sf_dir):
     return G.tested_share(P.functions(spark, sf_dir), P.calls(spark, sf_dir), "file_path")
 
 
-_INFO = f"""{CALLS}, {FUNCTIONS}, sure AS (SELECT * FROM calls WHERE confidence >= 1), info AS (
+_INFO = f"""{CALLS}, {FUNCTIONS}, info AS (
   SELECT fn.id, count(s.dst) AS total, count(*) FILTER (WHERE s.reason = 'fuzzy') AS fuzzy,
     count(*) FILTER (WHERE s.reason <> 'fuzzy' AND c.is_test) AS test,
     count(*) FILTER (WHERE s.reason <> 'fuzzy' AND NOT c.is_test AND c.line_count > 45) AS script,
     count(*) FILTER (WHERE s.reason <> 'fuzzy' AND NOT c.is_test AND c.line_count <= 45) AS prod
-  FROM fn LEFT JOIN sure s ON s.dst = fn.id LEFT JOIN fn c ON c.id = s.src GROUP BY fn.id)"""
+  FROM fn LEFT JOIN calls s ON s.dst = fn.id LEFT JOIN fn c ON c.id = s.src GROUP BY fn.id)"""
 
 
 @query(f"""WITH {_INFO} SELECT id, total, fuzzy, test, script, prod,
@@ -125,17 +104,8 @@ _INFO = f"""{CALLS}, {FUNCTIONS}, sure AS (SELECT * FROM calls WHERE confidence
     WHEN fuzzy = total THEN 'probably_dead' WHEN test > 0 AND test + fuzzy = total THEN 'probably_dead' WHEN script > 0 AND prod = 0 THEN 'probably_dead' ELSE 'possibly_dead' END AS tier,
   CASE WHEN total = 0 THEN 'dead_everywhere' WHEN total <= test + script THEN 'dead_in_production' ELSE 'dead_everywhere' END AS context FROM info""")
 def dead_tiers(spark, sf_dir):
-    return _dead_tiers(spark, sf_dir, P.calls(spark, sf_dir).where("confidence >= 1"))
-
-
-@query()
-def dead_tiers_whole(spark, sf_dir):
-    return _dead_tiers(spark, sf_dir, P.calls(spark, sf_dir))
-
-
-def _dead_tiers(spark, sf_dir, calls):
     functions = P.functions(spark, sf_dir).withColumn("is_script", F.col("line_count") > 45)
-    info = G.caller_info(functions, calls)
+    info = G.caller_info(functions, P.calls(spark, sf_dir))
     tier = G.dead_tier(F.col("is_script"), F.lit(False))
     return info.select("id", "total", "fuzzy", "test", "script", "prod", tier.alias("tier"), G.dead_context().alias("context"))
 

@@ -101,9 +101,9 @@ def node_details(spark, sf_dir):
     return told.select("id", "name", "n_callers", few("callers"), "n_callees", few("callees"))
 
 
-@query(f"WITH {CALLS}, {FUNCTIONS} SELECT DISTINCT file_path FROM fn WHERE id IN (SELECT dst FROM calls WHERE confidence >= 0.8)")
+@query(f"WITH {CALLS}, {FUNCTIONS} SELECT DISTINCT file_path FROM fn WHERE id IN (SELECT dst FROM calls)")
 def files_with_called_methods(spark, sf_dir):
-    return L.files_with_called_methods(P.functions(spark, sf_dir), P.calls(spark, sf_dir).where("confidence >= 0.8"))
+    return L.files_with_called_methods(P.functions(spark, sf_dir), P.calls(spark, sf_dir))
 
 
 @query("""WITH u AS (SELECT lower(p_type) AS f, w AS name FROM part, unnest(string_split(p_type, ' ')) AS t(w)), c AS (SELECT DISTINCT lower(p_type) AS f, string_split(p_type, ' ')[1] AS name FROM part), k AS (SELECT f, name, f || ':' || name AS class_id FROM c),
@@ -230,10 +230,10 @@ def map_hashes(spark, sf_dir):
     return P.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(entries.alias("m")).select("n_regionkey", C.map_hash(F.col("m")).alias("hash"))
 
 
-@query(f"""WITH {CALLS}, d AS (SELECT p_partkey AS id, coalesce(n, 0) AS n, p_size % 9 = 0 AS many FROM part LEFT JOIN (SELECT dst, count(*) AS n FROM calls WHERE confidence >= 0.98 GROUP BY dst) ON dst = p_partkey)
+@query(f"""WITH {CALLS}, d AS (SELECT p_partkey AS id, coalesce(n, 0) AS n, p_size % 9 = 0 AS many FROM part LEFT JOIN (SELECT dst, count(*) AS n FROM calls GROUP BY dst) ON dst = p_partkey)
 SELECT id, 'static_call_graph_only' || CASE WHEN many THEN ',ambiguous_symbol_multiple_matches_narrow_the_query' WHEN n = 0 THEN ',no_direct_static_callers_may_miss_dynamic_or_typed_edges' ELSE '' END AS warnings FROM d""")
 def impact_warnings(spark, sf_dir):
-    n = P.calls(spark, sf_dir).where("confidence >= 0.98").groupBy(F.col("dst").alias("p_partkey")).agg(F.count("*").alias("n"))
+    n = P.calls(spark, sf_dir).groupBy(F.col("dst").alias("p_partkey")).agg(F.count("*").alias("n"))
     part = P.table(spark, sf_dir, "part").join(n, "p_partkey", "left")
     return part.select(F.col("p_partkey").alias("id"), F.array_join(C.impact_warnings(F.coalesce("n", F.lit(0)), F.col("p_size") % 9 == 0), ",").alias("warnings"))
 

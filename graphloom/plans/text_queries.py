@@ -69,23 +69,12 @@ def backtick_tokens(spark, sf_dir):
     return rows.select("id", F.array_join(T.backtick_tokens(F.col("text")), ",").alias("tokens"))
 
 
-_STATEMENTS = [(0, "INV-3: the table is never empty at start\nALWAYS close the handle before exit."), (1, "This class is NOT thread-safe when shared."), (2, "Must be started before any read of the data"), (3, "plain prose"), (4, "You MUST NOT share cursors between workers.")]
-
-
-@query("""SELECT * FROM (VALUES (0, 'constraint=the table is never empty at start|guarantee=ALWAYS close the handle before exit'), (1, 'thread=NOT thread-safe when shared'),
-(2, 'lifecycle=Must be started before any read of the data'), (3, ''), (4, 'constraint=MUST NOT share cursors between workers')) AS t(id, found)""")
-def invariant_extract(spark, sf_dir):
-    rows = spark.createDataFrame(_STATEMENTS, "id int, text string")
-    return rows.select("id", _invariants(F.col("text")).alias("found"))
-
-
 def _invariants(text):
     return F.array_join(F.transform(T.invariants(text), lambda s: F.concat_ws("=", s["kind"], s["text"])), "|")
 
 
 @query()
-def invariant_extract_whole(spark, sf_dir):
-    """Over all documents; the SQL of ``invariant_extract`` has literal rows."""
+def invariant_extract(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", _invariants(F.coalesce("text", F.lit(""))).alias("found"))
 
 
@@ -97,18 +86,14 @@ def io_tags(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.io_tags(F.col("text")), ",").alias("tags"))
 
 
-_SOURCES = [(0, "cfg['db.url'] + config.get('retries') + os.getenv('HOME')"), (1, "settings [ \"a\" ]; conf.get( 'b' ); cfg['a']"), (2, "dict.get('x')")]
+_KEYS = " || ".join("regexp_extract_all(text, '" + p.replace("'", "''") + "', 1)" for p in T.CONFIG_READS)
 
 
-@query("SELECT * FROM (VALUES ('HOME', 1, '0'), ('a', 1, '1'), ('b', 1, '1'), ('db.url', 1, '0'), ('retries', 1, '0')) AS t(key, usage_count, files)")
+@query(f"""WITH k AS (SELECT unnest(json_keys(props)) AS key, 'events' AS source FROM events
+  UNION ALL SELECT unnest(list_distinct({_KEYS})), 'documents' FROM documents)
+SELECT key, count(*) AS usage_count, string_agg(DISTINCT source, ',' ORDER BY source) AS files FROM k GROUP BY key""")
 def config_registry(spark, sf_dir):
-    rows = spark.createDataFrame(_SOURCES, "id int, source string").select("id", F.explode(T.config_keys(F.col("source"))).alias("key"))
-    return rows.groupBy("key").agg(F.count("*").alias("usage_count"), F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), ",").alias("files"))
-
-
-@query()
-def config_registry_whole(spark, sf_dir):
-    """The keys of all events' properties and those that all documents read, with the number of rows; the SQL of ``config_registry`` has literal rows."""
+    """The keys of all events' properties and those that all documents read, with the number of rows."""
     used = lambda name, keys: P.table(spark, sf_dir, name).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).select("key", F.lit(name).alias("source"), "n")
     rows = used("events", F.json_object_keys("props")).unionByName(used("documents", T.config_keys(F.col("text"))))
     return rows.groupBy("key").agg(F.sum("n").alias("usage_count"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("files"))
