@@ -170,40 +170,51 @@ def edit_distance(long: Column, short: Column, most: Column) -> Column:
 
     Bit-parallel over a diagonal band of 2 * most + 1 cells: one word of vertical
     differences moves down the diagonal with each character of the shorter text.
+    It ends early: values along a diagonal never fall and neighbouring cells differ by one at
+    most, so no cell of the last diagonal is less than the band's lower edge minus the way to it.
     """
-    m, n, w = F.size(long), F.size(short), 2 * most + 1
-    one = F.lit(1).cast("long")
+    m, n = F.size(long), F.size(short)
+    one, ended = F.lit(1).cast("long"), F.lit(1000).cast("long")
     up = lambda x, k: F.call_function("shiftleft", x, k.cast("int"))
-    mask = up(one, w) - 1
-
-    def step(acc: Column, j: Column) -> Column:
-        # j from 0; bit i of a word stands for row j - most + i, rows counted from 0
-        here, first = F.get(short, j), F.greatest(j - most, F.lit(0))
-        band = F.slice(long, first + 1, F.least(j + most + 1, m) - first)
-        match = F.aggregate(band, F.struct(F.lit(0).cast("long").alias("bits"), up(one, first - (j - most)).alias("bit")), lambda a, c: F.struct(F.when(c == here, a["bits"].bitwiseOR(a["bit"])).otherwise(a["bits"]).alias("bits"), F.shiftleft(a["bit"], 1).alias("bit")), lambda a: a["bits"])
-        return F.struct(match.alias("match"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["d"].alias("d"), j.alias("j"))
-
-    def across(s: Column) -> Column:
-        vp, vn = s["vp"], s["vn"]
-        d0 = (s["match"].bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(s["match"]).bitwiseOR(vn).bitwiseAND(mask)
-        # positive once the band's lower edge has left the last row
-        past = F.greatest(F.lit(0), s["j"] - (m - 1 - most))
-        return F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), past.alias("past"), s["d"].alias("d"))
-
-    def down(s: Column) -> Column:
-        hp = s["vn"].bitwiseOR(F.bitwise_not(s["d0"].bitwiseOR(s["vp"]))).bitwiseAND(mask)
-        hn = s["d0"].bitwiseAND(s["vp"])
-        k = w - 1 - s["past"]
-        moved = F.when(s["past"] == 0, 1 - _bit_at(s["d0"], w - 1)).otherwise(_bit_at(hp, k) - _bit_at(hn, k))
-        below = F.shiftright(s["d0"], 1)
-        return F.struct(
-            hn.bitwiseOR(F.bitwise_not(below.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
-            below.bitwiseAND(hp).alias("vn"),
-            (s["d"] + moved).alias("d"),
-        )
-
-    start = F.struct((mask - (up(one, most) - 1)).alias("vp"), F.lit(0).cast("long").alias("vn"), most.cast("long").alias("d"))
-    walked = F.aggregate(F.sequence(F.lit(0), n - 1), start, lambda acc, j: _let(_let(step(acc, j), across), down), lambda acc: acc["d"])
+
+    def walk(p: Column) -> Column:
+        mask, top = p["mask"], p["top"]
+
+        def step(acc: Column, j: Column) -> Column:
+            # j from 0; bit i of a word stands for row j - most + i, rows counted from 0
+            here, first, last = F.get(short, j), F.greatest(j - most, F.lit(0)), F.least(j + most, m - 1)
+            cells = F.aggregate(F.slice(long, first + 1, last - first + 1), F.lit(0).cast("long"), lambda bits, c: F.when(c == here, F.shiftright(bits, 1).bitwiseOR(top)).otherwise(F.shiftright(bits, 1)))
+            match = F.call_function("shiftright", cells, (j + most - last).cast("int"))
+            return F.struct(match.alias("match"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["d"].alias("d"), j.alias("j"))
+
+        def across(s: Column) -> Column:
+            vp, vn = s["vp"], s["vn"]
+            d0 = (s["match"].bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(s["match"]).bitwiseOR(vn).bitwiseAND(mask)
+            # positive once the band's lower edge has left the last row
+            past = F.greatest(F.lit(0), s["j"] - (m - 1 - most))
+            return F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), past.alias("past"), s["d"].alias("d"))
+
+        def down(s: Column) -> Column:
+            hp = s["vn"].bitwiseOR(F.bitwise_not(s["d0"].bitwiseOR(s["vp"]))).bitwiseAND(mask)
+            hn = s["d0"].bitwiseAND(s["vp"])
+            k = 2 * most - s["past"]
+            moved = F.when(s["past"] == 0, 1 - _bit_at(s["d0"], 2 * most)).otherwise(_bit_at(hp, k) - _bit_at(hn, k))
+            below = F.shiftright(s["d0"], 1)
+            return F.struct(
+                hn.bitwiseOR(F.bitwise_not(below.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
+                below.bitwiseAND(hp).alias("vn"),
+                (s["d"] + moved).alias("d"),
+            )
+
+        def on(acc: Column, j: Column) -> Column:
+            far = (acc["d"] > p["limit"]) & (j <= m - most)
+            return F.when(acc["d"] >= ended, acc).when(far, F.struct(acc["vp"].alias("vp"), acc["vn"].alias("vn"), ended.alias("d"))).otherwise(_let(_let(step(acc, j), across), down))
+
+        start = F.struct((mask - (up(one, most) - 1)).alias("vp"), F.lit(0).cast("long").alias("vn"), most.cast("long").alias("d"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), start, on, lambda acc: acc["d"])
+
+    fixed = F.struct(up(one, 2 * most).alias("top"), (up(one, 2 * most + 1) - 1).alias("mask"), (2 * most - (m - n)).cast("long").alias("limit"))
+    walked = _let(fixed, walk)
     return F.when(m - n > most, (m - n).cast("long")).otherwise(walked)
 
 
@@ -237,15 +248,6 @@ def _maybe(df: DataFrame, h: str, members: DataFrame) -> DataFrame:
     return df.join(F.broadcast(members), _place(F.col(h))[0] == F.col("_word")).where(_hit(F.col(h))).drop("_word", "_bits")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _bit_at(word: Column, k: Column) -> Column:
-    return F.call_function("shiftright", word, k.cast("int")).bitwiseAND(F.lit(1))
-
-
 def _class(n: Column) -> Column:
     """The number of the class of lines of ``n`` code points."""
     return reduce(add, [(n >= c).cast("int") for c in _CLASSES]) - 1
