@@ -43,7 +43,7 @@ HEAVY = 1000
 PIVOTS = (1, 8, 0)
 #: Parts of a line that are looked for in the other before the distance is taken.
 _PARTS = 32
-#: Letters whose counts are compared, four bits each, 16 to a word.
+#: Letters whose counts are compared, 16 to a word.
 _LETTERS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE")
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
 _FILTER_WORDS = 1 << 16
@@ -101,25 +101,19 @@ def _sketches(lines: DataFrame) -> DataFrame:
     return placed.groupBy("h").agg(*(F.bit_xor(F.when(F.shiftright("kind", 6) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(4)))
 
 
-def _letter_counts(line: Column, letters: str) -> Column:
-    """Counts of some letters modulo 16, packed."""
-    parts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
-
+#: Codes of the numbers modulo 8, four bits each: as many bits differ as steps lie between two numbers around the circle.
+_CIRCLE = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)
 
-def _letters_differ(a: Column, b: Column) -> Column:
-    """At most twice the edit distance of the lines."""
 
-    def one(i: int) -> Column:
-        d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15)))
-        return F.least(d, 16 - d)
-
-    return reduce(add, [one(i) for i in range(16)])
+def _letter_counts(line: Column, letters: str) -> Column:
+    """Counts of some letters modulo 8, coded and packed: two of these differ in twice the edit distance of bits at most."""
+    code = lambda c: F.get(F.array(*map(F.lit, _CIRCLE)), (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8)
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(code(c).cast("long"), 4 * i) for i, c in enumerate(letters)])
 
 
-def _turned(a: str, b: str) -> Column:
-    """Bits in which two sketches differ: at most four times the edit distance of the lines."""
-    return reduce(add, [F.bit_count(F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}"))) for w in range(4)])
+def _differ(a: str, b: str, word: str, words: int) -> Column:
+    """Bits in which some words of two rows differ: four times the edit distance at most for sketches, twice for counts of letters."""
+    return reduce(add, [F.bit_count(F.col(f"{a}.{word}{w}").bitwiseXOR(F.col(f"{b}.{word}{w}"))) for w in range(words)])
 
 
 def _parts_meet(long: Column, short: Column, most: Column, parts: Column) -> Column:
@@ -304,7 +298,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataF
     # joined, not semi-joined: that would be pushed below the filter and shuffle all lines
     texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h").groupBy("h").agg(F.first("line").alias("line"))
     order = firsts.join(members, "h").groupBy("h").agg(F.min("first").alias("first"))
-    told = cut(texts.join(order, "h").select("h", "line", "first", F.length("line").alias("n")), "near-line-texts")
+    told = cut(texts.join(order, "h").select("h", "line", "first", F.length("line").alias("n")).withColumn("t", allowed(F.col("n"))), "near-line-texts")
     drawn = cut(told.drop("line").join(_sketches(told), "h").join(_fronts(told), "h").withColumn("place", F.struct("first", "h")).drop("first"), "near-line-sketches")
     counted = cut(met.join(drawn, "h"), "near-line-meetings")
     near, tested = None, None
@@ -330,10 +324,10 @@ def _meeting(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
     Lines that begin alike meet by their first segment and need no other, as some shortest edit leaves it unspoiled.
     """
-    longer = F.greatest("a.n", "b.n")
-    most = allowed(longer)
-    met = (F.col("a.k") == F.col("b.k")) & (F.col("a.place") < F.col("b.place")) & ~F.coalesce(F.col("a.probe") & F.col("b.probe"), F.lit(False))
-    close = (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (_turned("a", "b") <= 4 * most) & (_letters_differ(F.col("a.l0"), F.col("b.l0")) + _letters_differ(F.col("a.l1"), F.col("b.l1")) <= 2 * most)
+    # the edits allowed grow with the length; what tells most pairs apart at the least cost stands first
+    most = F.greatest("a.t", "b.t")
+    met = (F.col("a.k") == F.col("b.k")) & (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (_differ("a", "b", "s", 4) <= 4 * most)
+    close = (F.col("a.place") < F.col("b.place")) & ~F.coalesce(F.col("a.probe") & F.col("b.probe"), F.lit(False)) & (_differ("a", "b", "l", 2) <= 2 * most)
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     alike = F.when(a("own") == b("own"), a("p0") == b("p0")).when(a("own") == b("own") + 1, a("p0") == b("p1")).when(b("own") == a("own") + 1, b("p0") == a("p1")).otherwise(False)
     return later.join(earlier, met & close & (a("front") | ~alike)).select(F.col("b.h").alias("h"), F.col("a.h").alias("other")).distinct()
