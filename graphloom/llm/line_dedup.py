@@ -67,11 +67,9 @@ _CLASSES = (10, 20, 30, 42, *((4 * t) ** 2 for t in range(2, _MOST + 1)))
 
 def _named(df: DataFrame, key: str, text: str) -> DataFrame:
     """(d, r1, r2, line_no, line): the counted lines of ``df`` with their document's place in the order."""
-    return df.select(
-        F.col(key).alias("d"),
-        *_row_hash(key, text),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"),
-    )
+    # hashed before the lines are dealt out: a text is hashed once, not once a line
+    hashed = df.select(F.col(key).alias("d"), F.col(text).alias("text"), *_row_hash(key, text))
+    return hashed.select("d", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _row_hash(key: str, text: str) -> list[Column]:
