@@ -157,18 +157,18 @@ def hierarchy_varlen_1_3(spark, sf_dir):
 
 
 def _impact_sql(hops: int) -> str:
-    parts, seen = [f"i0 AS (SELECT id, 0.01 + id / 1000000.0 AS score FROM (SELECT CAST({ROOT} AS BIGINT) AS id))"], ["SELECT id FROM i0"]
+    parts, seen = [f"i0 AS (SELECT id, 0.01 + ln(1 + id) / 1000 AS score FROM (SELECT CAST({ROOT} AS BIGINT) AS id))"], ["SELECT id FROM i0"]
     for k in range(1, hops + 1):
         parts.append(f"i{k} AS (SELECT src AS id, max(score * 0.7 * confidence) AS score FROM calls JOIN i{k - 1} ON dst = id WHERE src NOT IN ({' UNION ALL '.join(seen)}) GROUP BY src)")
         seen.append(f"SELECT id FROM i{k}")
     every = " UNION ALL ".join(f"SELECT id, {k} AS hop, score FROM i{k}" for k in range(hops + 1))
-    return f"WITH {CALLS}, {', '.join(parts)} SELECT id, CAST(hop AS INTEGER) AS hop, round(score, 8) AS score FROM ({every})"
+    return f"WITH {CALLS}, {', '.join(parts)} SELECT id, CAST(hop AS INTEGER) AS hop, round(score, 12) AS score FROM ({every})"
 
 
 @query(_impact_sql(5))
 def diff_impact(spark, sf_dir):
-    seeds = _one(spark).select("id", (0.01 + F.col("id") / 1000000.0).alias("score"))
-    return V.spread(_calls(spark, sf_dir), seeds, 5).select("id", "hop", F.round("score", 8).alias("score"))
+    seeds = _one(spark).select("id", (0.01 + F.log1p("id") / 1000).alias("score"))
+    return V.spread(_calls(spark, sf_dir), seeds, 5).select("id", "hop", F.round("score", 12).alias("score"))
 
 
 _TOP4 = f"{CALLS}, top4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM calls) WHERE k <= 4)"

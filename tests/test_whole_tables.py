@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import math
 
 import duckdb
 import pytest
@@ -75,7 +76,7 @@ def test_all_callers_count(spark, calls, functions):
 def test_traversals_at_the_floors_of_the_survey(spark, calls, functions):
     def walk(edges, hops):
         """Hop and score of each node that ``edges`` lead to from node 1."""
-        found = {1: (0, 0.01 + 1 / 1000000)}
+        found = {1: (0, 0.01 + math.log(2) / 1000)}
         last = dict(found)
         for hop in range(1, hops + 1):
             fresh = {}
@@ -97,7 +98,7 @@ def test_traversals_at_the_floors_of_the_survey(spark, calls, functions):
     assert {r.hop: (r.functions, r.files) for r in run("impact_by_file")} == {h: (len(p), len(set(p))) for h, p in by_hop.items() if h}
     got = {r.id: (r.hop, r.score) for r in run("diff_impact")}
     want = walk(back, 5)
-    assert got.keys() == want.keys() and all(got[i][0] == h and abs(got[i][1] - s) < 1e-7 for i, (h, s) in want.items())
+    assert got.keys() == want.keys() and all(got[i][0] == h and abs(got[i][1] - s) < 1e-11 for i, (h, s) in want.items())
     linked = {x for a, b, c, _ in calls if c >= 0.5 for x in (a, b)}
     assert {r.id for r in run("label_propagation")} == linked
     brands = sorted({f[3] for f in functions.values()})
