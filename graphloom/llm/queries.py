@@ -131,6 +131,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import leaderboard
+
+    return leaderboard.change_feed(spark, *(_table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
@@ -142,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
+    "op11_leaderboard": op11_leaderboard,
 }
 
 ORACLE_SQL: dict[str, str] = {
