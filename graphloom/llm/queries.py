@@ -137,6 +137,12 @@ def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.change_feed(spark, *(_table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import phrases
+
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
@@ -149,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
     "op11_leaderboard": op11_leaderboard,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -178,5 +185,41 @@ SELECT conv_id,
     WHEN 'assistant' THEN k > 0 AND before = 'user'
     ELSE false END) AND max_by(role, k) = 'assistant' AS valid
 FROM seen GROUP BY conv_id
+""",
+    "op13_collocations": r"""
+WITH words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), counts AS MATERIALIZED (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM words, (VALUES (1), (2), (3), (4)) AS lengths(m)
+  )
+  GROUP BY ALL HAVING count(*) >= 30
+), phrases AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1
+), cuts AS (
+  SELECT p.lang, p.phrase, p.a, k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * p.a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM phrases) AS p
+  JOIN counts AS l ON l.lang = p.lang AND l.m = k AND l.phrase = array_to_string(p.w[1:k], ' ')
+  JOIN counts AS r ON r.lang = p.lang AND r.m = p.m - k AND r.phrase = array_to_string(p.w[k + 1:p.m], ' ')
+), least AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM phrases WHERE m > 2))
+  GROUP BY ALL
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM least LEFT JOIN inside USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
