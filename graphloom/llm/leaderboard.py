@@ -244,7 +244,9 @@ def change_feed(spark: SparkSession, lines: DataFrame, vendors: DataFrame, items
     latest = {r.batch: r.latest for r in staged.groupBy("batch").agg(F.max("shipped").alias("latest")).collect()}
     if not latest:
         return spark.createDataFrame([], FEED)
-    own = spark.newSession()
+    own = spark.newSession()  # with settings of its own, and as many partitions of state as the caller's shuffles have
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # a store's files leave the executor with its task
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")  # a second file beside each small one
