@@ -137,6 +137,15 @@ def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.change_feed(spark, *(_table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, index, keep=["doc_id"])
+    return out.select("doc_id", "held_out", "score", "predicted", F.col("evidence.example").alias("nearest"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import phrases
 
@@ -155,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
     "op11_leaderboard": op11_leaderboard,
+    "op12_toxicity": op12_toxicity,
     "op13_collocations": op13_collocations,
 }
 
