@@ -2,82 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import text as T
 from graphloom.operators import edges as E
 from graphloom.operators import groups as G
-from graphloom.operators import imports as M
-from graphloom.operators import resolve as N
 from graphloom.operators import score as S
 from graphloom.operators import search as R
-from graphloom.operators import state as U
 from graphloom.operators import traversal as V
-from graphloom.plans.shared import cut
-from graphloom.sources import tree
+from graphloom.plans.shared import cut, shared_dir
+from graphloom.store import Store, Synced
 
 
 class Engine:
     """Functions and calls as tables; all answers are DataFrames."""
 
-    def __init__(self, spark: SparkSession, functions: DataFrame | None = None, calls: DataFrame | None = None):
-        self.spark, self.functions, self.calls = spark, functions, calls
+    def __init__(self, spark: SparkSession, functions: DataFrame | None = None, calls: DataFrame | None = None, store: Store | None = None):
+        self.spark, self.functions, self.calls, self.store = spark, functions, calls, store
         self.files: DataFrame | None = None
+        self.synced: Synced | None = None
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str) -> Engine:
-        """Scans and parses a source tree, resolves its calls and scores its functions."""
-        engine = cls(spark)
+    def build(cls, spark: SparkSession, root: str, folder: str | None = None) -> Engine:
+        """Scans and parses a source tree, resolves its calls and scores its functions.
+
+        The tables stay in ``folder`` (by default a new one in the shared folder): an engine built on the
+        same folder again takes up what changed since.
+        """
+        engine = cls(spark, store=Store(spark, folder or f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"))
         engine.sync(root)
         return engine
 
     def sync(self, root: str) -> DataFrame | None:
-        """Builds the tables; returns what changed since the last time, or None the first time."""
-        files = cut(tree.scan_files(self.spark, root), "files")
-        changes = U.diff(self.files.select("path", "source_hash"), files.select("path", "source_hash")) if self.files is not None else None
-        parsed = cut(tree.parse(files), "parsed")
-        found = tree.exploded(parsed, "functions")
-        sites = tree.exploded(parsed, "calls")
-        modules = sites.where(F.col("caller") == tree.MODULE).select("file_path").distinct().select("file_path", F.lit(tree.MODULE).alias("qualified_name"), F.lit(tree.MODULE).alias("name"), F.lit(True).alias("is_module_caller"))
-        functions = found.withColumn("is_module_caller", F.lit(False)).unionByName(modules, allowMissingColumns=True)
-        functions = functions.join(files.select(F.col("path").alias("file_path"), "is_test", "language"), "file_path").withColumn("id", T.node_id("function", F.col("file_path"), F.col("qualified_name")))
-        imports = cut(self._imports(tree.exploded(parsed, "imports"), files), "imports")
-        typed = tree.exploded(parsed, "variables").select("file_path", "name", F.col("inferred_type").alias("class_name")).where("class_name IS NOT NULL")
-        placed = cut(sites.select(F.monotonically_increasing_id().alias("site"), T.node_id("function", F.col("file_path"), F.col("caller")).alias("caller"), "file_path", "callee", "line"), "sites")
-        resolved = N.resolve_calls(placed, functions.where("NOT is_module_caller").select("id", "name", "qualified_name", "file_path"), imports, typed)
-        self.calls = cut(E.merge_calls(resolved.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "line", "confidence", "reason")), "calls")
-        scored = E.degrees(functions, self.calls)
+        """Brings the tables up to date; returns what changed since the last time (path, change), or None the first time."""
+        first = self.files is None
+        self.synced = self.store.sync(root)
+        self.files = self.store.read("files").drop("bucket")
+        self.calls = self.store.read("calls").drop("bucket", "path")
+        scored = E.degrees(self.store.functions(), self.calls)
         self.functions = cut(scored.withColumn("entry_score", S.entry_score(scored)), "functions")
-        self.files = files
-        return changes
-
-    @staticmethod
-    def _imports(found: DataFrame, files: DataFrame) -> DataFrame:
-        """(file_path, name, resolved_path, original) of imports that name a file of the tree.
-
-        Dotted ones by the longest known module, also below the package roots; relative ones by their dots;
-        those of scripts by their paths; names that a file only passes on come from where it got them.
-        """
-        asked = found.join(files.select(F.col("path").alias("file_path"), "language"), "file_path")
-        pairs = asked.select(F.col("file_path").alias("importer"), F.col("module_path").alias("module"), "language").distinct()
-        python = files.where("language = 'python'")
-        dotted = python.select("path", F.replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), F.lit("/"), F.lit(".")).alias("module"))
-        rooted = dotted.join(F.broadcast(M.package_roots(python)), F.substring_index("path", "/", 1) == F.col("root")).select("path", F.expr("substr(module, length(root) + 2)").alias("module"))
-        modules = dotted.unionByName(rooted.where("module != ''")).groupBy("module").agg(F.min("path").alias("path"))
-        scripts = M.resolve_scripts(pairs.where("language IN ('javascript', 'typescript')").drop("language"), files)
-        resolved = M.resolve_dotted(pairs.where("language = 'python'").drop("language"), modules).unionByName(scripts).where("resolved IS NOT NULL")
-        there = resolved.join(files.select(F.col("path").alias("resolved")), "resolved", "left_semi").select(F.col("importer").alias("file_path"), F.col("module").alias("module_path"), F.col("resolved").alias("resolved_path"))
-        used = found.join(there, ["file_path", "module_path"]).select("file_path", "name", "resolved_path", F.coalesce("original", "name").alias("original"))
-        passed = used.select(F.col("file_path").alias("resolved_path"), F.col("name").alias("original"), F.col("resolved_path").alias("_source"), F.col("original").alias("_name")).dropDuplicates(["resolved_path", "original"])
-        return used.join(passed, ["resolved_path", "original"], "left").select("file_path", "name", F.coalesce("_source", "resolved_path").alias("resolved_path"), F.coalesce("_name", "original").alias("original"))
+        return None if first else self.synced.changes
 
     def register(self) -> None:
         """Makes the tables known to SQL."""
         self.functions.createOrReplaceTempView("function")
         self.calls.createOrReplaceTempView("calls")
         if self.files is not None:
-            self.files.drop("text").createOrReplaceTempView("file")
+            self.files.createOrReplaceTempView("file")
 
     def query(self, sql: str, **args) -> DataFrame:
         """A read-only SQL query over the registered tables."""

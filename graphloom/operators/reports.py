@@ -14,11 +14,24 @@ STATUSES = ("open", "accepted", "fixed", "ignored")
 HOTSPOTS, KEY_CLASSES, LEAST_METHODS = 5, 5, 2
 
 
+def _titled(part: Column) -> Column:
+    """Underscores as blanks; every letter that follows none is a capital."""
+    opened = F.regexp_replace(F.replace(part, F.lit("_"), F.lit(" ")), r"([^\p{L}])", "$1\x01 ")
+    return F.replace(F.initcap(opened), F.lit("\x01 "), F.lit(""))
+
+
+def package_label(path: Column) -> Column:
+    """What a path's package is called: the second directory of source trees, tests and scripts, the second part elsewhere."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    n, top, second = F.size(parts), F.lower(F.get(parts, F.lit(0))), F.get(parts, F.lit(1))
+    below = lambda name: F.when(n >= 3, F.concat(F.lit(f"{name} · "), _titled(second))).otherwise(name)
+    return F.when(n == 0, "Unknown").when(top == "tests", below("Tests")).when(top.isin("scripts", "script"), below("Scripts")).otherwise(_titled(F.coalesce(second, F.get(parts, F.lit(0)))))
+
+
 def isolation_bucket(path: Column) -> Column:
-    """The first utility directory of a path, spelled as a title; else its first two directories."""
-    parts = F.filter(F.split(paths.slashed(path), "/"), lambda p: p != "")
-    first = F.get(F.filter(parts, lambda p: F.lower(p).isin(*BUCKETS)), F.lit(0))
-    return F.coalesce(F.initcap(F.replace(first, F.lit("_"), F.lit(" "))), paths.directory_key(path, 2))
+    """The first utility directory of a path, spelled as a title; else its package."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    return F.coalesce(_titled(F.get(F.filter(parts, lambda p: F.lower(p).isin(*BUCKETS)), F.lit(0))), package_label(path))
 
 
 def bucket_communities(functions: DataFrame) -> DataFrame:

@@ -277,6 +277,53 @@ def superclass_reachable(spark, sf_dir):
     return heritage.reachable_through_base(P.functions(spark, sf_dir).select("id", "name", "class_name"), _brand_chain(spark, sf_dir))
 
 
+_WORD = "the"
+_SPOKEN = """v AS (SELECT DISTINCT conv_id, turn, role, conv_id || ':' || turn || ':' || name AS id, name FROM (SELECT conv_id, turn, role, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM conversations))"""
+
+
+def _spoken(spark, sf_dir):
+    """The words of a turn as variables of it: conv_id, turn, role, id, name."""
+    words = P.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("name"))
+    return words.select("conv_id", "turn", "role", F.concat_ws(":", "conv_id", "turn", "name").alias("id"), "name").distinct()
+
+
+@query(f"""WITH {_SPOKEN}, f AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.name = b.name),
+o AS (SELECT id FROM v WHERE name = '{_WORD}' ORDER BY id LIMIT 50)
+SELECT DISTINCT src, dst FROM f WHERE src IN (FROM o) OR dst IN (FROM o)""")
+def variable_trace(spark, sf_dir):
+    from graphloom.operators import flow
+
+    words = _spoken(spark, sf_dir)
+    later = words.select("conv_id", "name", (F.col("turn") - 1).alias("turn"), F.col("id").alias("dst"))
+    flows = words.withColumnRenamed("id", "src").join(later, ["conv_id", "name", "turn"]).select("src", "dst")
+    return flow.touching(flows, flow.occurrences(words, _WORD))
+
+
+@query(f"""WITH RECURSIVE {_SPOKEN}, w AS (SELECT conv_id, turn, role, id FROM v WHERE name = '{_WORD}'), firsts AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1),
+r AS (SELECT w.* FROM w JOIN firsts USING (conv_id, turn) UNION SELECT w.* FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn + 1)
+SELECT id FROM r UNION SELECT 'assistant' FROM r WHERE role = 'user'""")
+def matched_flow(spark, sf_dir):
+    """What is said in a first turn, and who takes it up: a user's turn calls the assistant that all conversations share, the answer returns."""
+    from graphloom.operators import flow
+
+    words = cut(_spoken(spark, sf_dir).where(F.col("name") == _WORD), "spoken")
+    site = F.xxhash64("conv_id", "turn")
+    calls = words.where("role = 'user'").select(site.alias("site"), F.col("id").alias("src"), F.lit("assistant").alias("dst"))
+    pairs = words.select("conv_id", "turn", F.col("id").alias("src"), F.col("role").alias("from")).join(words.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("id").alias("dst"), "role"), ["conv_id", "turn"])
+    answer = (F.col("from") == "user") & (F.col("role") == "assistant")
+    returns = pairs.where(answer).select(site.alias("site"), F.lit("assistant").alias("src"), "dst")
+    firsts = P.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    seeds = words.join(firsts, ["conv_id", "turn"]).select("id")
+    return flow.trace(seeds, calls, returns, pairs.where(~answer).select("src", "dst"))
+
+
+@query()
+def modularity_communities(spark, sf_dir):
+    from graphloom.operators import modularity
+
+    return modularity.modularity_communities(_calls(spark, sf_dir, LINKED), LINKED)
+
+
 @query()
 def label_propagation(spark, sf_dir):
     from graphloom.operators import communities

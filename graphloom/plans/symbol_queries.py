@@ -350,7 +350,15 @@ def key_classes(spark, sf_dir):
     return R.key_classes(P.functions(spark, sf_dir))
 
 
-@query("""SELECT CASE p_size % 3 WHEN 0 THEN 'Utils' WHEN 1 THEN 'Shared' ELSE lower(p_brand) || '/' || p_size END AS label, count(*) AS members FROM part GROUP BY 1""")
+@query(r"""WITH p AS (SELECT url, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS part FROM pages),
+n AS (SELECT url, part, lower(part[1]) AS top, array_to_string(list_transform(string_split(regexp_replace(replace(coalesce(part[2], part[1]), '_', ' '), '([^\p{L}])', '\1' || chr(1), 'g'), chr(1)), lambda w: upper(w[1]) || lower(w[2:])), '') AS title FROM p)
+SELECT url, CASE WHEN len(part) = 0 THEN 'Unknown' WHEN top = 'tests' THEN CASE WHEN len(part) >= 3 THEN 'Tests · ' || title ELSE 'Tests' END WHEN top IN ('scripts', 'script') THEN CASE WHEN len(part) >= 3 THEN 'Scripts · ' || title ELSE 'Scripts' END ELSE title END AS label FROM n""")
+def package_labels(spark, sf_dir):
+    bare = F.regexp_replace("url", "^https?://", "")
+    return P.table(spark, sf_dir, "pages").select("url", R.package_label(bare).alias("label"))
+
+
+@query("""SELECT CASE p_size % 3 WHEN 0 THEN 'Utils' WHEN 1 THEN 'Shared' ELSE p_size::VARCHAR END AS label, count(*) AS members FROM part GROUP BY 1""")
 def isolation_buckets(spark, sf_dir):
     size, brand = F.col("p_size"), F.lower("p_brand")
     path = F.when(size % 3 == 0, F.concat(F.lit("src/utils/"), brand, F.lit(".py"))).when(size % 3 == 1, F.concat(brand, F.lit("\\Shared\\x.py"))).otherwise(F.concat_ws("/", brand, size, F.lit("y.py")))

@@ -55,7 +55,8 @@ def vendored(files: DataFrame, known: tuple[str, ...]) -> DataFrame:
     return told.where(F.col("package") & F.col("packed") & F.substring_index("directory", "/", -1).isin(*known)).select("directory")
 
 
-_PARSED = (
+#: What parsing finds, a row per file.
+PARSED = (
     "path string, functions array<struct<qualified_name:string,name:string,line_start:long,line_end:long,is_async:boolean,is_method:boolean,is_exported:boolean,decorators:array<string>,param_names:array<string>,return_type:string,docstring:string,signature:string,source_hash:string>>, "
     "classes array<struct<name:string,line_start:long,line_end:long,base_names:array<string>,docstring:string>>, "
     "imports array<struct<module_path:string,name:string,original:string,is_wildcard:boolean,line_number:long>>, "
@@ -206,7 +207,7 @@ def parse(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([{"path": p, **parse_source(lang, t or "")} for p, lang, t in zip(batch["path"], batch["language"], batch["text"])], columns=["path", "functions", "classes", "imports", "calls", "variables"])
 
-    return files.select("path", "language", "text").mapInPandas(run, _PARSED)
+    return files.select("path", "language", "text").mapInPandas(run, PARSED)
 
 
 def exploded(parsed: DataFrame, what: str) -> DataFrame:

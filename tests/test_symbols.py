@@ -96,7 +96,9 @@ def test_labels_settle(spark):
 
 
 def test_reports(spark):
-    assert one(spark, reports.isolation_bucket(F.lit("/x/my_app/Utils/a.py"))) == "Utils" and one(spark, reports.isolation_bucket(F.lit("a/b/c.py"))) == "a/b"
+    assert one(spark, reports.isolation_bucket(F.lit("/x/my_app/Utils/a.py"))) == "Utils" and one(spark, reports.isolation_bucket(F.lit("a/b_c/c.py"))) == "B C"
+    names = {"src/advisor/engine.py": "Advisor", "app/x.py": "X.Py", "tests/phase_2/test_risk.py": "Tests · Phase 2", "tests/t.py": "Tests", "scripts\\training\\run.py": "Scripts · Training", "script/a.py": "Scripts", "a/my_app-v2/x": "My App-V2", "main.py": "Main.Py", "": "Unknown"}
+    assert {p: one(spark, reports.package_label(F.lit(p))) for p in names} == names
     assert one(spark, reports.report_warnings(F.lit(1), F.lit(3), F.lit(False))) == ["pathways_truncated_1_of_3", "health_not_ok"]
     seen = spark.createDataFrame([("traces",), ("traces",)], "input string")
     assert {(r.input, r.present, r.n) for r in reports.readiness(seen, ["traces", "coverage"]).collect()} == {("traces", True, 2), ("coverage", False, 0)}
