@@ -294,3 +294,56 @@ def boundary_findings(spark, sf_dir):
     files, imports = _layered(spark, sf_dir)
     by_path = files.withColumn("layer", F.coalesce(layers.layer_of_path(F.col("path")), F.lit("unknown")))
     return layers.boundary_findings(by_path, imports)
+
+
+# --- nested values and ignore files
+
+
+_SCALARS = r"""json AS MATERIALIZED (SELECT click_id, props FROM clicks WHERE json_valid(props)),
+s AS (SELECT click_id, t.fullkey AS path, t.key AS key, t.type AS kind, t.atom ->> '$' AS value FROM json, json_tree(json.props) AS t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"""
+
+
+def _clicks(spark, sf_dir):
+    from graphloom.operators import nested
+
+    return nested.scalars(P.table(spark, sf_dir, "clicks"), ["click_id"], F.col("props"))
+
+
+@query(f"WITH {_SCALARS} SELECT click_id, path, key, value FROM s")
+def json_scalars(spark, sf_dir):
+    return _clicks(spark, sf_dir).select("click_id", "path", "key", "value")
+
+
+@query(f"WITH {_SCALARS} SELECT regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS path, count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS least, max(value) AS greatest FROM s GROUP BY 1")
+def json_paths(spark, sf_dir):
+    bare = F.regexp_replace("path", r"\[\d+\]", "[]")
+    return _clicks(spark, sf_dir).groupBy(bare.alias("path")).agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+#: Ignore files over the paths of pages: (folder, lines).
+_IGNORES = (
+    ("", ("# pages of a second kind", "", "*.html", "!/m.*/**/*.html", "blog.*/de/", "/*.example.net/fr", "**/[2-4]??", "!5[0-4]?")),
+    ("thther.example.org", ("en/", "!*")),
+    ("blog.tiontion.example.com/en", ("*", "!8*")),
+)
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/$', '') AS path FROM pages),
+steps AS (SELECT path, array_to_string(part[1:n], '/') AS item, n < len(part) AS folder, part[1] AS host, part[2] AS lang, part[n] AS name, n
+  FROM (SELECT path, string_split(path, '/') AS part, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM p)),
+judged AS (SELECT path, CASE
+  WHEN host = 'blog.tiontion.example.com' AND lang = 'en' AND n > 2 THEN NOT regexp_matches(name, '^8')
+  WHEN host = 'thther.example.org' AND n > 1 THEN false
+  WHEN regexp_matches(name, '^5[0-4].$') THEN false
+  WHEN regexp_matches(name, '^[2-4]..$') THEN true
+  WHEN n = 2 AND regexp_matches(host, '\.example\.net$') AND lang = 'fr' THEN true
+  WHEN folder AND n = 2 AND regexp_matches(host, '^blog\.') AND lang = 'de' THEN true
+  WHEN n > 1 AND regexp_matches(host, '^m\.') AND regexp_matches(name, '\.html$') THEN false
+  ELSE regexp_matches(name, '\.html$') END AS out FROM steps)
+SELECT DISTINCT path FROM judged WHERE out""".replace("\\\\", "\\"))
+def ignored_paths(spark, sf_dir):
+    from graphloom.operators import ignore
+
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"[?#].*$", ""), "/$", "")
+    lines = spark.createDataFrame([(folder, i, line) for folder, body in _IGNORES for i, line in enumerate(body)], "folder string, line_no int, line string")
+    return ignore.ignored(P.table(spark, sf_dir, "pages").select(bare.alias("path")), ignore.rules(lines))

@@ -10,7 +10,7 @@ import pytest
 from graphloom.plans import catalogue
 from tests.conftest import SF
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="module")
