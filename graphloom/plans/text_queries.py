@@ -50,23 +50,30 @@ def html_script_bodies(spark, sf_dir):
     return P.table(spark, sf_dir, "pages").select("page_id", F.size(bodies).cast("long").alias("n"), F.sha2(F.array_join(bodies, "|"), 256).alias("digest"))
 
 
-_HTML = [
-    "<button onclick=\"save()\">x</button><a onClick='return go(1)'>y</a><script>el.addEventListener('click', open_menu)</script>",
-    '<script src="js/app.js?v=2"></script><script type="module" src="m.js"></script><script src="https://cdn.example.com/x.js"></script><script src="./lib/b.js#x"></script>',
-    "<p>nothing</p>",
-]
+#: Pages with what links and scripts of an application look like, named after their own addresses.
+_APP = r"""app AS (SELECT page_id, html || '<a onclick="open_' || lang || '(1)">x</a><b onLoad=''return ' || host || '_ready ()''></b><script>el.addEventListener("click", go_' || lang || ')</script><script src="' || path || '/app.js?v=2#x"></script><script type="module" src="' || path || '"></script><script src="//' || host || '/far.js"></script>' AS html
+  FROM (SELECT page_id, html, regexp_extract(url, '//([a-z]+)', 1) AS host, regexp_extract(url, '//[^/]+/([a-z]+)', 1) AS lang, regexp_extract(url, '//[^/]+(/[a-z]+/[0-9]+)', 1) AS path FROM pages))"""
 
 
-@query("SELECT * FROM (VALUES (0, 'go,open_menu,save', ''), (1, '', './lib/b.js,js/app.js'), (2, '', '')) AS t(id, handlers, scripts)")
+@query(rf"""WITH {_APP}, found AS (SELECT page_id,
+  list_sort(list_distinct(regexp_extract_all(html, '(?i)\son[a-z]+\s*=\s*["''][ \t]*(?:return\s+)?([A-Za-z_$][\w$]*)\s*\(', 1) || regexp_extract_all(html, 'addEventListener\(\s*["''][^"'']+["'']\s*,\s*([A-Za-z_$][\w$]*)', 1))) AS handlers,
+  list_filter(regexp_extract_all(html, '(?i)<script\b[^>]*>'), lambda t: NOT regexp_matches(lower(t), 'type\s*=\s*["'']module')) AS tags FROM app),
+named AS (SELECT page_id, handlers, list_transform(tags, lambda t: regexp_replace(regexp_extract(t, '(?i)\ssrc\s*=\s*["'']([^"'']+)["'']', 1), '[?#].*$', '')) AS scripts FROM found)
+SELECT page_id, array_to_string(handlers, ',') AS handlers, array_to_string(list_sort(list_distinct(list_filter(scripts, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(https?:)?//|^data:')))), ',') AS scripts FROM named""")
 def html_handlers(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_HTML)), "id int, html string")
-    return rows.select("id", F.array_join(T.html_handlers(F.col("html")), ",").alias("handlers"), F.array_join(T.script_sources(F.col("html")), ",").alias("scripts"))
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    host, lang, path = part("//([a-z]+)"), part("//[^/]+/([a-z]+)"), part("//[^/]+(/[a-z]+/[0-9]+)")
+    parts = ["html", F.lit('<a onclick="open_'), lang, F.lit("(1)\">x</a><b onLoad='return "), host, F.lit("_ready ()'></b><script>el.addEventListener(\"click\", go_"), lang, F.lit(')</script><script src="'), path, F.lit('/app.js?v=2#x"></script><script type="module" src="'), path, F.lit('"></script><script src="//'), host, F.lit('/far.js"></script>')]
+    app = P.table(spark, sf_dir, "pages").select("page_id", F.concat(*parts).alias("html"))
+    return app.select("page_id", F.array_join(T.html_handlers(F.col("html")), ",").alias("handlers"), F.array_join(T.script_sources(F.col("html")), ",").alias("scripts"))
 
 
-@query("SELECT * FROM (VALUES (0, 'save_all,Store.open'), (1, ''), (2, 'x')) AS t(id, tokens)")
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[ \n])([A-Za-z_]{9,})([ .,\n]|$)', '\1`\2`\3', 'g'), '(^|[ \n])([A-Za-z]{8})([ .,\n]|$)', '\1`\2()`\3', 'g') AS text FROM documents)
+SELECT doc_id, array_to_string(regexp_extract_all(text, '`([A-Za-z_][\w.]*)(?:\(\))?`', 1), ',') AS tokens FROM d""")
 def backtick_tokens(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "Call `save_all()` and `Store.open`."), (1, "no `1x` token"), (2, "`x`")], "id int, text string")
-    return rows.select("id", F.array_join(T.backtick_tokens(F.col("text")), ",").alias("tokens"))
+    """Documents with their longer words set in backticks."""
+    marked = F.regexp_replace(F.regexp_replace("text", r"(^|[ \n])([A-Za-z_]{9,})([ .,\n]|$)", "$1`$2`$3"), r"(^|[ \n])([A-Za-z]{8})([ .,\n]|$)", "$1`$2()`$3")
+    return P.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.backtick_tokens(marked), ",").alias("tokens"))
 
 
 def _invariants(text):
@@ -167,13 +174,13 @@ def name_functions(spark, sf_dir):
     return fn.select("id", T.diagram_id(F.lower("name")).alias("node"), T.normalise_signature(F.col("signature")).alias("signature"), T.terminal_type(F.col("module")).alias("terminal"), T.token_estimate(F.col("name")).alias("tokens"))
 
 
-_NAMES = [("handleSubmitOrder", "LiveBroker.handle_submit"), ("on_open", "on_open"), ("HTTPServer", "net.HTTPServer"), ("run_all_flow", "Jobs.run_all_flow")]
-
-
-@query("SELECT * FROM (VALUES ('handleSubmitOrder', 'handle_submit_order', 'live_broker_submitorder_flow'), ('on_open', 'on_open', 'open_flow'), ('HTTPServer', 'http_server', 'net_httpserver_flow'), ('run_all_flow', 'run_all_flow', 'jobs_all_flow')) AS t(name, snake, pathway)")
+@query(r"""WITH n AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'handle' WHEN p_size % 3 = 1 THEN 'on_' ELSE '' END || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') || 'API' AS owner FROM part)
+SELECT p_partkey AS id, trim(lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '_') AS snake,
+  lower(regexp_replace(owner, '([a-z0-9])([A-Z])', '\1_\2', 'g')) || '_' || trim(regexp_replace(lower(name), '^(handle_?|on_?|do_?|run_?)', ''), '_') || '_flow' AS pathway FROM n""")
 def pathway_names(spark, sf_dir):
-    rows = spark.createDataFrame(_NAMES, "name string, qualified string")
-    return rows.select("name", T.camel_to_snake(F.col("name")).alias("snake"), T.pathway_name(F.col("name"), F.col("qualified")).alias("pathway"))
+    size, camel = F.col("p_size"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    name = F.concat(F.when(size % 3 == 0, "handle").when(size % 3 == 1, "on_").otherwise(""), camel)
+    return P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.camel_to_snake(name).alias("snake"), T.pathway_name(name, F.concat(camel, F.lit("API.run"))).alias("pathway"))
 
 
 @query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 2) AS w FROM benchmark),

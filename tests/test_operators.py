@@ -78,3 +78,16 @@ def test_streamed_upserts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.id, r.name) for r in spark.read.parquet(f"{tmp_path}/table/v=0").collect()} == {(1, "b"), (2, "c")}
+
+
+def test_text_functions_on_small_texts(spark):
+    html = [
+        "<button onclick=\"save()\">x</button><a onClick='return go(1)'>y</a><script>el.addEventListener('click', open_menu)</script>",
+        '<script src="js/app.js?v=2"></script><script type="module" src="m.js"></script><script src="https://cdn.example.com/x.js"></script><script src="./lib/b.js#x"></script>',
+        "<p>nothing</p>",
+    ]
+    told = [(one(spark, text.html_handlers(F.lit(h))), one(spark, text.script_sources(F.lit(h)))) for h in html]
+    assert told == [(["go", "open_menu", "save"], []), ([], ["./lib/b.js", "js/app.js"]), ([], [])]
+    assert [one(spark, text.backtick_tokens(F.lit(x))) for x in ("Call `save_all()` and `Store.open`.", "no `1x` token")] == [["save_all", "Store.open"], []]
+    names = {"handleSubmitOrder": ("LiveBroker.handle_submit", "handle_submit_order", "live_broker_submitorder_flow"), "on_open": ("on_open", "on_open", "open_flow"), "HTTPServer": ("net.HTTPServer", "http_server", "net_httpserver_flow"), "run_all_flow": ("Jobs.run_all_flow", "run_all_flow", "jobs_all_flow")}
+    assert {n: (q, one(spark, text.camel_to_snake(F.lit(n))), one(spark, text.pathway_name(F.lit(n), F.lit(q)))) for n, (q, _, _) in names.items()} == names
