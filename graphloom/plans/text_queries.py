@@ -354,3 +354,31 @@ def ignored_paths(spark, sf_dir):
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"[?#].*$", ""), "/$", "")
     lines = spark.createDataFrame([(folder, i, line) for folder, body in _IGNORES for i, line in enumerate(body)], "folder string, line_no int, line string")
     return ignore.ignored(P.table(spark, sf_dir, "pages").select(bare.alias("path")), ignore.rules(lines))
+
+
+#: Documents as Markdown: words of seven letters in backticks, their source as a path on every line, a fence before each line that begins with A or E, a mark before those with L.
+@query(r"""WITH md AS (SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[ \n])([a-z]{7})([ .,\n]|$)', '\1`\2`\3', 'g'),
+    '\n', ' in ' || source || '.py' || chr(10), 'g'), '(^|\n)([AE])', '\1```' || chr(10) || '\2', 'g'), '(^|\n)(L)', '\1<!-- examples-only -->' || chr(10) || '\2', 'g') AS text FROM documents),
+line AS (SELECT path, n, lines[n] AS line FROM (SELECT path, lines, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT path, string_split(text, chr(10)) AS lines FROM md))),
+state AS (SELECT *, regexp_matches(line, '^\s*```') AS fence, coalesce(sum(CAST(regexp_matches(line, '^\s*```') AS INT)) OVER b, 0) % 2 = 1 AS fenced,
+    min(CASE WHEN regexp_matches(line, '\S') THEN n END) OVER a AS next_text, min(CASE WHEN regexp_matches(line, '^\s*```') THEN n END) OVER a AS next_fence, min(CASE WHEN NOT regexp_matches(line, '\S') THEN n END) OVER a AS next_blank
+  FROM line WINDOW b AS (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY path ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+block AS (SELECT m.path, m.n AS mark, s.n AS first, CASE WHEN s.fence THEN coalesce(s.next_fence, 1000000000) ELSE coalesce(s.next_blank - 1, 1000000000) END AS last
+  FROM state m JOIN state s ON s.path = m.path AND s.n = m.next_text WHERE contains(m.line, '<!-- examples-only -->')),
+kept AS (SELECT path, list_reduce(list({'mark': mark, 'first': first, 'last': last} ORDER BY mark), lambda out, x: CASE WHEN x.mark > out[len(out)].last THEN list_append(out, x) ELSE out END, [{'mark': 0::BIGINT, 'first': 0::BIGINT, 'last': -1::BIGINT}]) AS blocks FROM block GROUP BY path),
+token AS (SELECT path, n, line, unnest(regexp_extract_all(line, '`([^`\n]+)`', 1)) AS token, regexp_extract(line, '(\w[\w/.-]+\.py)\b', 1) AS hint FROM state LEFT JOIN kept USING (path)
+  WHERE NOT fenced AND (blocks IS NULL OR len(list_filter(blocks, lambda x: n BETWEEN x.first AND x.last)) = 0)),
+symbol AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{7}')) AS name, source || '.py' AS file FROM documents WHERE lang = 'en')
+SELECT DISTINCT path, n AS line_number, token AS symbol, 'moved_reference' AS kind FROM token
+WHERE hint <> '' AND token IN (SELECT name FROM symbol) AND NOT EXISTS (SELECT 1 FROM symbol WHERE name = token AND contains(file, hint))""")
+def doc_warnings(spark, sf_dir):
+    from graphloom.operators import doc_warnings as D
+
+    docs = P.table(spark, sf_dir, "documents")
+    marked = F.regexp_replace("text", r"(^|[ \n])([a-z]{7})([ .,\n]|$)", "$1`$2`$3")
+    hinted = F.regexp_replace(marked, F.lit("\n"), F.concat(F.lit(" in "), "source", F.lit(".py\n")))
+    fenced = F.regexp_replace(F.regexp_replace(hinted, r"(^|\n)([AE])", "$1```\n$2"), r"(^|\n)(L)", f"$1{D.EXAMPLES}\n$2")
+    name = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{7}"), F.lit(0)))).alias("name")
+    symbols = docs.where("lang = 'en'").select(name, F.concat("source", F.lit(".py")).alias("file_path")).distinct().withColumn("qualified_name", F.col("name"))
+    found = D.warnings(docs.select(F.col("doc_id").cast("string").alias("path"), fenced.alias("text")), symbols)
+    return found.select("path", "line_number", "symbol", "kind")
