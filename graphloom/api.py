@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import edges as E
+from graphloom.operators import flow as W
 from graphloom.operators import groups as G
+from graphloom.operators import modularity as C
 from graphloom.operators import score as S
 from graphloom.operators import search as R
 from graphloom.operators import traversal as V
@@ -88,6 +90,27 @@ class Engine:
     def pathways(self, limit: int = 50) -> DataFrame:
         return V.pathways(E.top_fan_out(self.calls), self.entry_points(limit).select("id"))
 
+    def flows(self) -> DataFrame:
+        """(site, src, dst, confidence): variables given as arguments and the parameters that they flow into."""
+        return W.bind_arguments(self.store.sites(), self.store.variables())
+
+    def trace_variable(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """The variables of a name and the flows that touch them."""
+        found = cut(W.occurrences(self.store.variables(), name), "occurrences")
+        return found, W.touching(self.flows(), found)
+
+    def value_trace(self, variable: str) -> DataFrame:
+        """(id): all variables that a value of one (by id) may flow into, calls and returns matched."""
+        sites, variables = cut(self.store.sites(), "sites"), cut(self.store.variables(), "variables")
+        seeds = self.spark.createDataFrame([(variable,)], "id string")
+        return W.trace(seeds, W.bind_arguments(sites, variables), W.bind_returns(sites, variables), self.store.assignments())
+
+    def communities(self, small: int = 8) -> DataFrame:
+        """(community, label, members, internal, cohesion) by modularity, small ones merged."""
+        own = self.functions.where("NOT is_module_caller").select("id", "file_path")
+        labels = cut(C.communities(own, self.calls, small=small), "communities")
+        return C.describe(labels, own, self.calls)
+
     def duplicates(self) -> DataFrame:
         return G.same_name(self.functions.where("NOT is_test AND NOT is_module_caller"))
 

@@ -60,11 +60,12 @@ PARSED = (
     "path string, functions array<struct<qualified_name:string,name:string,line_start:long,line_end:long,is_async:boolean,is_method:boolean,is_exported:boolean,decorators:array<string>,param_names:array<string>,return_type:string,docstring:string,signature:string,source_hash:string>>, "
     "classes array<struct<name:string,line_start:long,line_end:long,base_names:array<string>,docstring:string>>, "
     "imports array<struct<module_path:string,name:string,original:string,is_wildcard:boolean,line_number:long>>, "
-    "calls array<struct<caller:string,callee:string,line:long,argument_exprs:array<string>>>, "
-    "variables array<struct<function:string,name:string,line_number:long,inferred_type:string,is_parameter:boolean>>"
+    "calls array<struct<caller:string,callee:string,line:long,argument_exprs:array<string>,keyword_args:map<string,string>,target:string>>, "
+    "variables array<struct<function:string,name:string,line_number:long,inferred_type:string,is_parameter:boolean,position:int,is_return:boolean>>, "
+    "flows array<struct<function:string,source:string,target:string,line_number:long>>"
 )
-#: The caller of what runs when a module is loaded.
-MODULE = "__module__"
+#: The caller of what runs when a module is loaded; the variable that a function gives back.
+MODULE, RETURNED = "__module__", "<return>"
 
 
 def _dotted(node: ast.AST) -> str | None:
@@ -84,10 +85,15 @@ def _kind(value: ast.AST | None) -> str | None:
     return {ast.List: "list", ast.Dict: "dict", ast.Tuple: "tuple", ast.Set: "set"}.get(type(value))
 
 
+def _nothing() -> dict[str, list]:
+    return {"functions": [], "classes": [], "imports": [], "calls": [], "variables": [], "flows": []}
+
+
 class _Python(ast.NodeVisitor):
     def __init__(self, source: str):
         self.lines = source.split("\n")
-        self.out: dict[str, list] = {"functions": [], "classes": [], "imports": [], "calls": [], "variables": []}
+        self.out: dict[str, list] = _nothing()
+        self.targets: dict[int, str] = {}  # calls whose value a variable takes
         self.scope: list[tuple[str, bool]] = []  # name, is it a class
 
     def _function(self) -> str:
@@ -113,7 +119,7 @@ class _Python(ast.NodeVisitor):
             "return_type": ast.unparse(node.returns) if node.returns else None, "docstring": ast.get_docstring(node),
             "signature": f"def {node.name}({ast.unparse(a)})", "source_hash": hashlib.sha256(body.encode()).hexdigest(),
         })
-        self.out["variables"] += [{"function": q, "name": n, "line_number": node.lineno, "inferred_type": None, "is_parameter": True} for n in names]
+        self.out["variables"] += [{"function": q, "name": n, "line_number": node.lineno, "inferred_type": None, "is_parameter": True, "position": i, "is_return": False} for i, n in enumerate(names)]
         self._inside(node, node.name, False)
 
     visit_AsyncFunctionDef = visit_FunctionDef
@@ -137,13 +143,27 @@ class _Python(ast.NodeVisitor):
     def visit_Call(self, node: ast.Call) -> None:
         callee = _dotted(node.func)
         if callee:
-            self.out["calls"].append({"caller": self._function(), "callee": callee, "line": node.lineno, "argument_exprs": [ast.unparse(a) for a in node.args]})
+            self.out["calls"].append({"caller": self._function(), "callee": callee, "line": node.lineno, "argument_exprs": [ast.unparse(a) for a in node.args], "keyword_args": {k.arg: ast.unparse(k.value) for k in node.keywords if k.arg}, "target": self.targets.get(id(node))})
         self.generic_visit(node)
 
+    def _takes(self, name: str, value: ast.AST) -> None:
+        """A variable takes a value: that of a call, or of the variables in an expression without calls."""
+        if isinstance(value, ast.Call):
+            self.targets[id(value)] = name
+        elif not any(isinstance(x, ast.Call) for x in ast.walk(value)):
+            self.out["flows"] += [{"function": self._function(), "source": x.id, "target": name, "line_number": value.lineno} for x in ast.walk(value) if isinstance(x, ast.Name)]
+
     def visit_Assign(self, node: ast.Assign) -> None:
         for t in node.targets:
             if isinstance(t, ast.Name):
-                self.out["variables"].append({"function": self._function(), "name": t.id, "line_number": node.lineno, "inferred_type": _kind(node.value), "is_parameter": False})
+                self.out["variables"].append({"function": self._function(), "name": t.id, "line_number": node.lineno, "inferred_type": _kind(node.value), "is_parameter": False, "position": None, "is_return": False})
+                self._takes(t.id, node.value)
+        self.generic_visit(node)
+
+    def visit_Return(self, node: ast.Return) -> None:
+        if node.value is not None:
+            self.out["variables"].append({"function": self._function(), "name": RETURNED, "line_number": node.lineno, "inferred_type": None, "is_parameter": False, "position": None, "is_return": True})
+            self._takes(RETURNED, node.value)
         self.generic_visit(node)
 
 
@@ -158,7 +178,7 @@ def _javascript(source: str) -> dict[str, list]:
     """Declarations, imports and calls by pattern; a function reaches to its closing brace at equal depth."""
     bare = re.sub(r"/\*.*?\*/|//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
     line = lambda at: bare.count("\n", 0, at) + 1
-    out: dict[str, list] = {"functions": [], "classes": [], "imports": [], "calls": [], "variables": []}
+    out: dict[str, list] = _nothing()
     for m in _JS_FUNCTION.finditer(bare):
         name, end, depth = m[2] or m[4], m.end(), 0
         opened = bare.find("{", m.end())
@@ -197,7 +217,7 @@ def parse_source(language: str, source: str) -> dict[str, list]:
             pass
     elif language in ("javascript", "typescript"):
         return _javascript(source)
-    return {"functions": [], "classes": [], "imports": [], "calls": [], "variables": []}
+    return _nothing()
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -205,7 +225,7 @@ def parse(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([{"path": p, **parse_source(lang, t or "")} for p, lang, t in zip(batch["path"], batch["language"], batch["text"])], columns=["path", "functions", "classes", "imports", "calls", "variables"])
+            yield pd.DataFrame([{"path": p, **parse_source(lang, t or "")} for p, lang, t in zip(batch["path"], batch["language"], batch["text"])], columns=["path", *_nothing()])
 
     return files.select("path", "language", "text").mapInPandas(run, PARSED)
 

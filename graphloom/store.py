@@ -130,6 +130,33 @@ class Store:
         return functions_of(self.read("parsed"), self.read("files"))
 
 
+    def variables(self) -> DataFrame:
+        """(id, function, name, position, is_return, file_path, line_number): a function's variables, each name once."""
+        each = tree.exploded(self.read("parsed"), "variables")
+        owner = T.node_id("function", F.col("file_path"), F.col("function"))
+        once = each.groupBy("file_path", owner.alias("function"), "name").agg(F.min("position").alias("position"), F.bool_or("is_return").alias("is_return"), F.min("line_number").alias("line_number"))
+        return once.withColumn("id", _variable("function", "name"))
+
+    def sites(self) -> DataFrame:
+        """(site, caller, callee, arguments, keywords, target, confidence): call sites with the functions that they resolve to."""
+        said = tree.exploded(self.read("parsed"), "calls").withColumn("src", T.node_id("function", F.col("file_path"), F.col("caller")))
+        named = said.withColumn("_said", F.substring_index("callee", ".", -1))
+        used = self.read("imports").select(F.col("path").alias("file_path"), F.col("name").alias("_said"), "original").distinct()
+        meant = named.join(used, ["file_path", "_said"], "left").withColumn("_name", F.coalesce("original", "_said"))
+        calls = self.read("calls").select("src", "dst", "confidence", F.explode("lines").alias("line"), F.regexp_extract("dst", r"([^:.]*)$", 1).alias("_name"))
+        site = F.xxhash64("src", "line", "callee", "argument_exprs", "target")
+        return meant.join(calls, ["src", "line", "_name"]).select(site.alias("site"), F.col("src").alias("caller"), F.col("dst").alias("callee"), F.col("argument_exprs").alias("arguments"), F.col("keyword_args").alias("keywords"), "target", "confidence")
+
+    def assignments(self) -> DataFrame:
+        """(src, dst): flows between the variables of one function."""
+        each = tree.exploded(self.read("parsed"), "flows").withColumn("function", T.node_id("function", F.col("file_path"), F.col("function")))
+        return each.select(_variable("function", "source").alias("src"), _variable("function", "target").alias("dst")).distinct()
+
+
+def _variable(function: str, name: str):
+    return F.concat(F.lit("variable:"), F.substr(function, F.lit(len("function:") + 1)), F.lit(":"), F.col(name))
+
+
 def functions_of(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """All functions with their ids, and a caller for each file that calls when it is loaded."""
     found = tree.exploded(parsed, "functions")

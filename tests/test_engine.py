@@ -48,3 +48,28 @@ def test_sync_tells_changes(engine):
     (engine.root / "app/store.py").write_text(FILES["app/store.py"] + "\n")
     changes = engine.sync(str(engine.root))
     assert [(r.path, r.change) for r in changes.collect()] == [("app/store.py", "changed")]
+
+
+def test_values_flow_through_matched_calls(spark, tmp_path):
+    source = """from lib import same as twin
+
+def one(a):
+    x = twin(a)
+    return x
+
+def two(b):
+    y = twin(v=b)
+    z = y + 1
+    return z
+"""
+    (tmp_path / "main.py").write_text(source)
+    (tmp_path / "lib.py").write_text("def same(v):\n    w = v\n    return w\n")
+    engine = Engine.build(spark, str(tmp_path))
+    name = lambda path, f, v: f"variable:{path}:{f}:{v}"
+    assert {(r.src, r.dst) for r in engine.flows().collect()} == {(name("main.py", "one", "a"), name("lib.py", "same", "v")), (name("main.py", "two", "b"), name("lib.py", "same", "v"))}
+    got = {r.id for r in engine.value_trace(name("main.py", "one", "a")).collect()}
+    inside = {name("lib.py", "same", v) for v in ("v", "w", "<return>")}
+    assert got == inside | {name("main.py", "one", v) for v in ("a", "x", "<return>")}  # and nothing of two
+    found, touching = engine.trace_variable("v")
+    assert [r.id for r in found.collect()] == [name("lib.py", "same", "v")] and touching.count() == 2
+    assert {r.label: r.members for r in engine.communities().collect()} == {"Lib.Py": 3} or engine.communities().count() == 1
