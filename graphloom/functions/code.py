@@ -54,8 +54,9 @@ def may_be_live_method(qualified: Column, path: Column, instantiated: Column) ->
 
 
 def is_handler_emit(name: Column, bases: Column) -> Column:
-    """``emit`` of a logging handler, which the logging module calls."""
-    return (name == "emit") & F.exists(bases, lambda b: b.rlike(r"(^|\.)\w*Handler$"))
+    """``emit`` of a class whose base is the logging module's own handler: that module calls it."""
+    own = lambda b: (F.trim(b) == "logging.Handler") | F.trim(b).endswith(".Handler") & F.contains(b, F.lit("logging"))
+    return (name == "emit") & F.exists(bases, own)
 
 
 def skips_language(entry: Column, callee: Column) -> Column:
@@ -91,9 +92,9 @@ def callback_refs(arguments: Column) -> Column:
 
 
 def is_event(expr: Column) -> Column:
-    """A member in capitals, an ``Event(`` or a call of a class."""
+    """A member in capitals, an ``Event(``, a call of a class or what is taken from one."""
     s = F.trim(expr)
-    member = F.contains(s, F.lit(".")) & (F.element_at(F.split(s, r"\."), -1).rlike(r"^[^a-z]*[A-Z][^a-z]*$") | F.element_at(F.split(s, r"\."), -1).startswith("Event(") | s.rlike(r"^[A-Z][^.]*(\.|\().*\("))
+    member = F.contains(s, F.lit(".")) & (F.element_at(F.split(s, r"\."), -1).rlike(r"^[^a-z]*[A-Z][^a-z]*$") | F.element_at(F.split(s, r"\."), -1).startswith("Event(") | s.rlike(r"^\p{Lu}") & F.contains(s, F.lit("(")))
     return (s != "") & (member | s.rlike(r"^[A-Z].*\(.*\)$"))
 
 

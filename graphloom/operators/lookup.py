@@ -118,12 +118,16 @@ def script_files(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def script_globals(functions: DataFrame) -> DataFrame:
-    """Functions of scripts that stand in no other function of their file: a run of starts and the furthest end before each.
+    """Functions of scripts that stand in no other function of their file: none begins on an earlier line and ends on or behind their last.
 
-    One window over a file's functions; nothing is compared pairwise.
+    Methods and callers of modules, where the columns are there, are no globals and hold none. One window over
+    a file's functions, by line: those of one line do not see each other.
     """
-    before = Window.partitionBy("file_path").orderBy("line_start", F.desc("line_end"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    return functions.withColumn("_furthest", F.max("line_end").over(before)).where(F.col("_furthest").isNull() | (F.col("_furthest") < F.col("line_end"))).drop("_furthest")
+    plain = functions
+    for flag in {"is_method", "is_module_caller"} & set(functions.columns):
+        plain = plain.where(~F.coalesce(flag, F.lit(False)))
+    before = Window.partitionBy("file_path").orderBy("line_start").rangeBetween(Window.unboundedPreceding, -1)
+    return plain.withColumn("_furthest", F.max("line_end").over(before)).where(F.col("_furthest").isNull() | (F.col("_furthest") < F.col("line_end"))).drop("_furthest")
 
 
 def recent_commits(changes: DataFrame, days: int = 180, ts: str = "ts", until: Column | None = None) -> DataFrame:

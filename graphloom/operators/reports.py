@@ -39,20 +39,6 @@ def bucket_communities(functions: DataFrame) -> DataFrame:
     return functions.groupBy(isolation_bucket(F.col("file_path")).alias("label")).agg(F.count("*").alias("members"))
 
 
-def partial_rerun(old: DataFrame, new: DataFrame, guard: float = 0.2) -> DataFrame:
-    """(id, community, accepted): labels of a rerun over the changed functions.
-
-    A new community takes the old one that most of its members had (the smallest on ties); where fewer
-    than ``guard`` of them agree it stands for itself and is not accepted.
-    """
-    both = new.join(old.select("id", F.col("community").alias("was")), "id", "left")
-    votes = both.where("was IS NOT NULL").groupBy("community", "was").agg(F.count("*").alias("n"))
-    best = votes.groupBy("community").agg(F.min_by("was", F.struct(-F.col("n"), F.col("was"))).alias("winner"), F.max("n").alias("n"))
-    sized = both.groupBy("community").agg(F.count("*").alias("size")).join(best, "community", "left")
-    told = sized.select("community", "winner", (F.coalesce("n", F.lit(0)) >= guard * F.col("size")).alias("accepted"))
-    return new.join(told, "community").select("id", F.when(F.col("accepted"), F.col("winner")).otherwise(F.col("community")).alias("community"), "accepted")
-
-
 def hotspots(modules: DataFrame, most: int = HOTSPOTS) -> DataFrame:
     """The modules with most issues, production first, then by complexity and name."""
     scored = modules.withColumns({"issue_count": F.col("dead_code_count") + F.col("duplicate_count"), "complexity": F.col("function_count") + 2 * F.col("class_count") + F.col("test_function_count")})

@@ -141,7 +141,7 @@ def method_roles(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT o_orderkey AS id, o_custkey AS file_path, o_orderkey % 997 AS line_start, o_orderkey % 997 + o_custkey % 89 AS line_end FROM orders),
-g AS (SELECT *, max(line_end) OVER (PARTITION BY file_path ORDER BY line_start, line_end DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM f) SELECT id, file_path FROM g WHERE furthest IS NULL OR furthest < line_end""")
+g AS (SELECT *, max(line_end) OVER (PARTITION BY file_path ORDER BY line_start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM f) SELECT id, file_path FROM g WHERE furthest IS NULL OR furthest < line_end""")
 def script_globals(spark, sf_dir):
     o = P.table(spark, sf_dir, "orders")
     start = F.col("o_orderkey") % 997
@@ -364,13 +364,23 @@ def isolation_buckets(spark, sf_dir):
     return R.bucket_communities(P.table(spark, sf_dir, "part").select(path.alias("file_path")))
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, p_brand AS community, CASE WHEN p_size > 5 THEN p_size % 7 END AS was FROM part), v AS (SELECT community, was, count(*) AS k FROM n WHERE was IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT community, arg_min(was, lpad((1000000 - k)::VARCHAR, 9, '0') || lpad(was::VARCHAR, 9, '0')) AS winner, max(k) AS k FROM v GROUP BY 1), s AS (SELECT community, count(*) AS size FROM n GROUP BY 1)
-SELECT id, CASE WHEN coalesce(k, 0) >= 0.2 * size THEN winner::VARCHAR ELSE n.community END AS community, coalesce(k, 0) >= 0.2 * size AS accepted FROM n JOIN s USING (community) LEFT JOIN b USING (community)""")
+@query(f"""WITH {CALLS}, simple AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM calls WHERE confidence >= 0.5),
+old AS (SELECT p_partkey AS id, CAST(p_partkey % 40 AS VARCHAR) AS community FROM part), new AS (SELECT p_partkey AS id, p_brand || p_size AS community FROM part),
+vote AS (SELECT new.community, old.community AS name, count(*) AS n FROM new JOIN old USING (id) GROUP BY 1, 2),
+voted AS (SELECT community, name FROM vote QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, name) = 1),
+named AS (SELECT id, name AS community FROM new JOIN voted USING (community)),
+a AS (SELECT community, CASE WHEN n = 1 THEN 1.0 ELSE coalesce(k, 0) / (n * (n - 1) / 2) END AS c FROM (SELECT community, count(*) AS n FROM old GROUP BY 1) LEFT JOIN (SELECT x.community, count(*) AS k FROM simple JOIN old x ON x.id = u JOIN old y ON y.id = v WHERE x.community = y.community GROUP BY 1) USING (community)),
+b AS (SELECT community, CASE WHEN n = 1 THEN 1.0 ELSE coalesce(k, 0) / (n * (n - 1) / 2) END AS c FROM (SELECT community, count(*) AS n FROM named GROUP BY 1) LEFT JOIN (SELECT x.community, count(*) AS k FROM simple JOIN named x ON x.id = u JOIN named y ON y.id = v WHERE x.community = y.community GROUP BY 1) USING (community))
+SELECT community, round(a.c, 6) AS "before", round(coalesce(b.c, 1.0), 6) AS "after", a.c > 0.1 AND coalesce(b.c, 1.0) < a.c * 0.8 AS dropped FROM a LEFT JOIN b USING (community)""")
 def partial_communities(spark, sf_dir):
+    """Communities before and after others were named after them by their members' votes, and what that costs in cohesion."""
+    from graphloom.operators import modularity as M
+
     part = P.table(spark, sf_dir, "part")
-    old = part.where("p_size > 5").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 7).cast("string").alias("community"))
-    return R.partial_rerun(old, part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("community")))
+    old = part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 40).cast("string").alias("community"))
+    new = part.select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.col("p_size").cast("string")).alias("community"))
+    change = M.cohesion_change(old, M.named_by_votes(new, old), M.pairs(P.calls(spark, sf_dir)))
+    return change.select("community", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "dropped")
 
 
 @query("""SELECT event_id AS id, event_type AS kind, user_id % 5 AS pack, CASE WHEN user_id % 5 = 1 THEN 'high' ELSE 'low' END AS severity, CASE event_type WHEN 'error' THEN 'fault' WHEN 'click' THEN 'use' ELSE 'general' END AS category, CASE event_type WHEN 'error' THEN 9 WHEN 'click' THEN 2 ELSE 0 END AS score,

@@ -382,3 +382,13 @@ def doc_warnings(spark, sf_dir):
     symbols = docs.where("lang = 'en'").select(name, F.concat("source", F.lit(".py")).alias("file_path")).distinct().withColumn("qualified_name", F.col("name"))
     found = D.warnings(docs.select(F.col("doc_id").cast("string").alias("path"), fenced.alias("text")), symbols)
     return found.select("path", "line_number", "symbol", "kind")
+
+
+@query(r"""SELECT url, CASE WHEN regexp_matches(path, '/route\.(ts|js)$') THEN '/' || trim(regexp_replace(regexp_replace(path, '^app/', ''), '/?route\.(ts|js)$', ''), '/') END AS route
+FROM (SELECT url, 'app' || regexp_extract(url, '^https?://[^/]+(/[a-z]+/[0-9]+)', 1) || CASE WHEN contains(url, '#') THEN '/page.tsx' WHEN contains(url, '?') THEN '/route.js' ELSE '/route.ts' END AS path FROM pages)""")
+def file_routes(spark, sf_dir):
+    from graphloom.operators.frameworks import file_route
+
+    kind = F.when(F.contains("url", F.lit("#")), "/page.tsx").when(F.contains("url", F.lit("?")), "/route.js").otherwise("/route.ts")
+    path = F.concat(F.lit("app"), F.regexp_extract("url", "^https?://[^/]+(/[a-z]+/[0-9]+)", 1), kind)
+    return P.table(spark, sf_dir, "pages").select("url", file_route(path).alias("route"))

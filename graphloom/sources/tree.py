@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
@@ -24,16 +24,47 @@ EXCLUDED_SUFFIXES = (".min.js", ".min.css")
 CONFIG_EXTENSIONS = (".toml", ".yaml", ".yml", ".json", ".ini", ".cfg", ".env", ".lock")
 
 
-def scan_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, name, extension, language, size_bytes, line_count, source_hash, is_test, is_config, text) of the known languages, any order."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _relative(root: str) -> Column:
+    """The path of a scanned file below the root."""
     top = F.regexp_replace(F.lit(root.rstrip("/") + "/"), r"^[a-z]+:(//)?", "")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit("^"), F.regexp_replace(top, r"([.\\+*?\[^\]$(){}=!<>|:\-])", r"\\$1")), F.lit(""))
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit("^"), F.regexp_replace(top, r"([.\\+*?\[^\]$(){}=!<>|:\-])", r"\\$1")), F.lit(""))
+
+
+def ignore_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, line_no, line) of the ignore file at the root, none if there is none.
+
+    Spark's file sources pass over names with a leading dot, so this one small file is opened by itself.
+    """
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    lines = []
+    if store.exists(path):
+        stream = store.open(path)
+        try:
+            lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        finally:
+            stream.close()
+    return spark.createDataFrame([("", i, line) for i, line in enumerate(lines)], "folder string, line_no int, line string")
+
+
+def scan_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), ignore: DataFrame | None = None) -> DataFrame:
+    """(path, name, extension, language, size_bytes, line_count, source_hash, is_test, is_config, text) of the known languages, any order.
+
+    What the ignore file at the root leaves out is left out; ``ignore`` (folder, line_no, line) takes its place, with
+    lines of any folders. Files of no bytes are not seen: Spark's file sources pass over them.
+    """
+    from graphloom.operators.ignore import ignored, rules
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    files = raw.select(path.alias("path"), F.col("length").alias("size_bytes"), text.alias("text"), F.sha2("content", 256).alias("source_hash"))
+    files = raw.select(_relative(root).alias("path"), F.col("length").alias("size_bytes"), text.alias("text"), F.sha2("content", 256).alias("source_hash"))
     kept = files.withColumn("language", paths.language_of(F.col("path"))).where(F.col("language").isNotNull() & ~paths.has_segment(F.col("path"), EXCLUDED_DIRECTORIES + exclude))
     for suffix in EXCLUDED_SUFFIXES:
         kept = kept.where(~F.col("path").endswith(suffix))
+    told = rules(ignore if ignore is not None else ignore_lines(spark, root))
+    if not told.isEmpty():
+        names = raw.select(_relative(root).alias("path"))  # a listing: contents are not read for it
+        kept = kept.join(ignored(names, told), "path", "left_anti")
     return kept.select(
         "path", F.substring_index("path", "/", -1).alias("name"), paths.extension(F.col("path")).alias("extension"), "language", "size_bytes",
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_count"), "source_hash",
@@ -57,7 +88,7 @@ def vendored(files: DataFrame, known: tuple[str, ...]) -> DataFrame:
 
 #: What parsing finds, a row per file.
 PARSED = (
-    "path string, functions array<struct<qualified_name:string,name:string,line_start:long,line_end:long,is_async:boolean,is_method:boolean,is_exported:boolean,decorators:array<string>,param_names:array<string>,return_type:string,docstring:string,signature:string,source_hash:string>>, "
+    "path string, functions array<struct<qualified_name:string,name:string,line_start:long,line_end:long,is_async:boolean,is_method:boolean,is_exported:boolean,decorators:array<string>,param_names:array<string>,return_type:string,docstring:string,signature:string,source_hash:string,route_path:string,http_method:string>>, "
     "classes array<struct<name:string,line_start:long,line_end:long,base_names:array<string>,docstring:string>>, "
     "imports array<struct<module_path:string,name:string,original:string,is_wildcard:boolean,line_number:long>>, "
     "calls array<struct<caller:string,callee:string,line:long,argument_exprs:array<string>,keyword_args:map<string,string>,target:string>>, "
@@ -65,6 +96,7 @@ PARSED = (
     "flows array<struct<function:string,source:string,target:string,line_number:long>>"
 )
 #: The caller of what runs when a module is loaded; the variable that a function gives back.
+_ROUTERS = ("route", "get", "post", "put", "patch", "delete", "websocket")
 MODULE, RETURNED = "__module__", "<return>"
 
 
@@ -85,6 +117,18 @@ def _kind(value: ast.AST | None) -> str | None:
     return {ast.List: "list", ast.Dict: "dict", ast.Tuple: "tuple", ast.Set: "set"}.get(type(value))
 
 
+def _route(decorators: list[ast.AST]) -> dict[str, str]:
+    """The address and the method that the first decorator of a route tells; a plain ``route`` without a list tells none."""
+    for d in decorators:
+        name = _dotted(d.func).rsplit(".", 1)[-1] if isinstance(d, ast.Call) and _dotted(d.func) else None
+        if name in _ROUTERS:
+            given = {k.arg: k.value for k in d.keywords}
+            path = d.args[0] if d.args else given.get("path", given.get("rule"))
+            methods = [m.value for m in getattr(given.get("methods"), "elts", []) if isinstance(m, ast.Constant)]
+            return {"route_path": str(path.value) if isinstance(path, ast.Constant) else None, "http_method": str(methods[0]).upper() if methods else None if name == "route" else name.upper()}
+    return {"route_path": None, "http_method": None}
+
+
 def _nothing() -> dict[str, list]:
     return {"functions": [], "classes": [], "imports": [], "calls": [], "variables": [], "flows": []}
 
@@ -117,7 +161,7 @@ class _Python(ast.NodeVisitor):
             "is_method": bool(self.scope) and self.scope[-1][1], "is_exported": not node.name.startswith("_") or node.name.startswith("__"),
             "decorators": [d for d in (_dotted(x.func if isinstance(x, ast.Call) else x) for x in node.decorator_list) if d], "param_names": names,
             "return_type": ast.unparse(node.returns) if node.returns else None, "docstring": ast.get_docstring(node),
-            "signature": f"def {node.name}({ast.unparse(a)})", "source_hash": hashlib.sha256(body.encode()).hexdigest(),
+            "signature": f"def {node.name}({ast.unparse(a)})", "source_hash": hashlib.sha256(body.encode()).hexdigest(), **_route(node.decorator_list),
         })
         self.out["variables"] += [{"function": q, "name": n, "line_number": node.lineno, "inferred_type": None, "is_parameter": True, "position": i, "is_return": False} for i, n in enumerate(names)]
         self._inside(node, node.name, False)

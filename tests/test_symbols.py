@@ -65,7 +65,9 @@ def test_expressions(spark):
     assert one(spark, C.is_schema_prose(F.lit("the id column"), F.lit("id"), ("id",))) and not one(spark, C.is_schema_prose(F.lit("the id"), F.lit("id"), ("id",)))
     assert one(spark, C.instantiated_classes(F.lit("x = new Foo(1); new Bar (); new Foo()"))) == ["Bar", "Foo"]
     assert one(spark, C.may_be_live_method(F.lit("Foo.run"), F.lit("a.js"), F.array(F.lit("Foo")))) and not one(spark, C.may_be_live_method(F.lit("run"), F.lit("a.js"), F.array(F.lit("Foo"))))
-    assert one(spark, C.is_handler_emit(F.lit("emit"), F.array(F.lit("logging.StreamHandler")))) and not one(spark, C.is_handler_emit(F.lit("emit"), F.array(F.lit("Base"))))
+    emit = lambda *bases: one(spark, C.is_handler_emit(F.lit("emit"), F.array(*map(F.lit, bases))))
+    assert [emit("logging.Handler"), emit("Base", "my.logging.Handler"), emit("logging.StreamHandler"), emit("BaseHTTPRequestHandler"), emit("x.Handler")] == [True, True, False, False, False]
+    assert event("Signal(1).name") and event("a.Kind(1)") == event("kind(1).x")
 
 
 def test_script_files_and_marks(spark):

@@ -98,3 +98,12 @@ def test_a_sync_that_broke_off_is_done_again(spark, kept, tmp_path, monkeypatch)
     full = Store(spark, str(tmp_path / "full"), buckets=4)
     full.sync(str(root))
     assert tables(store) == tables(full)
+
+
+def test_ignore_files_of_the_tree(spark, tmp_path):
+    from graphloom.sources import tree
+
+    put(tmp_path, {".gitignore": "# out\n*.js\n!keep.js\ngen/\n", **dict.fromkeys(("a.py", "x.js", "sub/keep.js", "gen/b.py", "sub/only.py", "sub/deep/only.py"), "x\n")})
+    assert {r.path for r in tree.scan_files(spark, str(tmp_path)).collect()} == {"a.py", "sub/keep.js", "sub/only.py", "sub/deep/only.py"}
+    lines = spark.createDataFrame([("", 0, "*.js"), ("sub", 0, "/only.py")], "folder string, line_no int, line string")
+    assert {r.path for r in tree.scan_files(spark, str(tmp_path), ignore=lines).collect()} == {"a.py", "gen/b.py", "sub/deep/only.py"}
