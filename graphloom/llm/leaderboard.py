@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from graphloom.llm.store import shared_dir
+from graphloom.llm.store import cut, shared_dir
 
 #: Places of a board, groups of a nation's items, item ids of a page, entries kept in order beyond a board.
 PLACES, BUCKETS, PAGE, SPARE = 10, 32, 512, 64
@@ -65,9 +65,10 @@ def sale_batches(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> Data
     shipped = F.coalesce(F.unix_date(F.col("shipped_at").cast("date")).cast("long"), FIRST_DAY + h % 150)
     dated = lines.select("vendor_id", "item_id", "quantity", "amount", "flag", h.alias("h"), shipped.alias("shipped"))
     day = F.col("shipped") + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0)
-    # both tables grow with the input: joined by shuffles, which adaptive execution splits where a key is hot
-    nations = vendors.groupBy("vendor_id").agg(F.min("nation_id").alias("nation_id"))
-    prices = items.groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("known"))
+    # both tables grow with the input: joined by shuffles, which adaptive execution splits where a key is hot; it
+    # does so only for sides that come straight from a shuffle, so the aggregates are tables of their own
+    nations = cut(vendors.groupBy("vendor_id").agg(F.min("nation_id").alias("nation_id")), "leaderboard-nations")
+    prices = cut(items.groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("known")), "leaderboard-prices")
     full = dated.join(nations.hint("merge"), "vendor_id", "left").join(prices.hint("merge"), "item_id", "left")
     priced = F.coalesce(_cents(F.col("amount")), F.col("quantity").cast("double") * _cents(F.col("price")), F.lit(0.0))
     return full.select(
@@ -239,8 +240,9 @@ def change_feed(spark: SparkSession, lines: DataFrame, vendors: DataFrame, items
     """
     root = f"{shared_dir(spark)}/leaderboard-{uuid.uuid4().hex}"
     # lines that count for nothing but the latest day stay in the batches: they are read, and dropped, by the stream
-    sale_batches(lines, vendors, items).write.partitionBy("batch").parquet(f"{root}/staged")
-    staged = spark.read.schema(sale_batches(lines, vendors, items).schema).parquet(f"{root}/staged")
+    batches = sale_batches(lines, vendors, items)
+    batches.write.partitionBy("batch").parquet(f"{root}/staged")
+    staged = spark.read.schema(batches.schema).parquet(f"{root}/staged")
     latest = {r.batch: r.latest for r in staged.groupBy("batch").agg(F.max("shipped").alias("latest")).collect()}
     if not latest:
         return spark.createDataFrame([], FEED)
