@@ -45,7 +45,9 @@ FIRST_DAY, BATCHES, SPAN, LATE = 19723, 10, 180, 3
 
 FEED = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
 _LINES = "nation_id int, item_id long, day long, shipped long, seen long, batch int, cents double"
-_DAYS = "nation_id int, item_id long, day long, batch int, cents double"
+_DAYS = "nation_id int, bucket int, packed binary"
+#: Sums of lines by day and item, as they travel to the state of their bucket: many to a row.
+_SUMS = np.dtype([("day", "<i8"), ("item", "<i8"), ("batch", "<i4"), ("cents", "<f8")])
 _MOVES = "nation_id int, day long, item_id long, batch int, held boolean, cents double"
 
 
@@ -122,26 +124,27 @@ def _leaders(items: np.ndarray, cents: np.ndarray) -> Board:
     return board
 
 
-def bucket_moves(items: np.ndarray, cents: np.ndarray, board: dict[int, float], rows: pd.DataFrame) -> tuple[list[tuple], dict[int, float]]:
-    """Replays the days of ``rows`` (day, item_id, batch, cents) over running revenues, which it changes in place.
+def bucket_moves(items: np.ndarray, cents: np.ndarray, board: dict[int, float], sums: np.ndarray) -> tuple[list[tuple], dict[int, float]]:
+    """Replays the days of ``sums`` (records of ``_SUMS``) over running revenues, which it changes in place.
 
-    ``items`` are sorted and have all items of ``rows``. Returns what came onto the bucket's board, changed
+    ``items`` are sorted and have all items of ``sums``. Returns what came onto the bucket's board, changed
     there or left it, as (day, item, batch, held, revenue), and the board after the last day.
     """
     order = _leaders(items, cents)
     inside = np.zeros(len(items), bool)
     inside[np.searchsorted(items, list(order.held))] = True
     moves: list[tuple] = []
-    summed = rows.groupby(["day", "item_id"], sort=True).agg(cents=("cents", "sum"), batch=("batch", "max")).reset_index()
-    days, starts = np.unique(summed["day"].to_numpy(), return_index=True)
-    places, deltas, batches = np.searchsorted(items, summed["item_id"].to_numpy()), summed["cents"].to_numpy(), summed["batch"].to_numpy()
-    for day, lo, hi in zip(days.tolist(), starts, [*starts[1:], len(summed)], strict=True):
+    sums = sums[np.lexsort((sums["item"], sums["day"]))]
+    firsts = np.flatnonzero(np.append(True, (sums["day"][1:] != sums["day"][:-1]) | (sums["item"][1:] != sums["item"][:-1])))
+    deltas, places = np.add.reduceat(sums["cents"], firsts), np.searchsorted(items, sums["item"][firsts])
+    all_days, batches = sums["day"][firsts], sums["batch"][firsts]
+    days, starts = np.unique(all_days, return_index=True)
+    for day, lo, hi in zip(days.tolist(), starts, [*starts[1:], len(firsts)], strict=True):
         at = places[lo:hi]
         cents[at] += deltas[lo:hi]
         told = at if order.cut is None else at[inside[at] | (-cents[at] <= order.cut[0])]
-        for i in told.tolist():
-            item = int(items[i])
-            order.put(item, float(cents[i]))
+        for i, item, v in zip(told.tolist(), items[told].tolist(), cents[told].tolist(), strict=True):
+            order.put(item, v)
             inside[i] = item in order.held
         if order.cut is not None and len(order.order) < PLACES or len(order.order) > 4 * SPARE:
             order = _leaders(items, cents)
@@ -179,23 +182,23 @@ class BucketBoards(StatefulProcessor):
     """State of a nation's bucket of items: revenues in pages of item ids, and the bucket's board."""
 
     def init(self, handle) -> None:
-        self.revenues = handle.getMapState("revenues", "page long", "items array<long>, cents array<double>")
+        self.revenues = handle.getMapState("revenues", "page long", "items binary, cents binary")  # arrays of long and double
         self.board = handle.getValueState("board", "items array<long>, cents array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
+        new = np.concatenate([np.frombuffer(packed, _SUMS) for part in rows for packed in part["packed"]])
         kept = [v for _, v in self.revenues.iterator()]
-        items = np.array([i for v in kept for i in v[0]], np.int64)
-        cents = np.array([c for v in kept for c in v[1]], np.float64)
-        known = np.union1d(items, new["item_id"].to_numpy())
+        items = np.frombuffer(b"".join(v[0] for v in kept), "<i8")
+        cents = np.frombuffer(b"".join(v[1] for v in kept), "<f8")
+        known = np.union1d(items, new["item"])
         revenue = np.zeros(len(known))
         revenue[np.searchsorted(known, items)] = cents
         saved = self.board.get()
         moves, board = bucket_moves(known, revenue, dict(zip(*saved, strict=True)) if saved else {}, new)
         pages = known // PAGE
-        for page in np.unique(new["item_id"].to_numpy() // PAGE).tolist():  # only pages that were touched are written
+        for page in np.unique(new["item"] // PAGE).tolist():  # only pages that were touched are written
             lo, hi = np.searchsorted(pages, [page, page + 1])
-            self.revenues.updateValue((page,), (known[lo:hi].tolist(), revenue[lo:hi].tolist()))
+            self.revenues.updateValue((page,), (known[lo:hi].astype("<i8").tobytes(), revenue[lo:hi].astype("<f8").tobytes()))
         self.board.update((list(board), list(board.values())))
         if moves:
             out = pd.DataFrame(moves, columns=["day", "item_id", "batch", "held", "cents"])
@@ -214,22 +217,39 @@ def nation_feed(moves: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def sum_days(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Sums the lines of one nation, item and day where they are read, ``most`` rows at a time."""
+def bucket_of(items: np.ndarray, buckets: int) -> np.ndarray:
+    return ((items.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
-    def summed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).group_by(["nation_id", "item_id", "day"]).aggregate([("batch", "max"), ("cents", "sum")])
-        yield from table.rename_columns(["nation_id", "item_id", "day", "batch", "cents"]).to_batches(max_chunksize=1 << 16)
 
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= most:
-            yield from summed(held)
-            held, n = [], 0
-    if n:
-        yield from summed(held)
+def sum_days(buckets: int, most: int = 1 << 20):
+    """Sums the lines of one nation, item and day where they are read, ``most`` rows at a time, and packs them by bucket."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by(["nation_id", "item_id", "day"]).aggregate([("batch", "max"), ("cents", "sum")])
+        nation, item, day, batch, cents = (table[c].to_numpy() for c in ("nation_id", "item_id", "day", "batch_max", "cents_sum"))
+        bucket = bucket_of(item, buckets)
+        order = np.lexsort((bucket, nation))
+        sums = np.empty(len(order), _SUMS)
+        for name, values in (("day", day), ("item", item), ("batch", batch), ("cents", cents)):
+            sums[name] = values[order]
+        nation, bucket = nation[order], bucket[order]
+        firsts = np.flatnonzero(np.append(True, (nation[1:] != nation[:-1]) | (bucket[1:] != bucket[:-1])))
+        rows = [sums[lo:hi].tobytes() for lo, hi in zip(firsts, [*firsts[1:], len(sums)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(nation[firsts], pa.int32()), pa.array(bucket[firsts], pa.int32()), pa.array(rows, pa.binary())], names=["nation_id", "bucket", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= most:
+                yield from packed(held)
+                held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    return run
 
 
 def change_feed(spark: SparkSession, lines: DataFrame, vendors: DataFrame, items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -266,8 +286,7 @@ def _start(spark: SparkSession, root: str, buckets: int) -> None:
     """Runs the streaming query over what was appended since its last start."""
     lines = spark.readStream.schema(_LINES).parquet(f"{root}/lines")
     on_time = lines.where(f"nation_id IS NOT NULL AND item_id IS NOT NULL AND (seen IS NULL OR shipped + {LATE} >= seen)")
-    days = on_time.select("nation_id", "item_id", "day", "batch", "cents").mapInArrow(sum_days, _DAYS)
-    bucket = F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int")
-    moves = days.withColumn("bucket", bucket).groupBy("nation_id", "bucket").transformWithStateInPandas(BucketBoards(), _MOVES, "Append", "None")
+    days = on_time.select("nation_id", "item_id", "day", "batch", "cents").mapInArrow(sum_days(buckets), _DAYS)
+    moves = days.groupBy("nation_id", "bucket").transformWithStateInPandas(BucketBoards(), _MOVES, "Append", "None")
     writer = moves.writeStream.format("parquet").option("path", f"{root}/moves").option("checkpointLocation", f"{root}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -74,7 +74,7 @@ def test_replay_of_many_items_in_buckets(seed):
         mine, board = items[items % 3 == bucket], {}
         cents = np.zeros(len(mine))
         for batch in range(5):
-            part = pd.DataFrame([(d, i, batch, float(c)) for d, i, c in rows if i % 3 == bucket and d // 5 == batch], columns=["day", "item_id", "batch", "cents"])
+            part = np.array([(d, i, batch, float(c)) for d, i, c in rows if i % 3 == bucket and d // 5 == batch], leaderboard._SUMS)
             found, board = leaderboard.bucket_moves(mine, cents, board, part)
             moves += found
     feed = leaderboard.nation_changes(pd.DataFrame(moves, columns=["day", "item_id", "batch", "held", "cents"]))
