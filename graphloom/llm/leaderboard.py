@@ -38,7 +38,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from graphloom.llm.store import cut, shared_dir
 
-#: Places of a board, groups of a nation's items, item ids of a page, entries kept in order beyond a board.
+#: Places of a board, groups of a nation's items, item ids of a page for each of the groups, entries kept in order beyond a board.
 PLACES, BUCKETS, PAGE, SPARE = 10, 32, 512, 64
 #: First day of the batches, their number and the days they cover; days a line may be late.
 FIRST_DAY, BATCHES, SPAN, LATE = 19723, 10, 180, 3
@@ -179,7 +179,13 @@ def nation_changes(moves: pd.DataFrame) -> list[tuple]:
 
 
 class BucketBoards(StatefulProcessor):
-    """State of a nation's bucket of items: revenues in pages of item ids, and the bucket's board."""
+    """State of a nation's bucket of items: revenues in pages of item ids, and the bucket's board.
+
+    A page spans ``PAGE`` ids for each bucket: of these a bucket has about ``PAGE``, and each page is one call to the state.
+    """
+
+    def __init__(self, buckets: int = BUCKETS):
+        self.page = PAGE * buckets
 
     def init(self, handle) -> None:
         self.revenues = handle.getMapState("revenues", "page long", "items binary, cents binary")  # arrays of long and double
@@ -195,8 +201,8 @@ class BucketBoards(StatefulProcessor):
         revenue[np.searchsorted(known, items)] = cents
         saved = self.board.get()
         moves, board = bucket_moves(known, revenue, dict(zip(*saved, strict=True)) if saved else {}, new)
-        pages = known // PAGE
-        for page in np.unique(new["item"] // PAGE).tolist():  # only pages that were touched are written
+        pages = known // self.page
+        for page in np.unique(new["item"] // self.page).tolist():  # only pages that were touched are written
             lo, hi = np.searchsorted(pages, [page, page + 1])
             self.revenues.updateValue((page,), (known[lo:hi].astype("<i8").tobytes(), revenue[lo:hi].astype("<f8").tobytes()))
         self.board.update((list(board), list(board.values())))
@@ -287,6 +293,6 @@ def _start(spark: SparkSession, root: str, buckets: int) -> None:
     lines = spark.readStream.schema(_LINES).parquet(f"{root}/lines")
     on_time = lines.where(f"nation_id IS NOT NULL AND item_id IS NOT NULL AND (seen IS NULL OR shipped + {LATE} >= seen)")
     days = on_time.select("nation_id", "item_id", "day", "batch", "cents").mapInArrow(sum_days(buckets), _DAYS)
-    moves = days.groupBy("nation_id", "bucket").transformWithStateInPandas(BucketBoards(), _MOVES, "Append", "None")
+    moves = days.groupBy("nation_id", "bucket").transformWithStateInPandas(BucketBoards(buckets), _MOVES, "Append", "None")
     writer = moves.writeStream.format("parquet").option("path", f"{root}/moves").option("checkpointLocation", f"{root}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
