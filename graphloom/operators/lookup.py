@@ -100,8 +100,11 @@ def call_sites(sites: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def base_methods(methods: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """(id, base_id): the smallest method of the same name in an ancestor class; ``ancestors`` has (class_name, ancestor)."""
-    above = methods.select(F.col("class_name").alias("ancestor"), "name", F.col("id").alias("base_id"))
+    """(id, base_id): the smallest method of the same name in an ancestor class; ``ancestors`` has (class_name, ancestor).
+
+    The smallest is taken per class and name first: methods of one name in one class meet one row, not each other.
+    """
+    above = methods.groupBy(F.col("class_name").alias("ancestor"), "name").agg(F.min("id").alias("base_id"))
     return methods.join(ancestors, "class_name").join(above, ["ancestor", "name"]).groupBy("id").agg(F.min("base_id").alias("base_id"))
 
 
