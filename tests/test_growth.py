@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import heritage, lookup
+from graphloom.operators import communities, heritage, lookup
 
 MANY = 20_000
 
@@ -39,3 +39,16 @@ def test_interface_callers_of_an_id_under_two_names(spark):
     extends = spark.createDataFrame([("A", "B")], "src string, dst string")
     calls = spark.createDataFrame([(9, 2, 0.5), (9, 3, 0.7), (8, 3, None)], "src long, dst long, confidence double")
     assert sorted(heritage.interface_callers(twice, extends, calls).collect(), key=str) == [(1, 8, None), (1, 9, 0.63)]
+
+
+def test_labels_settle_where_neighbours_change_places(spark):
+    links = [(2, 3, 1.0), (1, 2, 1.0), (1, 5, 0.75), (0, 2, 0.5), (4, 5, 1.0)]  # two halves in turn come back to the same labels every four turns
+    labels = {r.id: r.community for r in communities.label_propagation(spark.createDataFrame(links, "src long, dst long, confidence double")).collect()}
+    assert labels.keys() == set(range(6))
+    for node, own in labels.items():
+        weight = {own: 0.5}
+        for u, v, w in links:
+            if node in (u, v):
+                near = labels[v if node == u else u]
+                weight[near] = weight.get(near, 0) + w
+        assert own == min(weight, key=lambda c: (-weight[c], c))
