@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.shared import dealt
+
 
 def merge_calls(sites: DataFrame) -> DataFrame:
     """One row per pair: the highest confidence, its reason (the first by name on ties), all lines, the smallest line.
@@ -35,11 +37,12 @@ def with_known_ends(edges: DataFrame, sources: DataFrame, targets: DataFrame, ke
 
 
 def dangling(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
-    """Edges of which an end is missing."""
-    ids = nodes.select(F.col(key))
-    no_src = edges.join(ids.withColumnRenamed(key, "src"), "src", "left_anti").select("src", "dst")
-    no_dst = edges.join(ids.withColumnRenamed(key, "dst"), "dst", "left_anti").select("src", "dst")
-    return no_src.unionByName(no_dst).distinct()
+    """Edges of which an end is missing; they are counted first, and dealt out by their number."""
+    rows = edges.count()
+    ids = nodes.select(F.col(key)).distinct()
+    each = dealt(edges.select("src", "dst"), rows, "src", "dst").distinct()
+    lacks = lambda end: dealt(each, rows, end).join(dealt(ids.withColumnRenamed(key, end), rows, end), end, "left_anti").select("src", "dst")
+    return dealt(lacks("src").unionByName(lacks("dst")), rows, "src", "dst").distinct()
 
 
 def repeated_keys(nodes: DataFrame, key: str = "id") -> DataFrame:

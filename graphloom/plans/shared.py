@@ -20,6 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of one partition of a table that ``dealt`` deals out.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in one partition for each ``ROWS`` of ``rows``, if shuffles have fewer than these anyway.
+
+    The number of shuffle partitions is fixed, so that without this a task's sorts and hash tables grow with the input.
+    """
+    parts = -(-rows // ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
