@@ -7,6 +7,9 @@ import time
 from pyspark.sql import functions as F
 
 from graphloom.operators import communities, heritage, lookup
+from graphloom.plans import catalogue, shared
+from graphloom.sources import projection as P
+from tests.conftest import SF
 
 MANY = 20_000
 
@@ -52,3 +55,12 @@ def test_labels_settle_where_neighbours_change_places(spark):
                 near = labels[v if node == u else u]
                 weight[near] = weight.get(near, 0) + w
         assert own == min(weight, key=lambda c: (-weight[c], c))
+
+
+def test_tasks_do_not_grow_with_the_tables(spark, monkeypatch):
+    run = lambda: {name: sorted(map(tuple, catalogue.QUERIES[name](spark, SF).collect())) for name in ("file_coupling", "integrity_violations", "components", "variable_threads")}
+    whole = run()
+    monkeypatch.setattr(shared, "ROWS", 500)  # the smallest tables in many partitions
+    rows = P.table(spark, SF, "lineitem").count()
+    assert P.raw_calls(spark, SF).rdd.getNumPartitions() == -(-rows // 500) > 4
+    assert run() == whole
