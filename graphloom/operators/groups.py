@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.plans.shared import dealt
 
 
 def coupling(changes: DataFrame, least: int = 3, strength: float = 0.2) -> DataFrame:
     """(a, b, change_count, strength) of files that change together; ``changes`` has (commit, path).
 
     Pairs are made inside a commit only. Files that alone changed in fewer than ``least``
-    commits go before the pairs are made, which is exact and keeps the join small.
+    commits go before the pairs are made, which is exact and keeps the join small. The changes are
+    counted first, and dealt out by their number.
     """
-    each = changes.select("commit", "path").distinct()
+    rows = changes.count()
+    each = dealt(changes.select("commit", "path"), rows, "path").distinct()
     solo = each.groupBy("path").agg(F.count("*").alias("solo")).where(F.col("solo") >= least)
-    often = each.join(solo, "path")
+    often = dealt(each.join(solo, "path"), rows, "commit")
     a, b = often.alias("a"), often.alias("b")
     pairs = a.join(b, (F.col("a.commit") == F.col("b.commit")) & (F.col("a.path") < F.col("b.path")))
-    counted = pairs.groupBy(F.col("a.path").alias("a"), F.col("b.path").alias("b")).agg(F.count("*").alias("change_count"), F.max(F.greatest("a.solo", "b.solo")).alias("most"))
+    pairs = dealt(pairs.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), F.greatest("a.solo", "b.solo").alias("most")), 2 * rows, "a", "b")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("change_count"), F.max("most").alias("most"))
     share = F.col("change_count") / F.col("most")
     return counted.where((F.col("change_count") >= least) & (share >= strength)).select("a", "b", "change_count", F.round(share, 6).alias("strength"))
 
