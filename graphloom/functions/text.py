@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ INVARIANTS = (
     ("guarantee", r"(ALWAYS\s+[A-Za-z][^.\n]{5,150}|MUST\s+(?!NOT)[A-Za-z][^.\n]{5,150})"),
     ("lifecycle", r"(?i)(Must\s+be\s+(?:started|stopped|called|initialised?|initialized?)[^.\n]{5,150})"),
 )
+#: Words of which a match of each pattern holds one, in lower case where the pattern ignores case: a text without them is
+#: not searched, since the patterns try each character anew. Fixed values.
+INVARIANT_WORDS = (
+    ("inv-", "invariant", "contract"),
+    ("(INV-",),
+    ("guarantee", "ensures", "postcondition"),
+    ("thread-safe", "thread safe", "reentrant"),
+    ("Never", "NEVER", "MUST", "DO"),
+    ("ALWAYS", "MUST"),
+    ("must",),
+)
 GEOMETRIC_FLOOR = 1e-4
 
 
@@ -137,7 +150,7 @@ def config_keys(source: Column) -> Column:
 
 def invariants(text: Column) -> Column:
     """Statements of (kind, text) by pattern; those of the same first 60 characters count once, the earlier pattern's."""
-    found = [_statements(text, kind, pattern) for kind, pattern in INVARIANTS]
+    found = [_statements(text, kind, pattern, words) for (kind, pattern), words in zip(INVARIANTS, INVARIANT_WORDS, strict=True)]
     every = F.filter(F.concat(*found), lambda s: F.length(s["text"]).between(10, 200))
 
     def add(kept: Column, s: Column) -> Column:
@@ -147,8 +160,11 @@ def invariants(text: Column) -> Column:
     return F.aggregate(every, F.array().cast("array<struct<kind:string,text:string>>"), add)
 
 
-def _statements(text: Column, kind: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lit(kind).alias("kind"), F.trim(t).alias("text")))
+def _statements(text: Column, kind: str, pattern: str, words: tuple[str, ...]) -> Column:
+    near = F.lower(text) if pattern.startswith("(?i)") else text
+    told = reduce(Column.__or__, [F.contains(near, F.lit(w)) for w in words])
+    found = F.when(told, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.transform(found, lambda t: F.struct(F.lit(kind).alias("kind"), F.trim(t).alias("text")))
 
 
 def backtick_tokens(text: Column) -> Column:

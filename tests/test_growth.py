@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
 from graphloom.operators import communities, heritage, lookup
 from graphloom.plans import catalogue, shared
 from graphloom.sources import projection as P
@@ -64,3 +65,22 @@ def test_tasks_do_not_grow_with_the_tables(spark, monkeypatch):
     rows = P.table(spark, SF, "lineitem").count()
     assert P.raw_calls(spark, SF).rdd.getNumPartitions() == -(-rows // 500) > 4
     assert run() == whole
+
+
+def test_invariants_of_texts_without_their_words_cost_little(spark):
+    said = [
+        "INV-12: rows keep their order at all times", "invariant: sums never fall below zero", "Contract: callers close what they open", "the sum stays whole (INV-7) after each step", "ensures: the file is closed afterwards",
+        "this is Thread-Safe by design", "not reentrant: no locks", "we Never drop a row of a table", "NEVER  drop rows anywhere", "MUST NOT be called twice", "DO\\tNOT call this twice".replace("\\t", "\t"), "ALWAYS close the session", "MUST close the session", "must be started before use",
+    ]
+    texts = spark.createDataFrame([(t,) for t in said] + [(None,), ("plain",)], "text string")
+    plain = [F.regexp_extract_all("text", F.lit(p), F.lit(1)) for _, p in T.INVARIANTS]
+    rows = texts.select("text", T.invariants(F.col("text")).alias("got"), F.concat(*plain).alias("want")).collect()
+    for r in rows:
+        assert (r.got is None) == (r.text is None)
+        short = {w.strip()[:60].lower(): 1 for w in r.want or [] if 10 <= len(w.strip()) <= 200}
+        assert [s.text[:60].lower() for s in r.got or []] == list(short)
+        assert (r.text in (None, "plain")) == (not r.got)
+    began = time.monotonic()
+    long = spark.range(4).select(F.repeat(F.lit("plain prose of no statement at all "), 400_000).alias("text"))
+    assert long.select(F.size(T.invariants(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0] == 0
+    assert time.monotonic() - began < 40  # 56 MB; each pattern looked up to 180 characters ahead of each of them before
