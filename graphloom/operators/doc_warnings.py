@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import code
+from graphloom.plans.shared import cut
 
 # Tokens that name no symbol, tokens that may be columns of a table, the mark of an example, least length.
 NO_SYMBOLS = (
@@ -36,10 +37,11 @@ def lines_of(docs: DataFrame, mark: str = EXAMPLES) -> DataFrame:
     split = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
     rows = docs.select("path", F.posexplode(split).alias("_i", "line")).select("path", (F.col("_i") + 1).alias("line_number"), "line")
     before = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("path").orderBy("line_number").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, since a frame that ends at the last row is summed up anew for each row
+    after = Window.partitionBy("path").orderBy(F.desc("line_number")).rowsBetween(Window.unboundedPreceding, -1)
     fence, blank = F.col("line").rlike(_FENCE), ~F.col("line").rlike(r"\S")
     at = lambda what: F.min(F.when(what, F.col("line_number"))).over(after)
-    scanned = rows.select("*", fence.alias("_fence"), (F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1).alias("fenced"), at(~blank).alias("_text"), at(fence).alias("_next_fence"), at(blank).alias("_next_blank"))
+    scanned = cut(rows.select("*", fence.alias("_fence"), (F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1).alias("fenced"), at(~blank).alias("_text"), at(fence).alias("_next_fence"), at(blank).alias("_next_blank")), "doc-lines")
     marks = scanned.where(F.contains("line", F.lit(mark)) & F.col("_text").isNotNull()).select("path", F.col("line_number").alias("mark"), F.col("_text").alias("line_number"))
     last = F.lit(2**31 - 1)
     ends = scanned.join(marks, ["path", "line_number"]).select("path", F.struct("mark", F.col("line_number").alias("first"), F.when(F.col("_fence"), F.coalesce("_next_fence", last)).otherwise(F.coalesce(F.col("_next_blank") - 1, last)).alias("last")).alias("block"))
@@ -78,7 +80,7 @@ def warnings(docs: DataFrame, symbols: DataFrame, flag_unknown: bool = False, fe
     ``unknown_reference`` (medium), if asked for, is a dotted one that nothing is called. Tokens meet the index once
     with each hint that they have, not once per place.
     """
-    found = tokens(docs, fenced=fenced).withColumn("hint", hint(F.col("line"), F.col("token")))
+    found = cut(tokens(docs, fenced=fenced).withColumn("hint", hint(F.col("line"), F.col("token"))), "doc-tokens")
     names = symbols.select(F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name")))).alias("token"), "file_path").distinct()
     asked = found.select("token", "hint").distinct()
     near = asked.join(names, "token").groupBy("token", "hint").agg(F.bool_or(F.contains("file_path", "hint")).alias("there"))

@@ -380,7 +380,7 @@ def doc_warnings(spark, sf_dir):
     fenced = F.regexp_replace(F.regexp_replace(hinted, r"(^|\n)([AE])", "$1```\n$2"), r"(^|\n)(L)", f"$1{D.EXAMPLES}\n$2")
     name = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{7}"), F.lit(0)))).alias("name")
     symbols = docs.where("lang = 'en'").select(name, F.concat("source", F.lit(".py")).alias("file_path")).distinct().withColumn("qualified_name", F.col("name"))
-    found = D.warnings(docs.select(F.col("doc_id").cast("string").alias("path"), fenced.alias("text")), symbols)
+    found = D.warnings(cut(docs.select(F.col("doc_id").cast("string").alias("path"), fenced.alias("text")), "marked-documents"), symbols)
     return found.select("path", "line_number", "symbol", "kind")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import communities, heritage, lookup
+from graphloom.operators import doc_warnings as D
 from graphloom.plans import catalogue, shared
 from graphloom.sources import projection as P
 from tests.conftest import SF
@@ -84,3 +85,11 @@ def test_invariants_of_texts_without_their_words_cost_little(spark):
     long = spark.range(4).select(F.repeat(F.lit("plain prose of no statement at all "), 400_000).alias("text"))
     assert long.select(F.size(T.invariants(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0] == 0
     assert time.monotonic() - began < 40  # 56 MB; each pattern looked up to 180 characters ahead of each of them before
+
+
+def test_states_of_a_long_document(spark):
+    began = time.monotonic()
+    long = spark.range(1).select(F.lit("d").alias("path"), F.concat(F.repeat(F.lit("x\n"), 100_000), F.lit("```\ny\n```\n")).alias("text"))
+    got = D.lines_of(long).agg(F.count("*").alias("n"), F.count_if("fenced").alias("fenced"), F.count_if("example").alias("example")).first()
+    assert tuple(got) == (100_004, 2, 0)  # the line between the fences and the one that closes
+    assert time.monotonic() - began < 40  # 5,000,000,000 steps before
