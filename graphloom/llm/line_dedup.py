@@ -8,7 +8,7 @@ square root of the longer line's length. The longer line of a pair is cut into
 that many segments and one more, so one of them stands unspoiled in the other
 line. Segments are indexed by class of length, number and content; the
 substrings of each line that can meet them are probed; sketches of their
-letters and letter pairs thin out what meets by chance; a banded bit-parallel edit distance decides.
+code points and pairs of these thin out what meets by chance; a banded bit-parallel edit distance decides.
 
 The segments of the front half are placed from the line's start and those of the
 back half from its end, all of one length in a class. There is an unspoiled
@@ -35,7 +35,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import cut
+from graphloom.llm import store
 
 #: Lines that are looked up before their keys are dealt out: the most frequent ones, so many at most.
 HEAVY = 1000
@@ -43,14 +43,17 @@ HEAVY = 1000
 PIVOTS = (1, 8, 0)
 #: Parts of a line that are looked for in the other before the distance is taken.
 _PARTS = 32
-#: Letters whose counts are compared, 16 to a word.
-_LETTERS = ("etaoinshrdlucmfw", "gypbvk.,éèóäüöñE")
 #: Words of 64 bits in the membership filter that is sent to every task: a fixed size.
 _FILTER_WORDS = 1 << 16
 #: The most edits between near lines: a band of twice as many cells and one has to fit into a word.
 _MOST = 30
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """A working table; nearly all of its columns are hashes."""
+    return store.cut(df, name, dictionary=False)
+
+
 def edits(n: int) -> int:
     """Edits between near lines if the longer has ``n`` code points: a quarter of the square root, but two from 20 and one from 10."""
     return 0 if n < 10 else 1 if n < 20 else max(2, min(_MOST, int(n**0.5 / 4)))
@@ -78,7 +81,8 @@ def _row_hash(key: str, text: str) -> list[Column]:
 
 def _counts(line: Column) -> Column:
     """Whether a line holds a non-blank character."""
-    return F.btrim(line, F.lit(" \t\x0b\f\r")) != ""
+    # trimmed on the left alone, which ends at the first such character
+    return F.ltrim(line, F.lit(" \t\x0b\f\r")) != ""
 
 
 def _line_hash(line: Column) -> list[Column]:
@@ -86,31 +90,37 @@ def _line_hash(line: Column) -> list[Column]:
     return [F.xxhash64(line).bitwiseAND(F.lit(-4)).alias("h"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _sketches(lines: DataFrame) -> DataFrame:
-    """(h, s0 .. s3): for each (h, line) whether the pairs of neighbouring code points of each of 256 kinds are odd in number.
-
-    An edit takes two pairs away and adds two at most, so it turns four of these bits at most.
-    """
-    units = lines.select("h", F.encode("line", "UTF-32").alias("units"), F.length("line").alias("n"))
-    each = units.select("h", "units", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i"))
-    kind = F.xxhash64(F.substr("units", 4 * F.col("i") - 3, F.lit(8))).bitwiseAND(F.lit(255))
-    placed = each.select("h", kind.alias("kind"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("kind").bitwiseAND(F.lit(63)).cast("int"))
-    return placed.groupBy("h").agg(*(F.bit_xor(F.when(F.shiftright("kind", 6) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(4)))
-
-
+#: Kinds of code points whose counts are compared, 16 to a word; they are summed four to a word, so lines longer than the limit have none.
+_KINDS, _COUNTED = 32, (1 << 15) - 1
+#: Of 400 seeds the one that deals the frequent characters of European texts out most evenly.
+_SEED = 163
 #: Codes of the numbers modulo 8, four bits each: as many bits differ as steps lie between two numbers around the circle.
 _CIRCLE = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)
 
 
-def _letter_counts(line: Column, letters: str) -> Column:
-    """Counts of some letters modulo 8, coded and packed: two of these differ in twice the edit distance of bits at most."""
-    code = lambda c: F.get(F.array(*map(F.lit, _CIRCLE)), (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8)
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(code(c).cast("long"), 4 * i) for i, c in enumerate(letters)])
+def _sketches(lines: DataFrame) -> DataFrame:
+    """(h, s0 .. s3, l0, l1): for each (h, line) whether the pairs of neighbouring code points of each of 256 kinds are odd in number, and the counts of 32 kinds of code points modulo 8, coded.
+
+    An edit takes two pairs away and adds two at most (the last code point makes a pair with the end), so it turns
+    four bits of ``s`` at most; it takes one code point away and adds one, so it turns two bits of ``l``. Very long
+    lines have null for ``l``.
+    """
+    units = lines.select("h", F.encode("line", "UTF-32").alias("units"), F.length("line").alias("n"))
+    each = units.select("h", "units", (F.col("n") <= _COUNTED).alias("counted"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    kind = lambda size, kinds, *seed: F.xxhash64(*seed, F.substr("units", 4 * F.col("i") - 3, F.lit(size))).bitwiseAND(F.lit(kinds - 1))
+    placed = each.select("h", kind(8, 256).alias("s"), F.when(F.col("counted"), kind(4, _KINDS, F.lit(_SEED))).alias("l"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = F.call_function("shiftleft", one, F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    field = F.call_function("shiftleft", one, (16 * F.col("l").bitwiseAND(F.lit(3))).cast("int"))
+    odd = [F.bit_xor(F.when(F.shiftright("s", 6) == w, bit).otherwise(none)).alias(f"s{w}") for w in range(4)]
+    sums = [F.sum(F.when(F.shiftright("l", 2) == w, field).when(F.col("l").isNotNull(), none)).alias(f"_{w}") for w in range(_KINDS // 4)]
+    code = lambda k: F.get(F.array(*map(F.lit, _CIRCLE)), F.shiftright(f"_{k // 4}", 16 * (k % 4)).bitwiseAND(F.lit(7)).cast("int")).cast("long")
+    word = lambda w: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(code(16 * w + i), 4 * i) for i in range(16)])
+    return placed.groupBy("h").agg(*odd, *sums).select("h", *(f"s{w}" for w in range(4)), *(word(w).alias(f"l{w}") for w in range(_KINDS // 16)))
 
 
 def _differ(a: str, b: str, word: str, words: int) -> Column:
-    """Bits in which some words of two rows differ: four times the edit distance at most for sketches, twice for counts of letters."""
+    """Bits in which some words of two rows differ: four times the edit distance at most for pairs of code points, twice for their counts."""
     return reduce(add, [F.bit_count(F.col(f"{a}.{word}{w}").bitwiseXOR(F.col(f"{b}.{word}{w}"))) for w in range(words)])
 
 
@@ -245,11 +255,11 @@ def _class(n: Column) -> Column:
     return reduce(add, [(n >= c).cast("int") for c in _CLASSES]) - 1
 
 
-def _fronts(lines: DataFrame) -> DataFrame:
-    """(h, own, p0, p1, l0, l1): the class of each (h, line), the hash of its first segment there and in the next class, and counts of letters."""
+def _fronted(lines: DataFrame) -> DataFrame:
+    """``lines`` with own, p0 and p1: the class of each line, and the hash of its first segment there and in the next class."""
     sizes = F.array(*(F.lit(c // (edits(c) + 1)) for c in _CLASSES))
     front = lambda c: F.xxhash64(F.substr("line", F.lit(1), F.get(sizes, c)))
-    return lines.withColumn("own", _class(F.length("line"))).select("h", "own", front(F.col("own")).alias("p0"), front(F.col("own") + 1).alias("p1"), *(_letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(_LETTERS)))
+    return lines.withColumn("own", _class(F.length("line"))).withColumns({"p0": front(F.col("own")), "p1": front(F.col("own") + 1)})
 
 
 def _keys(lines: DataFrame) -> DataFrame:
@@ -261,15 +271,16 @@ def _keys(lines: DataFrame) -> DataFrame:
     n = F.col("n")
     firsts = F.array(*map(F.lit, _CLASSES))
     most = F.array(*(F.lit(edits(c)) for c in _CLASSES))
+    sizes = F.array(*(F.lit(c // (edits(c) + 1)) for c in _CLASSES))
     classed = lines.withColumn("own", _class(n)).withColumn("next", (F.get(firsts, F.col("own") + 1) - F.get(most, F.col("own") + 1) <= n))
     each = classed.select("h", "units", "n", "own", F.explode(F.sequence("own", F.col("own") + F.coalesce(F.col("next").cast("int"), F.lit(0)))).alias("c"))
-    sized = each.select("h", "units", "n", "own", "c", F.get(most, F.col("c")).alias("t"), F.get(firsts, F.col("c")).alias("first"))
-    cut_ = sized.select("h", "units", "n", "own", "c", "t", F.floor(F.col("first") / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
+    sized = each.select("h", "units", "n", "own", "c", F.get(most, F.col("c")).alias("t"), F.get(sizes, F.col("c")).alias("size"))
+    cut_ = sized.select("h", "units", "n", "own", "c", "t", "size", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
     # a segment of the front half may be off by its number, one of the back half by that from the end
     reach = F.least(F.col("i"), F.col("t") - F.col("i"))
     moved = cut_.select("h", "units", "n", "own", "c", "t", "size", "i", F.explode(F.sequence(-reach, reach)).alias("s"))
     probe = (F.col("s") != 0) | (F.col("c") != F.col("own"))
-    place = F.when(F.col("i") <= F.floor(F.col("t") / 2), F.col("i") * F.col("size")).otherwise(n - (F.col("t") + 1 - F.col("i")) * F.col("size")) + F.col("s")
+    place = F.when(F.col("i") <= F.shiftright("t", 1), F.col("i") * F.col("size")).otherwise(n - (F.col("t") + 1 - F.col("i")) * F.col("size")) + F.col("s")
     placed = moved.select("h", "units", "n", "c", "i", "size", probe.alias("probe"), place.cast("int").alias("at")).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
     key = F.xxhash64(F.col("c") * 64 + F.col("i"), F.substr("units", 4 * F.col("at") + 1, 4 * F.col("size")))
     return placed.select(key.alias("k"), (F.col("h") + F.col("probe").cast("long") + 2 * (F.col("i") == 0).cast("long")).alias("g"))
@@ -290,18 +301,22 @@ def near_lines(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataF
     one = Window.partitionBy("k")
     line, mark = F.col("g").bitwiseAND(F.lit(-4)), F.col("g").bitwiseAND(F.lit(1))
     meets = (F.min(line).over(one) != F.max(line).over(one)) & (F.min(mark).over(one) == 0)
-    met = cut(keys.withColumn("meets", meets).where("meets").select("k", line.alias("h"), (mark == 1).alias("probe"), (F.col("g").bitwiseAND(F.lit(2)) == 2).alias("front")).distinct(), "near-line-keys")
+    sized = keys.withColumns({"meets": meets, "size": F.count("*").over(one)}).where("meets")
+    met = cut(sized.select("k", line.alias("h"), (mark == 1).alias("probe"), (F.col("g").bitwiseAND(F.lit(2)) == 2).alias("front"), "size").distinct(), "near-line-keys")
 
-    members = met.select("h").distinct()
+    members = cut(met.select("h").distinct(), "near-line-members")
+    few = _filter(members, "h")
     # joined, not semi-joined: that would be pushed below the filter and shuffle all lines
-    texts = _maybe(lines.select("h", "line"), "h", _filter(members, "h")).join(members, "h").groupBy("h").agg(F.first("line").alias("line"))
-    order = firsts.join(members, "h").groupBy("h").agg(F.min("first").alias("first"))
+    texts = _maybe(lines.select("h", "line"), "h", few).join(members, "h").groupBy("h").agg(F.first("line").alias("line"))
+    order = _maybe(firsts.select("h", "first"), "h", few).join(members, "h").groupBy("h").agg(F.min("first").alias("first"))
     told = cut(texts.join(order, "h").select("h", "line", "first", F.length("line").alias("n")).withColumn("t", allowed(F.col("n"))), "near-line-texts")
-    drawn = cut(told.drop("line").join(_sketches(told), "h").join(_fronts(told), "h").withColumn("place", F.struct("first", "h")).drop("first"), "near-line-sketches")
+    drawn = cut(_fronted(told).drop("line").join(_sketches(told), "h").withColumn("place", F.struct("first", "h")).drop("first"), "near-line-sketches")
     counted = cut(met.join(drawn, "h"), "near-line-meetings")
-    near, tested = None, None
+    near, tested, done = None, None, 0
     # first against the earliest lines of each key; what is found near by then needs no more pairs
     for pivots in PIVOTS:
+        # with one row more than there were earliest ones, all rows of a key have met
+        counted, done = counted.where(F.col("size") > done + 1), pivots
         later = counted if near is None else counted.join(near, "h", "left_anti")
         if pivots:
             rank = F.row_number().over(Window.partitionBy("k").orderBy("place"))
@@ -325,7 +340,7 @@ def _meeting(later: DataFrame, earlier: DataFrame) -> DataFrame:
     # the edits allowed grow with the length; what tells most pairs apart at the least cost stands first
     most = F.greatest("a.t", "b.t")
     met = (F.col("a.k") == F.col("b.k")) & (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (_differ("a", "b", "s", 4) <= 4 * most)
-    close = (F.col("a.place") < F.col("b.place")) & ~F.coalesce(F.col("a.probe") & F.col("b.probe"), F.lit(False)) & (_differ("a", "b", "l", 2) <= 2 * most)
+    close = (F.col("a.place") < F.col("b.place")) & ~F.coalesce(F.col("a.probe") & F.col("b.probe"), F.lit(False)) & F.coalesce(_differ("a", "b", "l", 2) <= 2 * most, F.lit(True))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     alike = F.when(a("own") == b("own"), a("p0") == b("p0")).when(a("own") == b("own") + 1, a("p0") == b("p1")).when(b("own") == a("own") + 1, b("p0") == a("p1")).otherwise(False)
     return later.join(earlier, met & close & (a("front") | ~alike)).select(F.col("b.h").alias("h"), F.col("a.h").alias("other")).distinct()
@@ -333,6 +348,8 @@ def _meeting(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, told: DataFrame) -> DataFrame:
     """(h): the lines that their ``other`` is near to."""
+    # most lines are in no pair: they are not shuffled
+    told = _maybe(told, "h", _filter(pairs.select("h").union(pairs.select("other")), "h"))
     named = lambda h, line: told.select(F.col("h").alias(h), F.col("line").alias(line), F.col("n").alias(f"{line}_n"))
     both = pairs.join(named("other", "x"), "other").join(named("h", "y"), "h")
     turned = F.col("x_n") >= F.col("y_n")

@@ -33,13 +33,14 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     The plan that made it is cut there: a lost executor costs only the tasks
     that were running, and several consumers read one and the same result.
+    Without ``dictionary`` values are written as they are: hashes, which seldom repeat, read faster so.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import line_dedup, queries
 from tests.llm.test_corpus_ops import distance, mutated
 
@@ -78,3 +80,45 @@ def test_query_takes_out_a_line_with_one_word_changed(spark, tmp_path):
     docs = [(1, line), (2, line.replace("word7 ", "another "))]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.n_gone for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
+def test_sketches_bound_the_distance(spark):
+    """Pairs turn four bits an edit at most and counts two: also at both ends, and for lines too long to be counted."""
+    random.seed(5)
+    letters = "abcdefghijklmnop éE"
+    base = ["".join(random.choice(letters) for _ in range(n)) for n in (10, 40, 300)]
+    texts = [(x, y) for x in base for y in (x[1:], x[:-1], x + "a", "a" + x, x[:-1] + "#", "#" + x[1:], x[:5] + x[6:], mutated(x, 3, letters))]
+    long = "ab" * 17_000
+    texts.append((long, long + "c"))
+    rows = [(2 * i + side, t) for i, pair in enumerate(texts) for side, t in enumerate(pair)]
+    got = {r.h: r for r in line_dedup._sketches(spark.createDataFrame(rows, "h long, line string")).collect()}
+    bits = lambda a, b, names: sum(bin((a[c] ^ b[c]) & (1 << 64) - 1).count("1") for c in names)
+    for i, (x, y) in enumerate(texts[:-1]):
+        d = distance(x, y)
+        pairs, counts = (bits(got[2 * i], got[2 * i + 1], names) for names in (("s0", "s1", "s2", "s3"), ("l0", "l1")))
+        assert pairs <= 4 * d and counts <= 2 * d and (pairs or counts or not d)
+    assert all(got[2 * len(texts) - k].l0 is None and got[2 * len(texts) - k].s0 is not None for k in (1, 2))
+
+
+def test_keys_whose_lines_have_all_met_are_not_looked_up_again(spark, monkeypatch):
+    """Rounds after the first read only keys with more rows than have met."""
+    seen, met = [], line_dedup._meeting
+    monkeypatch.setattr(line_dedup, "_meeting", lambda later, earlier: (seen.append(later.count()), met(later, earlier))[1])
+    agrees(spark, made([60, 145, 300, 420] * 2))
+    assert seen[0] > 0 and seen[-1] == 0
+
+
+def test_many_lines_of_one_key(spark):
+    """More lines than the earliest ones that begin alike: the last round holds all against all."""
+    random.seed(9)
+    rest = lambda n: "".join(random.choice("abcdefghijklmnop ") for _ in range(n))
+    head = rest(24)
+    lines = [head + rest(46) for _ in range(14)]
+    lines += [mutated(x, 2, "abcdefghijklmnop ") for x in lines[9:]]
+    agrees(spark, [(i, x) for i, x in enumerate(lines)])
+
+
+def test_what_counts_is_seen_from_the_left(spark):
+    rows = [(x, bool(x.strip(" \t\x0b\f\r"))) for x in ("", " ", "\t \x0b\f\r", "  a", "a  ", " a ", "\u00a0", "\r\u2003", "é\t")]
+    df = spark.createDataFrame(rows, "line string, want boolean")
+    assert df.where(line_dedup._counts(F.col("line")) != F.col("want")).count() == 0
