@@ -2,13 +2,13 @@
 
 Lines are dealt to batches by the day they arrive; each batch is appended to a
 folder and a stateful streaming query is started anew on one checkpoint for it.
-Its state, in ``transformWithStateInPandas``, is kept by nation and bucket of
-items: a map of running revenues, in pages of a fixed number of item ids, and
-the bucket's saved board. A third of all lines may be of one nation, so a
-nation's items are spread over ``BUCKETS`` groups, and lines of one nation, item
-and day are summed where they are read. A list ordered by negative revenue and
-item id, kept by bisection, gives the board of each day; the days of a batch are
-replayed in order, and what moved on a bucket's board goes out.
+Its state, in ``applyInPandasWithState``, is kept by nation and bucket of items:
+running revenues by item, and the bucket's saved board. A third of all lines may
+be of one nation, so a nation's items are spread over ``BUCKETS`` groups, and
+lines of one nation, item and day are summed where they are read. A list ordered
+by negative revenue and item id, kept by bisection, gives the board of each day;
+the days of a batch are replayed in order, and what moved on a bucket's board
+goes out.
 
 The best of all items are among the best of their buckets: replaying the moves
 of a nation's buckets on a list of the same kind gives its boards, which are
@@ -34,12 +34,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 
 from graphloom.llm.store import cut, shared_dir
 
-#: Places of a board, groups of a nation's items, item ids of a page for each of the groups, entries kept in order beyond a board.
-PLACES, BUCKETS, PAGE, SPARE = 10, 32, 512, 64
+#: Places of a board, groups of a nation's items, entries kept in order beyond a board.
+PLACES, BUCKETS, SPARE = 10, 32, 64
 #: First day of the batches, their number and the days they cover; days a line may be late.
 FIRST_DAY, BATCHES, SPAN, LATE = 19723, 10, 180, 3
 
@@ -48,6 +48,8 @@ _LINES = "nation_id int, item_id long, day long, shipped long, seen long, batch
 _DAYS = "nation_id int, bucket int, packed binary"
 #: Sums of lines by day and item, as they travel to the state of their bucket: many to a row.
 _SUMS = np.dtype([("day", "<i8"), ("item", "<i8"), ("batch", "<i4"), ("cents", "<f8")])
+#: Sorted item ids and their revenues, as bytes of long and double, and the bucket's board.
+_STATE = "items binary, cents binary, board_items array<long>, board_cents array<double>"
 _MOVES = "nation_id int, day long, item_id long, batch int, held boolean, cents double"
 
 
@@ -178,41 +180,20 @@ def nation_changes(moves: pd.DataFrame) -> list[tuple]:
     return feed
 
 
-class BucketBoards(StatefulProcessor):
-    """State of a nation's bucket of items: revenues in pages of item ids, and the bucket's board.
-
-    A page spans ``PAGE`` ids for each bucket: of these a bucket has about ``PAGE``, and each page is one call to the state.
-    """
-
-    def __init__(self, buckets: int = BUCKETS):
-        self.page = PAGE * buckets
-
-    def init(self, handle) -> None:
-        self.revenues = handle.getMapState("revenues", "page long", "items binary, cents binary")  # arrays of long and double
-        self.board = handle.getValueState("board", "items array<long>, cents array<double>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = np.concatenate([np.frombuffer(packed, _SUMS) for part in rows for packed in part["packed"]])
-        kept = [v for _, v in self.revenues.iterator()]
-        items = np.frombuffer(b"".join(v[0] for v in kept), "<i8")
-        cents = np.frombuffer(b"".join(v[1] for v in kept), "<f8")
-        known = np.union1d(items, new["item"])
-        revenue = np.zeros(len(known))
-        revenue[np.searchsorted(known, items)] = cents
-        saved = self.board.get()
-        moves, board = bucket_moves(known, revenue, dict(zip(*saved, strict=True)) if saved else {}, new)
-        pages = known // self.page
-        for page in np.unique(new["item"] // self.page).tolist():  # only pages that were touched are written
-            lo, hi = np.searchsorted(pages, [page, page + 1])
-            self.revenues.updateValue((page,), (known[lo:hi].astype("<i8").tobytes(), revenue[lo:hi].astype("<f8").tobytes()))
-        self.board.update((list(board), list(board.values())))
-        if moves:
-            out = pd.DataFrame(moves, columns=["day", "item_id", "batch", "held", "cents"])
-            out.insert(0, "nation_id", key[0])
-            yield out
-
-    def close(self) -> None:
-        pass
+def bucket_boards(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Replays what a start brings for a nation's bucket of items over its state, and hands out the moves."""
+    new = np.concatenate([np.frombuffer(packed, _SUMS) for part in rows for packed in part["packed"]])
+    items, cents, *saved = state.get if state.exists else (b"", b"", [], [])
+    items, cents = np.frombuffer(items, "<i8"), np.frombuffer(cents, "<f8")
+    known = np.union1d(items, new["item"])
+    revenue = np.zeros(len(known))
+    revenue[np.searchsorted(known, items)] = cents
+    moves, board = bucket_moves(known, revenue, dict(zip(*saved, strict=True)), new)
+    state.update((known.astype("<i8").tobytes(), revenue.astype("<f8").tobytes(), list(board), list(board.values())))
+    if moves:
+        out = pd.DataFrame(moves, columns=["day", "item_id", "batch", "held", "cents"])
+        out.insert(0, "nation_id", key[0])
+        yield out
 
 
 def nation_feed(moves: pd.DataFrame) -> pd.DataFrame:
@@ -274,9 +255,9 @@ def change_feed(spark: SparkSession, lines: DataFrame, vendors: DataFrame, items
         return spark.createDataFrame([], FEED)
     own = spark.newSession()  # with settings of its own, and as many partitions of state as the caller's shuffles have
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # a store's files leave the executor with its task
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # a store's memory is given back with its task
+    # not RocksDB: each store that Spark 4.1 opens with it leaves half a MB of native statistics in the executor for good
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
     own.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")  # a second file beside each small one
     seen = None
     for batch in sorted({*range(1, BATCHES + 1), *latest}):
@@ -293,6 +274,6 @@ def _start(spark: SparkSession, root: str, buckets: int) -> None:
     lines = spark.readStream.schema(_LINES).parquet(f"{root}/lines")
     on_time = lines.where(f"nation_id IS NOT NULL AND item_id IS NOT NULL AND (seen IS NULL OR shipped + {LATE} >= seen)")
     days = on_time.select("nation_id", "item_id", "day", "batch", "cents").mapInArrow(sum_days(buckets), _DAYS)
-    moves = days.groupBy("nation_id", "bucket").transformWithStateInPandas(BucketBoards(buckets), _MOVES, "Append", "None")
+    moves = days.groupBy("nation_id", "bucket").applyInPandasWithState(bucket_boards, _MOVES, _STATE, "append", "NoTimeout")
     writer = moves.writeStream.format("parquet").option("path", f"{root}/moves").option("checkpointLocation", f"{root}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()

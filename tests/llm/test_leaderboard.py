@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -101,3 +102,18 @@ def test_nulls_ties_repeats_and_further_columns(spark):
     plain = plain_feed([dict(zip(df.columns, r, strict=True)) for r in data], [dict(zip(v.columns, r, strict=True)) for r in vendors], [dict(zip(i.columns, r, strict=True)) for r in items])
     assert rows_of(leaderboard.change_feed(spark, df, v, i)) == sorted(plain, key=str)
     assert leaderboard.change_feed(spark, df.limit(0), v, i).collect() == []
+
+
+def test_state_keeps_nothing_in_the_executor(spark):
+    """Each store that RocksDB opens leaves native memory behind: 211 partitions and 10 starts took 0.4 GB of an executor."""
+    days = [datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d) for d in (0, 40, 90)]
+    lines = [(k, k % 5, k % 7, 1, 1, float(k), "kept", days[k % 3]) for k in range(60)]
+    df = spark.createDataFrame(lines, "sale_id long, line_no int, item_id long, vendor_id long, quantity int, amount double, flag string, shipped_at timestamp_ntz")
+    v, i = spark.createDataFrame([(1, 3)], "vendor_id long, nation_id int"), spark.createDataFrame([(k, 1.0) for k in range(7)], "item_id long, price double")
+    shared = Path(leaderboard.shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("leaderboard-*"))
+    assert leaderboard.change_feed(spark, df, v, i).count()
+    roots = [x for x in shared.glob("leaderboard-*") if x not in before and (x / "checkpoint").exists()]
+    assert len(roots) == 1
+    stores = {f.suffix for f in (roots[0] / "checkpoint/state").rglob("*") if f.is_file() and f.name[:1].isdigit()}
+    assert ".delta" in stores and not stores & {".changelog", ".zip"}
