@@ -10,13 +10,16 @@ at least ``SHARE`` percent; classes are the connected components of the links.
    Each set deals out the n-grams of a fixed part of the hash space (and as many
    more as its prefix needs); what only one set has is dropped where it meets, and
    a set with enough of those has no partner.
-3. Sets that share a prefix n-gram fall into candidate clusters, cut into blocks
-   of bounded size. A block stores its sets, frequent n-grams first, in a trie;
+3. Sets that share a prefix n-gram, and whose sizes and places in the order leave
+   room for a link, fall into candidate clusters, cut into blocks of bounded size.
+   Where that makes several blocks, step 2 is done again with all n-grams of these
+   sets, now in exact order, so that what many texts quote does not hold them together.
+   A block stores its sets, frequent n-grams first, in a trie;
    each set walks it once, sharing partial overlaps, and leaves a subtree when the
    n-grams that remain cannot reach the bound or all below it is of its own class.
-4. Clusters of several blocks are finished exactly: their classes' first members
-   meet in blocks of their own, and then all sets of different classes that still
-   share a prefix n-gram.
+4. Clusters that still have several blocks are finished exactly: their classes' first
+   members meet in blocks of their own, and then all sets of different classes that
+   share a prefix n-gram in such places.
 
 Defined results: a text without words, or null, has an empty set and links with
 nothing; a text of fewer than n words has its whole sequence as its one n-gram; a
@@ -39,8 +42,8 @@ from graphloom.operators.components import connected_components
 
 #: Words of an n-gram, least similarity in percent.
 WORDS, SHARE = 5, 75
-#: The part of the hash space, in 1/64, whose n-grams every set deals out.
-ZONE = 24
+#: The part of the hash space, in 1/64, whose n-grams every set deals out; all of it.
+ZONE, WHOLE = 24, 64
 #: N-grams of all sets in one block at most; a larger set is a block of its own with each partner.
 BLOCK = 1_000_000
 #: Sets that share an n-gram are counted up to this number.
@@ -103,12 +106,11 @@ def sets_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n long, s1 long, s2 long")
 
 
-def dealt_out(docs: DataFrame, text: str, words: int, share: int) -> DataFrame:
+def dealt_out(docs: DataFrame, text: str, words: int, share: int, zone: int = ZONE) -> DataFrame:
     """(token, s1, s2, n, z): the n-grams that each set offers; ``z`` of them lie in the zone.
 
     A task deals out equal sets once.
     """
-    edge = np.uint64(ZONE << 58)
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -119,7 +121,7 @@ def dealt_out(docs: DataFrame, text: str, words: int, share: int) -> DataFrame:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(d)
-                z = int(np.searchsorted(s, edge))
+                z = int(np.searchsorted(s, np.uint64(zone << 58))) if zone < WHOLE else len(s)
                 tokens.append(s[: max(z, prefix_length(len(s), share))])
                 ids.append(d)
                 sizes.append(len(s))
@@ -202,8 +204,8 @@ def shared(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("token").sortWithinPartitions("token", "s1", "s2").mapInArrow(run, "token long, s1 long, s2 long, n int, z int, sets int")
 
 
-def prefixes(met: DataFrame, share: int) -> DataFrame:
-    """(token, s1, s2, n): the shared n-grams that lie in their set's prefix.
+def prefixes(met: DataFrame, share: int, zone: int = ZONE) -> DataFrame:
+    """(token, s1, s2, n, at): the shared n-grams that lie in their set's prefix, after ``at`` others at least.
 
     The order: n-grams of the zone by the number of their sets (those of one set first), then by
     hash; then all others by hash. A set's own n-grams of the zone therefore come first, and where
@@ -211,14 +213,55 @@ def prefixes(met: DataFrame, share: int) -> DataFrame:
     """
     sign = F.lit(-(1 << 63))
     unsigned = F.col("token").bitwiseXOR(sign)  # orders as the unsigned number does
-    zoned = unsigned < F.lit((ZONE << 58) - (1 << 63))
+    zoned = unsigned < F.lit((zone << 58) - (1 << 63)) if zone < WHOLE else F.lit(True)
     n = F.col("n").cast("long")
     room = n - F.ceil(n * share / 100.0) + 1
     group = Window.partitionBy("s1", "s2")
     own = F.col("z") - F.sum(F.when(zoned, 1).otherwise(0)).over(group)
     place = F.row_number().over(group.orderBy(F.when(zoned, 0).otherwise(1), F.when(zoned, F.col("sets")), unsigned))
     # beyond the zone every n-gram that the prefix needs is dealt out, but those that no other set dealt out were dropped: keep all
-    return met.select("token", "s1", "s2", "n", (F.when(zoned, place <= room - own).otherwise(own + F.sum(F.when(zoned, 1).otherwise(0)).over(group) < room)).alias("inside")).where("inside").drop("inside")
+    return met.select("token", "s1", "s2", "n", (own + place - 1).cast("int").alias("at"), (F.when(zoned, place <= room - own).otherwise(own + F.sum(F.when(zoned, 1).otherwise(0)).over(group) < room)).alias("inside")).where("inside").drop("inside")
+
+
+def near(met: DataFrame, share: int) -> DataFrame:
+    """(src, dst): pairs of (token, rep, n, at) that hold together all sets that can link.
+
+    The first common n-gram of two linked sets has enough of both behind it: ``at`` bounds the size of a partner.
+    Of an n-gram's sets, in order of size, each is paired with that one of its smaller partners that allows the largest.
+    """
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        token, n, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "at"))
+        row = np.arange(len(n))
+        opens = np.concatenate([[True], token[1:] != token[:-1]])
+        begin = np.maximum.accumulate(np.where(opens, row, 0))
+        group = np.cumsum(opens) << 40  # sizes of one n-gram lie above those of all before
+        reach = ((100 + share) * (n - at) - share * n) // share
+        top = np.maximum.accumulate(group + reach)
+        widest = np.maximum.accumulate(np.where(np.concatenate([[True], top[1:] > top[:-1]]), row, 0))
+        end = np.minimum(np.searchsorted(group + n, group + reach, side="right"), row)
+        partner = widest[np.maximum(end - 1, 0)]
+        found = (end > begin) & (reach[partner] >= n)
+        reps = rows.column("rep").combine_chunks()
+        return pa.record_batch([reps.take(pa.array(row[found])), reps.take(pa.array(partner[found]))], ["src", "dst"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # rows of the n-gram that is being read
+        for batch in batches:
+            token = batch.column("token").to_numpy()
+            if not len(token):
+                continue
+            last = int(np.searchsorted(token, token[-1]))
+            if last or held and held[0].column("token")[0].as_py() != token[0]:
+                yield linked(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield linked(pa.Table.from_batches(held))
+
+    kind = met.schema["rep"].dataType.simpleString()
+    rows = met.select("token", "rep", "n", "at").repartition("token").sortWithinPartitions("token", "n", "rep")
+    return rows.mapInArrow(run, f"src {kind}, dst {kind}").where("src <> dst").distinct()
 
 
 class _Node:
@@ -347,15 +390,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     real = sets.where("n > 0 AND key IS NOT NULL")
     reps = cut(real.groupBy("s1", "s2").agg(F.min("key").alias("rep")), "jaccard-reps")
 
-    met = cut(prefixes(shared(dealt_out(docs, text, words, share)), share), "jaccard-prefixes")
-    met = cut(met.join(reps, ["s1", "s2"]).select("token", "rep", "n"), "jaccard-met")
-    leaders = met.groupBy("token").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader < other").select("token", "leader")
-    star = met.join(leaders, "token").where("rep != leader").select(F.col("rep").alias("src"), F.col("leader").alias("dst")).distinct()
-    clusters = connected_components(star).withColumnsRenamed({"id": "rep", "component": "cluster"})
-
-    sized = clusters.join(met.groupBy("rep").agg(F.max("n").alias("n")), "rep")
-    parts = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("parts"))
-    placed = cut(sized.join(parts, "cluster").select("rep", "cluster", "parts", "n", _block(F.col("cluster"), F.col("rep"), F.col("parts"))), "jaccard-blocks")
+    met = _met(docs, text, reps, words, share, ZONE)
+    placed = _placed(met, share, block)
+    wide = placed.where("parts > 1").select("rep")
+    if not wide.isEmpty():
+        source = docs.select(F.col(key).alias("rep"), F.col(text).alias(text))
+        met = _met(_filtered(source, "rep", wide).join(wide, "rep", "left_semi"), text, reps.join(wide, "rep", "left_semi"), words, share, WHOLE)
+        placed = cut(placed.where("parts = 1").unionByName(_placed(met, share, block)), "jaccard-blocks")
     first = _classes(docs.where(F.col(key).isNotNull()), key, text, placed.select("rep", "block"), words, share)
 
     large = placed.where("parts > 1")
@@ -369,32 +410,47 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         regrouped = cut(heads.join(again, "cluster").select("rep", _block(F.col("cluster"), F.xxhash64("rep"), F.col("parts"))), "jaccard-heads")
         second = _classes(docs, key, text, regrouped, words, share)
         links = cut(links.unionByName(second.where("rep != root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))), "jaccard-links")
-        rest = cut(_residual(met.join(large.select("rep"), "rep"), connected_components(links), block, share), "jaccard-rest")
+        rest = cut(_residual(met.join(large.select("rep").distinct(), "rep"), connected_components(links), block, share), "jaccard-rest")
         third = _classes(docs, key, text, rest, words, share)
         links = links.unionByName(third.where("rep != root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
         final = connected_components(links).withColumnRenamed("id", "rep")
 
+    final = final.groupBy("rep").agg(F.min("component").alias("component"))  # a repeated row is met as often as it stands there
     named = reps.join(final, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named, ["s1", "s2"], "left")
     linked = (F.col("n") > 0) & F.col("key").isNotNull()
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("key")).alias("component_id"))
 
 
+def _met(docs: DataFrame, text: str, reps: DataFrame, words: int, share: int, zone: int) -> DataFrame:
+    """(token, rep, n, at): the prefixes of the sets of ``reps``."""
+    met = cut(prefixes(shared(dealt_out(docs, text, words, share, zone)), share, zone), "jaccard-prefixes")
+    return cut(met.join(reps, ["s1", "s2"]).select("token", "rep", "n", "at"), "jaccard-met")
+
+
+def _placed(met: DataFrame, share: int, block: int) -> DataFrame:
+    """(rep, cluster, parts, n, block): the candidate clusters and their blocks."""
+    clusters = connected_components(near(met, share)).withColumnsRenamed({"id": "rep", "component": "cluster"})
+    sized = clusters.join(met.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    parts = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("parts"))
+    return cut(sized.join(parts, "cluster").select("rep", "cluster", "parts", "n", _block(F.col("cluster"), F.col("rep"), F.col("parts"))), "jaccard-blocks")
+
+
 def _block(cluster: Column, by: Column, parts: Column) -> Column:
     return F.concat_ws("/", cluster.cast("string"), F.pmod(F.xxhash64(by), parts).cast("string")).alias("block")
 
 
 def _residual(met: DataFrame, classes: DataFrame, block: int, share: int) -> DataFrame:
-    """(rep, block): each set beside those of other classes with which it shares a prefix n-gram.
+    """(rep, block): each set beside those of other classes with which it shares a prefix n-gram that leaves room for a link.
 
     For an n-gram, the sets of its most frequent class are only met, not asked about, so a class that
     holds nearly all sets costs no more than its few outsiders do.
     """
-    told = cut(met.join(classes, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("class")), "jaccard-told")
+    told = cut(met.join(classes, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("class")), "jaccard-told")
     each = told.groupBy("token", "class").agg(F.count("*").alias("k"))
     main = each.groupBy("token").agg(F.max(F.struct("k", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("token", F.col("top.class").alias("main"))
-    asked = told.join(main, "token").where("class != main").select("token", F.col("rep").alias("asks"), F.col("class").alias("own"), F.col("n").alias("size"))
-    fits = 100 * F.least("n", "size") >= share * F.greatest("n", "size")
+    asked = told.join(main, "token").where("class != main").select("token", F.col("rep").alias("asks"), F.col("class").alias("own"), F.col("n").alias("size"), F.col("at").alias("place"))
+    fits = (100 + share) * F.least(F.col("n") - F.col("at"), F.col("size") - F.col("place")) >= share * (F.col("n") + F.col("size"))
     pairs = cut(asked.join(told, "token").where((F.col("own") != F.col("class")) & fits).select("asks", "rep", "n").distinct(), "jaccard-pairs")
     parts = pairs.groupBy("asks").agg(F.ceil(F.sum("n") / block).alias("parts"))
     dealt = pairs.join(parts, "asks").select("asks", "rep", _block(F.col("asks"), F.col("rep"), F.col("parts")))

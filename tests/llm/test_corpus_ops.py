@@ -166,6 +166,23 @@ def test_jaccard_join_of_odd_tables(spark):
     assert sorted((r.doc_id or "", r.component_id) for r in jaccard_join.join(named).collect()) == [("", None), ("d1", "d1"), ("d1", "d1"), ("d2", "d1"), ("x", "x"), ("y", "x"), ("z", "z")]
 
 
+def test_jaccard_join_does_not_compare_all_that_quote_one_passage(spark, monkeypatch):
+    quote = " ".join(f"q{i}" for i in range(60))
+    docs = [(k, f"{quote} " + " ".join(f"own{k}_{i}" for i in range(60))) for k in range(60)]
+    docs += [(100 + k, f"{docs[k][1]} end") for k in range(3)]
+    sent, classes = [], jaccard_join._classes
+    monkeypatch.setattr(jaccard_join, "_classes", lambda docs, key, text, blocks, *a: sent.append(blocks.count()) or classes(docs, key, text, blocks, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string"), block=400).collect()}
+    assert got == brute_classes(docs)
+    assert sum(sent) < 100  # each set stood beside all others before
+
+
+def test_jaccard_join_of_repeated_rows_that_link(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (1, text), (2, f"{text} x")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(df).collect())) == [(1, 56, 1), (1, 56, 1), (2, 57, 1)]
+
+
 def test_trie_join_equals_brute_force():
     random.seed(9)
     for _ in range(200):
