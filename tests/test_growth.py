@@ -39,6 +39,15 @@ def test_interface_callers_of_one_name_are_found_once(spark):
     assert time.monotonic() - began < 40  # 400,000,000 pairs of methods before
 
 
+def test_files_of_interface_callers_hold_little_more_than_the_callers(spark, tmp_path):
+    extends = spark.createDataFrame([("A", "B")], "src string, dst string")
+    few = methods(spark).where(F.col("id") < 400)  # 200 in each class
+    calls = spark.range(20_000).select((F.col("id") * 7919 + 10**12).alias("src"), F.lit(1).cast("long").alias("dst"), F.lit(0.5).alias("confidence"))
+    heritage.interface_callers(few, extends, calls).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4_000_000  # a byte a row; several before
+
+
 def test_interface_callers_of_an_id_under_two_names(spark):
     twice = spark.createDataFrame([(1, "m", "A"), (1, "k", "A"), (2, "m", "B"), (3, "k", "B"), (4, None, "A")], "id long, name string, class_name string")
     extends = spark.createDataFrame([("A", "B")], "src string, dst string")
