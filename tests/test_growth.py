@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import communities, heritage, lookup
+from graphloom.operators import communities, heritage, lookup, modularity
 from graphloom.operators import doc_warnings as D
 from graphloom.plans import catalogue, shared
 from graphloom.sources import projection as P
@@ -68,6 +68,17 @@ def test_labels_settle_where_neighbours_change_places(spark):
         assert own == min(weight, key=lambda c: (-weight[c], c))
 
 
+def test_labels_travel_in_blocks(spark, monkeypatch):
+    links = spark.range(40_000).select((F.col("id") % 2_000).alias("src"), (F.col("id") * 7 % 1_999 + 3_000).alias("dst"), F.lit(1.0).alias("confidence"))
+    run = lambda: {r.id: r.community for r in communities.label_propagation(links).collect()}
+    whole, packed, made = run(), [], communities._packed
+    monkeypatch.setattr(modularity, "ROWS", 5_000)
+    monkeypatch.setattr(communities, "_packed", lambda *a: packed.append(made(*a)) or packed[-1])
+    assert run() == whole and len(whole) == 3_999
+    rows = [p.count() for p in packed]
+    assert len(rows) == 2 and max(rows) <= modularity.buckets(links.unionByName(links)) ** 2 < 40_000 / 100  # each link was a row of its own in every turn before
+
+
 def test_tasks_do_not_grow_with_the_tables(spark, monkeypatch):
     run = lambda: {name: sorted(map(tuple, catalogue.QUERIES[name](spark, SF).collect())) for name in ("file_coupling", "integrity_violations", "components", "variable_threads")}
     whole = run()
